@@ -91,7 +91,7 @@ def parse_day(s) -> Column:
 
 def day_plus_seconds(day, secs) -> Column:
     """Combine a date and seconds-of-day into a timestamp_ntz."""
-    base = F.to_timestamp_ntz(F.date_format(_c(day), "yyyy-MM-dd"))
+    base = _c(day).cast("timestamp_ntz")
     return F.timestamp_add("SECOND", _c(secs), base)
 
 
@@ -127,3 +127,10 @@ def money_avg(x) -> Column:
     v = _c(x)
     return F.try_divide(F.sum(v.cast("decimal(18,2)")).cast("double"),
                         F.count(v).cast("double"))
+
+
+def mean(x) -> Column:
+    """Mean as sum ÷ count of non-null values (exact for integer inputs, so
+    the result does not depend on how rows are partitioned)."""
+    v = _c(x)
+    return F.try_divide(F.sum(v).cast("double"), F.count(v).cast("double"))

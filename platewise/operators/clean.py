@@ -116,20 +116,21 @@ def delivery_timestamps(stg: DataFrame) -> DataFrame:
     """The extract carries clock text only.  Pick-up = order day + order
     clock; delivered = order day + pick clock, rolled to the next day when the
     clock is earlier than the pick-up (a midnight crossing)."""
-    day = X.parse_day("Order_Date")
-    t0 = X.parse_clock_seconds("Time_Orderd")
-    t1 = X.parse_clock_seconds("Time_Order_picked")
+    d = stg.withColumns({"_day": X.parse_day("Order_Date"),
+                         "_t0": X.parse_clock_seconds("Time_Orderd"),
+                         "_t1": X.parse_clock_seconds("Time_Order_picked")})
+    t0, t1 = F.col("_t0"), F.col("_t1")
     rolled = F.when(t1 < t0, t1 + 86400).otherwise(t1)
-    return (stg.withColumn("_day", day)
-               .withColumn("pickup_time", F.when(t0.isNotNull(), X.day_plus_seconds("_day", t0)))
-               .withColumn("delivery_time", F.when(t0.isNotNull() & t1.isNotNull(),
-                                                   X.day_plus_seconds("_day", rolled))))
+    return (d.withColumn("pickup_time", F.when(t0.isNotNull(), X.day_plus_seconds("_day", t0)))
+             .withColumn("delivery_time", F.when(t0.isNotNull() & t1.isNotNull(),
+                                                 X.day_plus_seconds("_day", rolled)))
+             .drop("_t0", "_t1"))
 
 
 def clean_delivery(stg: DataFrame, batch_ts: str) -> DataFrame:
     """Rename mixed-case columns, real timestamps."""
     d = delivery_timestamps(stg)
-    day_ts = F.to_timestamp_ntz(F.date_format(F.col("_day"), "yyyy-MM-dd"))
+    day_ts = X.day_plus_seconds("_day", F.lit(0))
     out = d.select(
         F.col("ID").alias("delivery_id"),
         F.col("Order_ID").alias("order_id"),

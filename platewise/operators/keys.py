@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import scratch_dir
+from ..session import freeze
 
 
 def assign_keys(df: DataFrame, key_col: str, order_by: list, offset: Column | int = 0,
@@ -37,9 +37,7 @@ def assign_keys(df: DataFrame, key_col: str, order_by: list, offset: Column | in
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     if not frozen:
         n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        scratch_dir(spark)  # make sure a (shared) checkpoint folder exists
-        df = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-        df = df.checkpoint(eager=True)
+        df = freeze(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
     pos = (df.withColumn("_pid", F.spark_partition_id())
              .withColumn("_mid", F.monotonically_increasing_id()))
     # row index inside its partition: the id packs (partition << 33) + index

@@ -1,33 +1,459 @@
 """Registry of named queries over the driver tables.
 
-Every entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame computed
-from the whole parquet tables of that scale factor (through the mapping in
-``sources.testdata``).  Column names match ``plans.oracle``.
+Every entry takes ``(spark, sf_dir)`` and returns a DataFrame computed from
+the whole parquet tables of that scale factor (through the mapping in
+``sources.testdata``).  Column names match ``plans.oracle``.  Queries that
+exercise file round trips or streaming write their intermediate files under
+the shared checkpoint folder (``session.scratch_path``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources import testdata
+from ..functions.schemas import SOURCE_DDL, conform
+from ..operators import audits, dims, scd2
+from ..session import scratch_path
+from ..sources import csv as csvsrc
+from ..sources import store, testdata
+from ..streaming import incremental
+from . import metrics as K
 from . import views
 from .warehouse import DEFAULT_BATCH_TS, Star
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+# Batch times of the two-snapshot SCD2 scenario.
+SNAPSHOT_TS = ["2025-01-01 00:00:00", "2025-02-01 00:00:00"]
+
+
+def query(name: str):
+    def deco(fn):
+        QUERIES[name] = fn
+        return fn
+    return deco
+
+
+def tables(spark: SparkSession, sf_dir: str) -> testdata.Tables:
+    return testdata.Tables(spark, sf_dir)
+
 
 def star(spark: SparkSession, sf_dir: str, batch_ts: str = DEFAULT_BATCH_TS) -> Star:
-    t = testdata.Tables(spark, sf_dir)
+    t = tables(spark, sf_dir)
     stage = {name: fn(t) for name, fn in testdata.SOURCES.items()}
     return Star(stage, batch_ts)
 
 
-def q_vw_restaurant_order_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+# ------------------------------------------------------------ calendar -----
+
+@query("dim_date")
+def q_dim_date(spark, sf_dir):
+    return star(spark, sf_dir).dim("date")
+
+
+@query("deliveries_by_time_of_day")
+def q_deliveries_by_time_of_day(spark, sf_dir):
+    """J3 + D-TIME: pick-ups per minute-grain time bucket attributes."""
+    s = star(spark, sf_dir)
+    t = F.broadcast(s.dim("time").select("time_sk", "hour_of_day", "am_pm",
+                                         "time_of_day_category"))
+    f = s.fact("delivery").select("delivery_id", "pickup_time_sk")
+    return (f.join(t, f.pickup_time_sk == t.time_sk)
+            .groupBy("hour_of_day", "am_pm", "time_of_day_category")
+            .agg(F.count(F.lit(1)).alias("deliveries")))
+
+
+# --------------------------------------------------------------- clean -----
+
+_CLEAN_COLS = {
+    "restaurants": ["restaurant_id", "restaurant_name", "cuisine_type", "address", "city",
+                    "state", "country", "postal_code", "latitude", "longitude",
+                    "phone_number", "email", "operating_hours", "rating", "effective_from",
+                    "is_current"],
+    "products": ["product_id", "restaurant_id", "product_name", "description", "category",
+                 "price", "cost", "is_vegetarian", "is_vegan", "is_gluten_free", "calories",
+                 "preparation_time"],
+    "promotions": ["promotion_id", "promotion_name", "description", "discount_type",
+                   "discount_value", "start_date", "end_date", "min_order_value",
+                   "max_discount", "restaurant_id", "is_active"],
+    "customers": ["customer_id", "first_name", "last_name", "city", "state",
+                  "referral_customer_id"],
+    "orders": ["order_id", "customer_id", "restaurant_id", "order_date", "order_status",
+               "order_total", "tip_amount", "promotion_id"],
+    "order_items": ["order_item_id", "order_id", "product_id", "quantity", "unit_price",
+                    "item_total"],
+    "delivery": ["delivery_id", "order_id", "delivery_person_id", "pickup_time",
+                 "delivery_time", "weather_conditions", "traffic_density", "vehicle_type",
+                 "created_at"],
+    "ratings": ["rating_id", "order_id", "customer_id", "overall_rating", "created_at"],
+}
+
+
+def _clean_query(name: str):
+    def q(spark, sf_dir):
+        return star(spark, sf_dir).clean(name).select(*_CLEAN_COLS[name])
+    q.__name__ = f"q_clean_{name}"
+    return q
+
+
+for _n in _CLEAN_COLS:
+    QUERIES[f"clean_{_n}"] = _clean_query(_n)
+
+
+# ---------------------------------------------------------- dimensions -----
+
+@query("dim_delivery_person")
+def q_dim_delivery_person(spark, sf_dir):
+    return star(spark, sf_dir).dim("delivery_person").select(
+        "delivery_person_sk", "delivery_person_id", "vehicle_type", "is_active", "is_current")
+
+
+def _customer_snapshots(t: testdata.Tables) -> list[DataFrame]:
+    """Two full extracts of the customers: the second changes cities — keys
+    divisible by 17 lose it (→ null), other keys divisible by 10 move — and
+    adds the customers of nations 20+, who are absent from the first."""
+    first = testdata.customers(t).withColumn("_key", F.col("id").cast("bigint"))
+    snap0 = first.where(F.col("c_nationkey") < 20)
+    city = (F.when(F.col("_key") % 17 == 0, F.lit(None).cast("string"))
+             .when(F.col("_key") % 10 == 0, F.concat(F.col("city"), F.lit(" North")))
+             .otherwise(F.col("city")))
+    snap1 = first.withColumn("city", city)
+    return [conform(s, SOURCE_DDL["customers"]) for s in (snap0, snap1)]
+
+
+_SCD_OUT = ["customer_sk", "customer_id", "first_name", "last_name", "city",
+            "effective_from", "effective_to", "is_current"]
+
+
+@query("scd2_merge")
+def q_scd2_merge(spark, sf_dir):
+    """D-SCD2: two customer extracts merged one after the other."""
+    from ..operators import clean as C
+    snaps = _customer_snapshots(tables(spark, sf_dir))
+    dim = None
+    for i, snap in enumerate(snaps):
+        c = C.clean_customers(snap, SNAPSHOT_TS[i])
+        dim = dims.merge_dimension("customer", dim, c, SNAPSHOT_TS[i])
+    return dim.select(*_SCD_OUT)
+
+
+@query("scd2_from_log")
+def q_scd2_from_log(spark, sf_dir):
+    """Version history of each customer's order priority, rebuilt from
+    the order log (a new version whenever the priority changes)."""
+    o = tables(spark, sf_dir).orders
+    log = o.select(F.col("o_custkey").cast("string").alias("customer_id"),
+                   F.col("o_orderpriority").alias("priority"),
+                   F.col("o_orderdate").alias("changed_at"),
+                   F.col("o_orderkey").alias("order_key"))
+    spec = scd2.Scd2Spec(sk="version_sk", key="customer_id", tracked=["priority"])
+    h = scd2.scd2_from_log(log, spec, "changed_at", ["order_key"])
+    return h.select("version_sk", "customer_id", "priority", "effective_from",
+                    "effective_to", "is_current")
+
+
+# --------------------------------------------------------------- facts -----
+
+@query("fact_order")
+def q_fact_order(spark, sf_dir):
+    return star(spark, sf_dir).fact("order").select(
+        "order_sk", "order_id", "customer_sk", "restaurant_sk", "order_date_sk",
+        "order_time_sk", "promotion_sk", "order_status", "order_total", "tip_amount")
+
+
+@query("fact_order_item")
+def q_fact_order_item(spark, sf_dir):
+    return star(spark, sf_dir).fact("order_item").select(
+        "order_item_sk", "order_item_id", "order_sk", "product_sk", "quantity", "unit_price",
+        "item_total")
+
+
+@query("fact_delivery")
+def q_fact_delivery(spark, sf_dir):
+    return star(spark, sf_dir).fact("delivery").select(
+        "delivery_sk", "delivery_id", "order_sk", "delivery_person_sk", "pickup_date_sk",
+        "pickup_time_sk", "delivery_date_sk", "delivery_time_sk",
+        "delivery_duration_minutes", "weather_conditions", "traffic_density")
+
+
+@query("fact_rating")
+def q_fact_rating(spark, sf_dir):
+    return star(spark, sf_dir).fact("rating").select(
+        "rating_sk", "rating_id", "order_sk", "customer_sk", "restaurant_sk",
+        "delivery_person_sk", "rating_date_sk", "rating_time_sk", "overall_rating")
+
+
+# --------------------------------------------------------------- views -----
+
+@query("vw_restaurant_order_performance")
+def q_v1(spark, sf_dir):
     s = star(spark, sf_dir)
     return views.restaurant_order_performance(s.fact("order"), s.dim("restaurant"),
                                               s.dim("date"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "vw_restaurant_order_performance": q_vw_restaurant_order_performance,
-}
+@query("vw_delivery_performance")
+def q_v2(spark, sf_dir):
+    s = star(spark, sf_dir)
+    return views.delivery_performance(s.fact("delivery"), s.dim("delivery_person"),
+                                      s.dim("date"), s.fact("rating"))
+
+
+@query("vw_delivery_performance_literal")
+def q_v2_literal(spark, sf_dir):
+    s = star(spark, sf_dir)
+    return views.delivery_performance(s.fact("delivery"), s.dim("delivery_person"),
+                                      s.dim("date"), s.fact("rating"), mode="literal")
+
+
+@query("vw_customer_order_patterns")
+def q_v3(spark, sf_dir):
+    s = star(spark, sf_dir)
+    return views.customer_order_patterns(s.fact("order"), s.dim("customer"), s.dim("date"),
+                                         s.dim("restaurant"))
+
+
+@query("vw_product_performance")
+def q_v4(spark, sf_dir):
+    s = star(spark, sf_dir)
+    return views.product_performance(s.fact("order_item"), s.dim("product"), s.fact("order"),
+                                     s.dim("restaurant"), s.dim("date"))
+
+
+@query("vw_promotion_effectiveness")
+def q_v5(spark, sf_dir):
+    s = star(spark, sf_dir)
+    return views.promotion_effectiveness(s.fact("order"), s.dim("promotion"), s.dim("date"))
+
+
+# ------------------------------------------------------------- metrics -----
+
+@query("daily_orders")
+def q_daily_orders(spark, sf_dir):
+    return K.daily_orders(star(spark, sf_dir).clean("orders"))
+
+
+@query("daily_orders_filtered")
+def q_daily_orders_filtered(spark, sf_dir):
+    """K1 with the default filter: the last 30 days of data."""
+    orders = star(spark, sf_dir).clean("orders")
+    lo, hi = K.last_days_window(orders, "order_date", 30)
+    return K.daily_orders(orders, K.Filters(start=lo, end=hi))
+
+
+def _minutes(spark, sf_dir):
+    return K.delivery_minutes(testdata.delivery(tables(spark, sf_dir)))
+
+
+@query("delivery_minutes")
+def q_delivery_minutes(spark, sf_dir):
+    return _minutes(spark, sf_dir)
+
+
+@query("status_distribution")
+def q_status_distribution(spark, sf_dir):
+    return K.status_distribution(star(spark, sf_dir).clean("orders"))
+
+
+@query("weather_impact")
+def q_weather_impact(spark, sf_dir):
+    return K.weather_impact(_minutes(spark, sf_dir))
+
+
+@query("traffic_impact")
+def q_traffic_impact(spark, sf_dir):
+    return K.traffic_impact(_minutes(spark, sf_dir))
+
+
+@query("top_restaurants")
+def q_top_restaurants(spark, sf_dir):
+    return K.top_restaurants(star(spark, sf_dir).clean("restaurants"))
+
+
+@query("kpi_row")
+def q_kpi_row(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    orders = testdata.orders(t).withColumnRenamed("tips", "tip_amount")
+    return K.kpi_row(orders, K.delivery_minutes(testdata.delivery(t)))
+
+
+@query("mom_growth")
+def q_mom_growth(spark, sf_dir):
+    return K.mom_growth(star(spark, sf_dir).clean("orders"))
+
+
+@query("top_promotions")
+def q_top_promotions(spark, sf_dir):
+    s = star(spark, sf_dir)
+    return K.top_promotions(s.fact("order"), s.dim("promotion"))
+
+
+@query("filter_choices")
+def q_filter_choices(spark, sf_dir):
+    s = star(spark, sf_dir)
+    return K.filter_choices(s.clean("restaurants"), s.clean("delivery"))
+
+
+@query("date_bounds")
+def q_date_bounds(spark, sf_dir):
+    return K.date_bounds(star(spark, sf_dir).clean("orders"))
+
+
+# -------------------------------------------------------------- audits -----
+
+_BUSINESS_KEYS = {"clean_restaurants": "restaurant_id", "clean_products": "product_id",
+                  "clean_customers": "customer_id", "clean_orders": "order_id",
+                  "clean_order_items": "order_item_id", "clean_delivery": "delivery_id",
+                  "clean_ratings": "rating_id"}
+
+
+@query("audit_pk")
+def q_audit_pk(spark, sf_dir):
+    """Q1 over the surrogate keys of the star and the business keys of the
+    clean layer."""
+    t = star(spark, sf_dir).tables()
+    keys = {**{k: v for k, v in audits.PRIMARY_KEYS.items()}, **_BUSINESS_KEYS}
+    return audits.audit_primary_keys(t, keys)
+
+
+@query("audit_fk")
+def q_audit_fk(spark, sf_dir):
+    return audits.audit_foreign_keys(star(spark, sf_dir).tables())
+
+
+@query("audit_reconcile")
+def q_audit_reconcile(spark, sf_dir):
+    """Q3: rows per entity and layer, and lookups that found no key."""
+    s = star(spark, sf_dir)
+    layers = [
+        ("restaurants", "stage", s.stage["restaurants"]),
+        ("restaurants", "clean", s.clean("restaurants")),
+        ("restaurants", "dimension", s.dim("restaurant")),
+        ("customers", "stage", s.stage["customers"]),
+        ("customers", "clean", s.clean("customers")),
+        ("customers", "dimension", s.dim("customer")),
+        ("products", "stage", s.stage["products"]),
+        ("products", "clean", s.clean("products")),
+        ("products", "dimension", s.dim("product")),
+        ("promotions", "stage", s.stage["promotions"]),
+        ("promotions", "clean", s.clean("promotions")),
+        ("promotions", "dimension", s.dim("promotion")),
+        ("orders", "stage", s.stage["orders"]),
+        ("orders", "clean", s.clean("orders")),
+        ("orders", "fact", s.fact("order")),
+        ("order_items", "stage", s.stage["order_items"]),
+        ("order_items", "clean", s.clean("order_items")),
+        ("order_items", "fact", s.fact("order_item")),
+        ("delivery", "stage", s.stage["delivery"]),
+        ("delivery", "clean", s.clean("delivery")),
+        ("delivery", "fact", s.fact("delivery")),
+        ("ratings", "clean", s.clean("ratings")),
+        ("ratings", "fact", s.fact("rating")),
+    ]
+    return audits.reconcile(layers)
+
+
+@query("audit_lookup_completeness")
+def q_audit_lookup_completeness(spark, sf_dir):
+    s = star(spark, sf_dir)
+    return audits.lookup_completeness(
+        s.fact("order"), "fact_order",
+        ["customer_sk", "restaurant_sk", "order_date_sk", "order_time_sk", "promotion_sk"])
+
+
+# ----------------------------------------------------- incremental / files -----
+
+@query("high_water_mark")
+def q_high_water_mark(spark, sf_dir):
+    """Rows of the order extract newer than what a first load (orders
+    before 1998) already holds; the mark is a scalar subquery."""
+    orders = star(spark, sf_dir).clean("orders")
+    loaded = orders.where(F.col("order_date") < F.lit("1998-01-01").cast("timestamp_ntz"))
+    mark = loaded.agg(F.coalesce(F.max("order_date"),
+                                 F.lit("1900-01-01").cast("timestamp_ntz"))).scalar()
+    return orders.where(F.col("order_date") > mark).select("order_id", "order_date")
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    """Promotions written as a quoted CSV extract with NULL
+    markers, read back with the declared schema and cleaned."""
+    from ..operators import clean as C
+    path = scratch_path(spark, "promotions-csv")
+    csvsrc.write_extract(testdata.promotions(tables(spark, sf_dir)), path, quoting="all")
+    read = csvsrc.read_source(spark, "promotions", path, "promotions_csv", DEFAULT_BATCH_TS)
+    return C.clean_promotions(read.good, DEFAULT_BATCH_TS).select(*_CLEAN_COLS["promotions"])
+
+
+@query("csv_quarantine")
+def q_csv_quarantine(spark, sf_dir):
+    """An order extract where pending orders carry an unreadable tip
+    and urgent finished orders an extra field; those rows are quarantined."""
+    t = tables(spark, sf_dir)
+    src = testdata.orders(t)
+    o = t.orders.select(F.col("o_orderkey").cast("string").alias("id"), "o_orderpriority")
+    rows = src.join(o, "id")
+    text = rows.select(*[F.col(c).cast("string").alias(c) for c in src.columns],
+                       "o_orderpriority")
+    text = text.withColumn("tips", F.when(F.col("updated_status") == "Preparing",
+                                          F.lit("n/a")).otherwise(F.col("tips")))
+    extra = (F.col("updated_status") == "Delivered") & (F.col("o_orderpriority") == "1-URGENT")
+    text = text.withColumn("order_total", F.when(
+        extra, F.concat(F.coalesce(F.col("order_total"), F.lit("")), F.lit(",x")))
+        .otherwise(F.col("order_total"))).drop("o_orderpriority")
+    path = scratch_path(spark, "orders-csv")
+    csvsrc.write_extract(text, path, quoting="none")
+    read = csvsrc.read_source(spark, "orders", path, "orders_csv", DEFAULT_BATCH_TS)
+    good = read.good.select(F.col("id").alias("order_id"), F.lit(False).alias("quarantined"))
+    bad = read.quarantine.select(
+        F.coalesce(F.col("id"), F.split(F.col("raw_record"), ",").getItem(0)).alias("order_id"),
+        F.lit(True).alias("quarantined"))
+    return good.unionByName(bad)
+
+
+@query("multi_source_union")
+def q_multi_source_union(spark, sf_dir):
+    """Restaurants arriving in two feeds with different layouts."""
+    from ..operators import clean as C
+    main, second = testdata.restaurants_split(tables(spark, sf_dir))
+    main = csvsrc.with_provenance(main, "restaurants_csv", "restaurants.csv", DEFAULT_BATCH_TS)
+    second = csvsrc.with_provenance(second, "zomato_csv", "zomato.csv", DEFAULT_BATCH_TS)
+    both = csvsrc.union_restaurant_feeds(main, second)
+    return C.clean_restaurants(both, DEFAULT_BATCH_TS).select(
+        "restaurant_id", "restaurant_name", "cuisine_type", "city", "state", "postal_code",
+        "rating", "source_system")
+
+
+def _orders_batches(t: testdata.Tables) -> list[DataFrame]:
+    src = testdata.orders(t)
+    early = F.col("created_at") < F.lit("1998-01-01").cast("timestamp_ntz")
+    return [src.where(early), src.where(~early)]
+
+
+@query("incremental_clean")
+def q_incremental_clean(spark, sf_dir):
+    """Two order extracts land one after the other; each availableNow
+    run of the stage stream cleans only the new files."""
+    root = scratch_path(spark, "incremental-orders")
+    for i, b in enumerate(_orders_batches(tables(spark, sf_dir))):
+        stamped = csvsrc.with_provenance(b, "orders_csv", f"orders_{i}.csv", SNAPSHOT_TS[i])
+        incremental.land_batch(stamped, root, "orders", i)
+        incremental.run_once(spark, root, "orders", incremental.clean_handler(root, "orders"))
+    return store.read_table(spark, root, "clean", "orders").select(*_CLEAN_COLS["orders"])
+
+
+@query("incremental_scd2")
+def q_incremental_scd2(spark, sf_dir):
+    """The two customer extracts of ``scd2_merge`` through the stage
+    stream; each micro-batch merges into the previous snapshot."""
+    root = scratch_path(spark, "incremental-customers")
+    for i, snap in enumerate(_customer_snapshots(tables(spark, sf_dir))):
+        stamped = csvsrc.with_provenance(snap, "customers_csv", f"customers_{i}.csv",
+                                         SNAPSHOT_TS[i])
+        incremental.land_batch(stamped, root, "customers", i)
+        incremental.run_once(spark, root, "customers",
+                             incremental.dimension_handler(root, "customers", "customer"))
+    v = store.latest_version(spark, root, "dim_customer")
+    return store.read_snapshot(spark, root, "dim_customer", v).select(*_SCD_OUT)

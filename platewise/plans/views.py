@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import money_avg, money_sum
+from ..functions.scalars import mean, money_avg, money_sum
 
 
 def _current(dim: DataFrame, sk: str, key: str, cols: list[str], history: str) -> DataFrame:
@@ -70,9 +70,9 @@ def delivery_performance(fact_delivery: DataFrame, dim_person: DataFrame,
         j = d.join(fact_rating.select("order_sk", "delivery_rating"), "order_sk", "left")
         return j.groupBy(*keys).agg(
             F.count("delivery_id").alias("total_deliveries"),
-            F.avg("delivery_duration_minutes").alias("avg_delivery_time"),
-            F.avg("delivery_distance").alias("avg_delivery_distance"),
-            F.avg("delivery_rating").alias("avg_delivery_rating"))
+            mean("delivery_duration_minutes").alias("avg_delivery_time"),
+            mean("delivery_distance").alias("avg_delivery_distance"),
+            mean("delivery_rating").alias("avg_delivery_rating"))
     per_order = (fact_rating.where(F.col("order_sk").isNotNull())
                  .groupBy("order_sk").agg(
                      F.sum("delivery_rating").alias("_rsum"),
@@ -80,8 +80,8 @@ def delivery_performance(fact_delivery: DataFrame, dim_person: DataFrame,
     j = d.join(per_order, "order_sk", "left")
     return j.groupBy(*keys).agg(
         F.count("delivery_id").alias("total_deliveries"),
-        F.avg("delivery_duration_minutes").alias("avg_delivery_time"),
-        F.avg("delivery_distance").alias("avg_delivery_distance"),
+        mean("delivery_duration_minutes").alias("avg_delivery_time"),
+        mean("delivery_distance").alias("avg_delivery_distance"),
         F.try_divide(F.sum("_rsum").cast("double"),
                      F.sum("_rcnt").cast("double")).alias("avg_delivery_rating"))
 

@@ -74,3 +74,16 @@ _COUNTER = [0]
 def _next_id() -> int:
     _COUNTER[0] += 1
     return _COUNTER[0]
+
+
+def freeze(df):
+    """Materialise ``df`` into the shared checkpoint folder and cut its
+    lineage (reliable checkpoint, never a local one).  The frame is cached
+    first so writing the checkpoint does not compute it twice."""
+    from pyspark import StorageLevel
+
+    scratch_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    frozen = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return frozen

@@ -136,7 +136,8 @@ def customers(t: Tables) -> DataFrame:
         F.split_part("c_name", F.lit("#"), F.lit(1)).alias("first_name"),
         F.split_part("c_name", F.lit("#"), F.lit(2)).alias("last_name"),
         F.col("n_name").alias("city"),
-        F.col("c_mktsegment").alias("segment"))
+        F.col("c_mktsegment").alias("segment"),
+        F.col("c_nationkey"))
     return df
 
 
@@ -177,17 +178,22 @@ def delivery(t: Tables) -> DataFrame:
     e = t.events
     k = F.get_json_object("props", "$.k").cast("int")
     picked = F.timestamp_add("SECOND", F.floor(F.col("value") * 60), F.col("ts"))
+
+    def clock(c):  # 'HH:mm:ss' without a time-zone round trip
+        return F.format_string("%02d:%02d:%02d", F.hour(c), F.minute(c), F.second(c))
+
     df = e.select(
         _s("event_id").alias("ID"),
         _s("user_id").alias("Delivery_person_ID"),
-        F.date_format("ts", "HH:mm:ss").alias("Time_Orderd"),
+        clock(F.col("ts")).alias("Time_Orderd"),
         F.when(F.col("event_type") == "error", F.lit("NaN"))
-         .otherwise(F.date_format(picked, "HH:mm:ss")).alias("Time_Order_picked"),
+         .otherwise(clock(picked)).alias("Time_Order_picked"),
         _case(F.col("event_type"), WEATHER_BY_EVENT).alias("Weatherconditions"),
         F.when(k < 25, "Low").when(k < 50, "Medium").when(k < 75, "High")
          .otherwise("Jam").alias("Road_traffic_density"),
         _pick(F.col("user_id") % 3, VEHICLES).alias("Type_of_vehicle"),
-        F.date_format("ts", "dd-MM-yyyy").alias("Order_Date"),
+        F.format_string("%02d-%02d-%04d", F.dayofmonth("ts"), F.month("ts"),
+                        F.year("ts")).alias("Order_Date"),
         _pick(k % 4, ORDER_KINDS).alias("Type_of_order"),
         (k % 3).alias("multiple_deliveries"),
         _s("event_id").alias("Order_ID"))
