@@ -74,9 +74,9 @@ def parse_clock_seconds(s) -> Column:
     t = F.trim(_c(s))
     ok = t.rlike(r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?$")
     parts = F.split(t, ":")
-    secs = (F.element_at(parts, 1).try_cast("int") * 3600
-            + F.element_at(parts, 2).try_cast("int") * 60
-            + F.coalesce(F.element_at(parts, 3).try_cast("double"), F.lit(0.0)).cast("int"))
+    secs = (F.try_element_at(parts, F.lit(1)).try_cast("int") * 3600
+            + F.try_element_at(parts, F.lit(2)).try_cast("int") * 60
+            + F.coalesce(F.try_element_at(parts, F.lit(3)).try_cast("double"), F.lit(0.0)).cast("int"))
     return F.when(ok, secs)
 
 

@@ -55,17 +55,6 @@ def latest_per_key(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
     return agg.select(key, *[F.col("_r." + c).alias(c) for c in payload])
 
 
-def empty_dimension(spark, spec: Scd2Spec, like: DataFrame) -> DataFrame:
-    """An empty dimension with the spec's layout, typed after ``like``."""
-    cols = [F.lit(None).cast("bigint").alias(spec.sk), F.col(spec.key)]
-    cols += [F.col(c) for c in spec.attrs]
-    cols += [F.lit(None).cast("timestamp_ntz").alias("effective_from"),
-             F.lit(None).cast("timestamp_ntz").alias("effective_to"),
-             F.lit(None).cast("boolean").alias("is_current"),
-             F.lit(None).cast("timestamp_ntz").alias("dw_created_at")]
-    return like.select(*cols).limit(0)
-
-
 def scd2_merge(dim: DataFrame | None, source: DataFrame, spec: Scd2Spec, batch_ts: str,
                order_by: list[str] | None = None, next_key: int | None = None) -> DataFrame:
     """Apply one source batch to a type-2 dimension; returns the new snapshot.
@@ -79,9 +68,14 @@ def scd2_merge(dim: DataFrame | None, source: DataFrame, spec: Scd2Spec, batch_t
     src = source.select(*dict.fromkeys([spec.key, *spec.attrs, *(order_by or [])]))
     if order_by:
         src = latest_per_key(src, spec.key, order_by)
-    src = src.select(spec.key, *spec.attrs)
+    src = src.select(spec.key, *spec.attrs).where(F.col(spec.key).isNotNull())
     if dim is None:
-        dim = empty_dimension(source.sparkSession, spec, src)
+        # initial load: every key is new — no join needed
+        fresh = src.select(spec.key, *spec.attrs, ts.alias("effective_from"),
+                           F.lit(None).cast("timestamp_ntz").alias("effective_to"),
+                           F.lit(True).alias("is_current"), ts.alias("dw_created_at"))
+        return assign_keys(fresh, spec.sk, [spec.key], offset=int(next_key or 0)
+                           ).select(*spec.columns)
     dim = dim.select(*spec.columns)
     if next_key is None:
         # one scalar to the driver: where the key sequence continues

@@ -175,8 +175,8 @@ def order_items(t: Tables) -> DataFrame:
 
 
 def delivery(t: Tables) -> DataFrame:
-    e = t.events
-    k = F.get_json_object("props", "$.k").cast("int")
+    e = t.events.withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("_k")
     picked = F.timestamp_add("SECOND", F.floor(F.col("value") * 60), F.col("ts"))
 
     def clock(c):  # 'HH:mm:ss' without a time-zone round trip
