@@ -76,7 +76,7 @@ def _with_holidays(dim: DataFrame, holidays: DataFrame | None) -> DataFrame:
         return dim
     h = holidays.select(F.col("holiday_date").alias("date_id"),
                         F.col("holiday_name").alias("_hname"))
-    return (dim.join(F.broadcast(h), "date_id", "left")
+    return (dim.join(h, "date_id", "left")
             .withColumn("is_holiday", F.col("_hname").isNotNull())
             .withColumn("holiday_name", F.col("_hname"))
             .drop("_hname")

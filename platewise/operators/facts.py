@@ -13,7 +13,10 @@ Each builder is one scan of its clean table plus left joins:
 * fact → fact links (item → order, delivery/rating → order) shuffle on the
   order id (J5, J6).
 
-Surrogate keys of the facts follow the business id order (``assign_keys``).
+Surrogate keys are assigned on the clean rows *before* the lookups (as the
+clean tables carry the auto-increment key in the warehouse design), in
+business id order (``assign_keys``): the key sampling and the frozen copy
+then cover only the narrow clean input, never the joins.
 """
 
 from __future__ import annotations
@@ -53,32 +56,34 @@ def _lookup(df: DataFrame, dim: DataFrame, fk: str, key: str, sk: str) -> DataFr
 
 def fact_order(orders: DataFrame, dim_customer: DataFrame, dim_restaurant: DataFrame,
                dim_promotion: DataFrame, dim_date: DataFrame, dim_time: DataFrame,
-               batch_ts: str) -> DataFrame:
-    f = _lookup(orders, dim_customer, "customer_id", "customer_id", "customer_sk")
+               batch_ts: str, key_offset: int = 0) -> DataFrame:
+    """``key_offset``: largest ``order_sk`` already issued (incremental loads)."""
+    f = assign_keys(orders, "order_sk", ["order_id", "customer_id", "order_date"],
+                    offset=key_offset)
+    f = _lookup(f, dim_customer, "customer_id", "customer_id", "customer_sk")
     f = _lookup(f, dim_restaurant, "restaurant_id", "restaurant_id", "restaurant_sk")
     f = _lookup(f, dim_promotion, "promotion_id", "promotion_id", "promotion_sk")
     f = with_date_time_keys(f, "order_date", dim_date, dim_time, "order_date_sk", "order_time_sk")
     f = f.withColumn("dw_created_at", F.lit(batch_ts).cast("timestamp_ntz"))
-    f = conform(f, FACT_DDL["order"].replace("order_sk bigint, ", ""))
-    return conform(assign_keys(f, "order_sk", ["order_id", "customer_sk", "order_date"]),
-                   FACT_DDL["order"])
+    return conform(f, FACT_DDL["order"])
 
 
 def fact_order_item(items: DataFrame, fact_order_df: DataFrame, dim_product: DataFrame,
                     batch_ts: str) -> DataFrame:
+    order = ["order_item_id", "order_id", "product_id", "quantity", "unit_price"]
+    f = assign_keys(items, "order_item_sk", order)
     o = fact_order_df.select(F.col("order_id").alias("_oid"), "order_sk")
-    f = items.join(o, items.order_id == o._oid, "inner").drop("_oid")  # J5
+    f = f.join(o, f.order_id == o._oid, "inner").drop("_oid")  # J5
     f = _lookup(f, dim_product, "product_id", "product_id", "product_sk")
     f = f.withColumn("dw_created_at", F.lit(batch_ts).cast("timestamp_ntz"))
-    f = conform(f, FACT_DDL["order_item"].replace("order_item_sk bigint, ", ""))
-    order = ["order_item_id", "order_sk", "product_sk", "quantity", "unit_price"]
-    return conform(assign_keys(f, "order_item_sk", order), FACT_DDL["order_item"])
+    return conform(f, FACT_DDL["order_item"])
 
 
 def fact_delivery(delivery: DataFrame, fact_order_df: DataFrame, dim_person: DataFrame,
                   dim_date: DataFrame, dim_time: DataFrame, batch_ts: str) -> DataFrame:
+    f = assign_keys(delivery, "delivery_sk", ["delivery_id", "order_id", "pickup_time"])
     o = fact_order_df.select(F.col("order_id").alias("_oid"), "order_sk")
-    f = delivery.join(o, delivery.order_id == o._oid, "left").drop("_oid")  # J6
+    f = f.join(o, f.order_id == o._oid, "left").drop("_oid")  # J6
     f = _lookup(f, dim_person, "delivery_person_id", "delivery_person_id", "delivery_person_sk")
     f = with_date_time_keys(f, "pickup_time", dim_date, dim_time,
                             "pickup_date_sk", "pickup_time_sk")
@@ -87,22 +92,20 @@ def fact_delivery(delivery: DataFrame, fact_order_df: DataFrame, dim_person: Dat
     f = (f.withColumn("delivery_duration_minutes",
                       X.minute_boundaries("pickup_time", "delivery_time"))
           .withColumn("dw_created_at", F.lit(batch_ts).cast("timestamp_ntz")))
-    f = conform(f, FACT_DDL["delivery"].replace("delivery_sk bigint, ", ""))
-    order = ["delivery_id", "order_sk", "delivery_person_sk", "pickup_date_sk", "pickup_time_sk"]
-    return conform(assign_keys(f, "delivery_sk", order), FACT_DDL["delivery"])
+    return conform(f, FACT_DDL["delivery"])
 
 
 def fact_rating(ratings: DataFrame, fact_order_df: DataFrame, dim_customer: DataFrame,
                 dim_restaurant: DataFrame, dim_person: DataFrame, dim_date: DataFrame,
                 dim_time: DataFrame, batch_ts: str) -> DataFrame:
+    f = assign_keys(ratings, "rating_sk", ["rating_id", "created_at", "order_id",
+                                            "overall_rating"])
     o = fact_order_df.select(F.col("order_id").alias("_oid"), "order_sk")
-    f = ratings.join(o, ratings.order_id == o._oid, "left").drop("_oid")  # J6
+    f = f.join(o, f.order_id == o._oid, "left").drop("_oid")  # J6
     f = _lookup(f, dim_customer, "customer_id", "customer_id", "customer_sk")
     f = _lookup(f, dim_restaurant, "restaurant_id", "restaurant_id", "restaurant_sk")
     f = _lookup(f, dim_person, "delivery_person_id", "delivery_person_id", "delivery_person_sk")
     f = with_date_time_keys(f, "created_at", dim_date, dim_time,
                             "rating_date_sk", "rating_time_sk")
     f = f.withColumn("dw_created_at", F.lit(batch_ts).cast("timestamp_ntz"))
-    f = conform(f, FACT_DDL["rating"].replace("rating_sk bigint, ", ""))
-    order = ["rating_id", "created_at", "order_sk", "overall_rating"]
-    return conform(assign_keys(f, "rating_sk", order), FACT_DDL["rating"])
+    return conform(f, FACT_DDL["rating"])

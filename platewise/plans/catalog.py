@@ -457,3 +457,23 @@ def q_incremental_scd2(spark, sf_dir):
                              incremental.dimension_handler(root, "customers", "customer"))
     v = store.latest_version(spark, root, "dim_customer")
     return store.read_snapshot(spark, root, "dim_customer", v).select(*_SCD_OUT)
+
+
+@query("incremental_fact_order")
+def q_incremental_fact_order(spark, sf_dir):
+    """Order facts appended per micro-batch; dimensions loaded once as
+    snapshots, the calendar covers every order date."""
+    from ..operators import calendar
+    root = scratch_path(spark, "incremental-facts")
+    s = star(spark, sf_dir)
+    for name in ("customer", "restaurant", "promotion"):
+        store.write_snapshot(s.dim(name), root, f"dim_{name}", 0)
+    dim_date = calendar.dim_date_covering(s.calendar_dates())
+    handler = incremental.fact_order_handler(root, dim_date, calendar.dim_time(spark))
+    for i, b in enumerate(_orders_batches(tables(spark, sf_dir))):
+        stamped = csvsrc.with_provenance(b, "orders_csv", f"orders_{i}.csv", SNAPSHOT_TS[i])
+        incremental.land_batch(stamped, root, "orders", i)
+        incremental.run_once(spark, root, "orders", handler, name="orders_facts")
+    return store.read_table(spark, root, "consumption", "fact_order").select(
+        "order_sk", "order_id", "customer_sk", "restaurant_sk", "order_date_sk",
+        "order_time_sk", "promotion_sk", "order_status", "order_total", "tip_amount")

@@ -226,10 +226,10 @@ LEFT JOIN d_promotion p ON o.promotion_id = p.promotion_id
 LEFT JOIN d_date d ON CAST(o.order_date AS DATE) = d.date_id""")
 
 cte("f_order_item", ["c_order_items", "f_order", "d_product"], """
-SELECT row_number() OVER (ORDER BY i.order_item_id, o.order_sk, p.product_sk NULLS FIRST,
-                          i.quantity, i.unit_price) AS order_item_sk,
-       i.order_item_id, o.order_sk, p.product_sk, i.quantity, i.unit_price, i.item_total
-FROM c_order_items i
+SELECT i.order_item_sk, i.order_item_id, o.order_sk, p.product_sk, i.quantity, i.unit_price,
+       i.item_total
+FROM (SELECT row_number() OVER (ORDER BY order_item_id, order_id, product_id, quantity,
+                                unit_price) AS order_item_sk, * FROM c_order_items) i
 JOIN f_order o ON i.order_id = o.order_id
 LEFT JOIN d_product p ON i.product_id = p.product_id""")
 
@@ -567,6 +567,15 @@ FROM c_restaurants""", "c_restaurants")
 
 Q["incremental_clean"] = Q["clean_orders"]
 
+Q["incremental_fact_order"] = sql("""
+WITH b AS (SELECT *, CASE WHEN order_date < TIMESTAMP '1998-01-01' THEN 0 ELSE 1 END AS batch
+           FROM f_order)
+SELECT CASE WHEN batch = 0 THEN 0 ELSE (SELECT COUNT(*) FROM b WHERE batch = 0) END
+         + row_number() OVER (PARTITION BY batch ORDER BY order_id) AS order_sk,
+       order_id, customer_sk, restaurant_sk, order_date_sk, order_time_sk, promotion_sk,
+       order_status, order_total, tip_amount
+FROM b""", "f_order")
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(Q)
