@@ -6,51 +6,65 @@ but without funnelling every row through one task:
 
 1. range-partition on the order columns and sort inside each partition
    (a composite, unique order key also splits one hot business key);
-2. freeze that layout (``checkpoint`` into the shared checkpoint folder,
-   or a caller-provided already-written table), so partition ids and the row
-   position inside a partition are stable under task retries;
-3. count rows per partition — one row per partition, so the table is bounded
-   by the partition count, not by the data — and turn the counts into
-   running offsets;
-4. broadcast those offsets back: key = offset + partition offset + position.
+2. write that layout as a Parquet table in the shared scratch folder — the
+   written table cuts the lineage, and each file is one range partition whose
+   rows are in order;
+3. read it back with each row's file (its ``part-NNNNN`` number is the range
+   index) and position in the file (``_metadata.row_index``); count rows per
+   file — one row per file, so the table is bounded by the partition count,
+   not by the data — and turn the counts into running offsets;
+4. broadcast those offsets back: key = offset + file offset + position + 1.
 
 When ``order_by`` is not unique the numbering among full ties is arbitrary;
 callers order by every column that reaches the output, so tied rows are
 identical and the result as a multiset is still deterministic.
+
+``frozen=True`` numbers an already materialised frame in its current
+partition order instead (no shuffle, no write): keys are dense and unique but
+follow the stored layout rather than ``order_by``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import freeze
+from ..session import scratch_path
+
+
+def _with_offsets(df: DataFrame, part: Column, pos: Column, key_col: str, offset: int
+                  ) -> DataFrame:
+    d = df.withColumn("_part", part).withColumn("_pos", pos)
+    counts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(running), F.lit(0))
+                           .alias("_start"))
+    return (d.join(F.broadcast(starts), "_part")
+             .withColumn(key_col, (F.lit(int(offset)) + F.col("_start") + F.col("_pos") + 1)
+                         .cast("bigint"))
+             .drop("_part", "_pos", "_start"))
 
 
-def assign_keys(df: DataFrame, key_col: str, order_by: list, offset: Column | int = 0,
+def assign_keys(df: DataFrame, key_col: str, order_by: list, offset: int = 0,
                 num_partitions: int | None = None, frozen: bool = False) -> DataFrame:
     """Add ``key_col`` = offset + dense 1-based position in ``order_by`` order.
 
-    ``offset`` may be a column of a one-row DataFrame-free expression (an int)
-    or a literal; pass the current ``max(sk)`` to continue a key sequence.
+    ``offset`` is the largest key already issued (0 for a fresh sequence).
     """
     spark = df.sparkSession
+    if frozen:
+        mid = F.monotonically_increasing_id()
+        pid = F.spark_partition_id()
+        # the id packs (partition << 33) + row index inside the partition
+        return _with_offsets(df, pid, mid - F.shiftleft(pid.cast("bigint"), 33), key_col,
+                             offset)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    if not frozen:
-        n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = freeze(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
-    pos = (df.withColumn("_pid", F.spark_partition_id())
-             .withColumn("_mid", F.monotonically_increasing_id()))
-    # row index inside its partition: the id packs (partition << 33) + index
-    pos = pos.withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-    counts = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        "_pid", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_start"))
-    off = offset if isinstance(offset, Column) else F.lit(offset)
-    keyed = (pos.join(F.broadcast(starts), "_pid")
-             .withColumn(key_col, (off + F.col("_start") + F.col("_idx") + 1).cast("bigint"))
-             .drop("_pid", "_mid", "_idx", "_start"))
-    return keyed
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, f"keys-{key_col}")
+    (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+       .write.mode("overwrite").parquet(path))
+    stored = spark.read.schema(df.schema).parquet(path)
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
+    return _with_offsets(stored, part, F.col("_metadata.row_index"), key_col, offset)
 
 
 def max_key(df: DataFrame, key_col: str) -> DataFrame:
