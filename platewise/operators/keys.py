@@ -60,8 +60,9 @@ def assign_keys(df: DataFrame, key_col: str, order_by: list, offset: int = 0,
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, f"keys-{key_col}")
+    # one file per range partition, whatever the cluster's file-size settings
     (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-       .write.mode("overwrite").parquet(path))
+       .write.mode("overwrite").option("maxRecordsPerFile", 0).parquet(path))
     stored = spark.read.schema(df.schema).parquet(path)
     part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
     return _with_offsets(stored, part, F.col("_metadata.row_index"), key_col, offset)
