@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as X
+from ..functions.schemas import require_columns
 
 
 @dataclass(frozen=True)
@@ -73,6 +74,7 @@ def apply_filters(df: DataFrame, f: Filters, date_col: str | None = None,
 
 def daily_orders(orders: DataFrame, f: Filters = Filters()) -> DataFrame:
     """Orders per calendar day, sorted by day."""
+    require_columns(orders, ["order_date"], "daily orders")
     o = apply_filters(orders, f, date_col="order_date")
     return (o.where(F.col("order_date").isNotNull())
              .groupBy(F.to_date("order_date").alias("date"))
@@ -93,6 +95,8 @@ def delivery_seconds(stg_delivery: DataFrame) -> Column:
 def delivery_minutes(stg_delivery: DataFrame) -> DataFrame:
     """K2: minutes per delivery row, abs then clipped to [5, 120]; rows whose
     times do not parse keep null (X24, X25, D9)."""
+    require_columns(stg_delivery, ["ID", "Weatherconditions", "Road_traffic_density",
+                                   "Time_Orderd", "Time_Order_picked"], "delivery minutes")
     d = stg_delivery.withColumn("_secs", delivery_seconds(stg_delivery))
     d = d.withColumn("_clip_secs", X.clip_abs("_secs", 300, 7200))
     return d.select(
@@ -111,6 +115,7 @@ def _mean_minutes(secs: str = "delivery_seconds") -> Column:
 
 def status_distribution(orders: DataFrame) -> DataFrame:
     """Value counts of order status, descending; null status dropped (A10)."""
+    require_columns(orders, ["order_status"], "status distribution")
     return (orders.where(F.col("order_status").isNotNull())
             .groupBy(F.col("order_status").alias("status"))
             .agg(F.count(F.lit(1)).alias("count"))
@@ -144,6 +149,8 @@ def traffic_impact(minutes: DataFrame) -> DataFrame:
 
 def top_restaurants(restaurants: DataFrame, n: int = 10) -> DataFrame:
     """Top ``n`` by rating; ties broken by id (O2 → TakeOrderedAndProject)."""
+    require_columns(restaurants, ["restaurant_id", "restaurant_name", "cuisine_type", "rating"],
+                    "top restaurants")
     return (restaurants.where(F.col("rating").isNotNull())
             .select("restaurant_id", "restaurant_name", "cuisine_type", "rating")
             .orderBy(F.desc("rating"), "restaurant_id").limit(n))
@@ -156,6 +163,7 @@ def kpi_row(orders: DataFrame, minutes: DataFrame) -> DataFrame:
 
     Both inputs are stacked into one frame and aggregated once: no join,
     one partial aggregate per task."""
+    require_columns(orders, ["rating", "tip_amount"], "KPI row")
     o = orders.select(F.lit(1).alias("_is_order"), F.col("rating").alias("_rating"),
                       F.col("tip_amount").alias("_tip"),
                       F.lit(None).cast("bigint").alias("delivery_seconds"))
@@ -174,6 +182,7 @@ def kpi_row(orders: DataFrame, minutes: DataFrame) -> DataFrame:
 
 def monthly_orders(orders: DataFrame) -> DataFrame:
     """Orders per month."""
+    require_columns(orders, ["order_date"], "monthly orders")
     return (orders.where(F.col("order_date").isNotNull())
             .groupBy(F.trunc(F.to_date("order_date"), "month").alias("month"))
             .agg(F.count(F.lit(1)).alias("order_count")))

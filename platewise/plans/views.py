@@ -139,3 +139,34 @@ def promotion_effectiveness(fact_order: DataFrame, dim_promotion: DataFrame,
         money_avg("order_total").alias("avg_order_value"),
         F.try_divide(money_sum("order_total"),
                      F.count_distinct("order_id").cast("double")).alias("revenue_per_order"))
+
+
+VIEW_NAMES = {
+    "vw_restaurant_order_performance": "V1",
+    "vw_delivery_performance": "V2",
+    "vw_customer_order_patterns": "V3",
+    "vw_product_performance": "V4",
+    "vw_promotion_effectiveness": "V5",
+}
+
+
+def register_views(star, history: str = "current") -> list[str]:
+    """Publish V1–V5 as named (re-creatable) temp views over a star —
+    anything with ``fact(name)``/``dim(name)`` accessors, e.g.
+    ``plans.warehouse.Star`` — so SQL users can ``SELECT … FROM vw_…``."""
+    f, d = star.fact, star.dim
+    frames = {
+        "vw_restaurant_order_performance": restaurant_order_performance(
+            f("order"), d("restaurant"), d("date"), history),
+        "vw_delivery_performance": delivery_performance(
+            f("delivery"), d("delivery_person"), d("date"), f("rating"), history=history),
+        "vw_customer_order_patterns": customer_order_patterns(
+            f("order"), d("customer"), d("date"), d("restaurant"), history),
+        "vw_product_performance": product_performance(
+            f("order_item"), d("product"), f("order"), d("restaurant"), d("date"), history),
+        "vw_promotion_effectiveness": promotion_effectiveness(
+            f("order"), d("promotion"), d("date"), history),
+    }
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+    return list(frames)

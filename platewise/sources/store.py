@@ -22,6 +22,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 LAYERS = ("stage", "clean", "consumption")
 
 
+def create_layers(spark: SparkSession, root: str | None = None) -> list[str]:
+    """The three layers as databases of the session catalog (located
+    under ``root`` when given); ``IF NOT EXISTS`` makes it repeatable."""
+    for layer in LAYERS:
+        loc = f" LOCATION '{os.path.join(root, layer)}'" if root else ""
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}{loc}")
+    return list(LAYERS)
+
+
 def table_path(root: str, layer: str, table: str) -> str:
     assert layer in LAYERS, layer
     return os.path.join(root, layer, table)

@@ -71,3 +71,16 @@ def test_frozen_keys_are_dense_and_unique(spark, tmpdir_path):
     t = spark.read.parquet(tmpdir_path + "/t")
     keys = [r["k"] for r in assign_keys(t, "k", [], offset=10, frozen=True).collect()]
     assert sorted(keys) == list(range(11, 1011))
+
+
+def test_register_views_and_layers(spark, tmpdir_path):
+    from platewise.plans import catalog
+    from platewise.sources import store
+    from conftest import SF001
+    names = views.register_views(catalog.star(spark, SF001))
+    assert set(names) == set(views.VIEW_NAMES)
+    n = spark.sql("SELECT COUNT(*) FROM vw_promotion_effectiveness").first()[0]
+    assert n > 0
+    assert store.create_layers(spark) == ["stage", "clean", "consumption"]
+    dbs = {r[0] for r in spark.sql("SHOW DATABASES").collect()}
+    assert {"stage", "clean", "consumption"} <= dbs
