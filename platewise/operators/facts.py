@@ -14,9 +14,12 @@ Each builder is one scan of its clean table plus left joins:
   order id (J5, J6).
 
 Surrogate keys are assigned on the clean rows *before* the lookups (as the
-clean tables carry the auto-increment key in the warehouse design), in
-business id order (``assign_keys``): the key sampling and the frozen copy
-then cover only the narrow clean input, never the joins.
+clean tables carry the auto-increment key in the warehouse design), so the
+key step covers only the narrow clean input, never the joins.
+``key_mode="ordered"`` (default) numbers in business id order (a range
+sort and a written copy; reproducible whatever the file layout);
+``key_mode="stored"`` numbers a clean table read from storage in its stored
+order — no shuffle and no copy, the choice for very large facts.
 """
 
 from __future__ import annotations
@@ -49,6 +52,12 @@ def with_date_time_keys(df: DataFrame, ts_col: str, dim_date: DataFrame, dim_tim
     return out.drop(f"_{date_alias}_d", f"_{time_alias}_m")
 
 
+def _keys(df: DataFrame, key_col: str, order: list[str], offset: int, key_mode: str
+          ) -> DataFrame:
+    assert key_mode in ("ordered", "stored"), key_mode
+    return assign_keys(df, key_col, order, offset=offset, frozen=key_mode == "stored")
+
+
 def _lookup(df: DataFrame, dim: DataFrame, fk: str, key: str, sk: str) -> DataFrame:
     cur = current_keys(dim, key, sk).withColumnRenamed(key, f"_{sk}_k")
     return df.join(cur, df[fk] == cur[f"_{sk}_k"], "left").drop(f"_{sk}_k")
@@ -56,10 +65,10 @@ def _lookup(df: DataFrame, dim: DataFrame, fk: str, key: str, sk: str) -> DataFr
 
 def fact_order(orders: DataFrame, dim_customer: DataFrame, dim_restaurant: DataFrame,
                dim_promotion: DataFrame, dim_date: DataFrame, dim_time: DataFrame,
-               batch_ts: str, key_offset: int = 0) -> DataFrame:
+               batch_ts: str, key_offset: int = 0, key_mode: str = "ordered") -> DataFrame:
     """``key_offset``: largest ``order_sk`` already issued (incremental loads)."""
-    f = assign_keys(orders, "order_sk", ["order_id", "customer_id", "order_date"],
-                    offset=key_offset)
+    f = _keys(orders, "order_sk", ["order_id", "customer_id", "order_date"], key_offset,
+              key_mode)
     f = _lookup(f, dim_customer, "customer_id", "customer_id", "customer_sk")
     f = _lookup(f, dim_restaurant, "restaurant_id", "restaurant_id", "restaurant_sk")
     f = _lookup(f, dim_promotion, "promotion_id", "promotion_id", "promotion_sk")
@@ -69,9 +78,9 @@ def fact_order(orders: DataFrame, dim_customer: DataFrame, dim_restaurant: DataF
 
 
 def fact_order_item(items: DataFrame, fact_order_df: DataFrame, dim_product: DataFrame,
-                    batch_ts: str) -> DataFrame:
+                    batch_ts: str, key_offset: int = 0, key_mode: str = "ordered") -> DataFrame:
     order = ["order_item_id", "order_id", "product_id", "quantity", "unit_price"]
-    f = assign_keys(items, "order_item_sk", order)
+    f = _keys(items, "order_item_sk", order, key_offset, key_mode)
     o = fact_order_df.select(F.col("order_id").alias("_oid"), "order_sk")
     f = f.join(o, f.order_id == o._oid, "inner").drop("_oid")  # J5
     f = _lookup(f, dim_product, "product_id", "product_id", "product_sk")
@@ -80,8 +89,10 @@ def fact_order_item(items: DataFrame, fact_order_df: DataFrame, dim_product: Dat
 
 
 def fact_delivery(delivery: DataFrame, fact_order_df: DataFrame, dim_person: DataFrame,
-                  dim_date: DataFrame, dim_time: DataFrame, batch_ts: str) -> DataFrame:
-    f = assign_keys(delivery, "delivery_sk", ["delivery_id", "order_id", "pickup_time"])
+                  dim_date: DataFrame, dim_time: DataFrame, batch_ts: str,
+                  key_offset: int = 0, key_mode: str = "ordered") -> DataFrame:
+    f = _keys(delivery, "delivery_sk", ["delivery_id", "order_id", "pickup_time"], key_offset,
+              key_mode)
     o = fact_order_df.select(F.col("order_id").alias("_oid"), "order_sk")
     f = f.join(o, f.order_id == o._oid, "left").drop("_oid")  # J6
     f = _lookup(f, dim_person, "delivery_person_id", "delivery_person_id", "delivery_person_sk")
@@ -97,9 +108,10 @@ def fact_delivery(delivery: DataFrame, fact_order_df: DataFrame, dim_person: Dat
 
 def fact_rating(ratings: DataFrame, fact_order_df: DataFrame, dim_customer: DataFrame,
                 dim_restaurant: DataFrame, dim_person: DataFrame, dim_date: DataFrame,
-                dim_time: DataFrame, batch_ts: str) -> DataFrame:
-    f = assign_keys(ratings, "rating_sk", ["rating_id", "created_at", "order_id",
-                                            "overall_rating"])
+                dim_time: DataFrame, batch_ts: str, key_offset: int = 0,
+                key_mode: str = "ordered") -> DataFrame:
+    f = _keys(ratings, "rating_sk", ["rating_id", "created_at", "order_id", "overall_rating"],
+              key_offset, key_mode)
     o = fact_order_df.select(F.col("order_id").alias("_oid"), "order_sk")
     f = f.join(o, f.order_id == o._oid, "left").drop("_oid")  # J6
     f = _lookup(f, dim_customer, "customer_id", "customer_id", "customer_sk")

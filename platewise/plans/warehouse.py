@@ -23,9 +23,12 @@ CLEAN_OF_DIM = {"restaurant": "restaurants", "customer": "customers",
 class Star:
     """Lazy star schema over a dict of stage frames (source layout)."""
 
-    def __init__(self, stage: dict[str, DataFrame], batch_ts: str = DEFAULT_BATCH_TS):
+    def __init__(self, stage: dict[str, DataFrame], batch_ts: str = DEFAULT_BATCH_TS,
+                 fact_key_mode: str = "ordered"):
         self.stage = stage
         self.batch_ts = batch_ts
+        # "stored" once the clean tables are read back from storage (see facts)
+        self.fact_key_mode = fact_key_mode
         self._memo: dict[tuple[str, str], DataFrame] = {}
 
     def _get(self, kind: str, name: str, make) -> DataFrame:
@@ -75,23 +78,23 @@ class Star:
     # ---------------------------------------------------------------- facts --
     def fact(self, name: str) -> DataFrame:
         def make():
-            ts = self.batch_ts
+            ts, km = self.batch_ts, self.fact_key_mode
             if name == "order":
                 return facts.fact_order(self.clean("orders"), self.dim("customer"),
                                         self.dim("restaurant"), self.dim("promotion"),
-                                        self.dim("date"), self.dim("time"), ts)
+                                        self.dim("date"), self.dim("time"), ts, key_mode=km)
             if name == "order_item":
                 return facts.fact_order_item(self.clean("order_items"), self.fact("order"),
-                                             self.dim("product"), ts)
+                                             self.dim("product"), ts, key_mode=km)
             if name == "delivery":
                 return facts.fact_delivery(self.clean("delivery"), self.fact("order"),
                                            self.dim("delivery_person"), self.dim("date"),
-                                           self.dim("time"), ts)
+                                           self.dim("time"), ts, key_mode=km)
             if name == "rating":
                 return facts.fact_rating(self.clean("ratings"), self.fact("order"),
                                          self.dim("customer"), self.dim("restaurant"),
                                          self.dim("delivery_person"), self.dim("date"),
-                                         self.dim("time"), ts)
+                                         self.dim("time"), ts, key_mode=km)
             raise KeyError(name)
         return self._get("fact", name, make)
 
