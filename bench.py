@@ -26,7 +26,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from platewise.operators import clean as C  # noqa: E402
-from platewise.operators import dims, scd2  # noqa: E402
+from platewise.operators import audits, dims  # noqa: E402
 from platewise.plans import catalog, views  # noqa: E402
 from platewise.plans import metrics as K  # noqa: E402
 from platewise.session import build_session  # noqa: E402
@@ -123,6 +123,10 @@ def main() -> None:
     q["k5_traffic_impact"] = lambda: K.traffic_impact(minutes)
     q["k7_kpi_row"] = lambda: K.kpi_row(
         stage["orders"].withColumnRenamed("tips", "tip_amount"), minutes)
+    stored = {**{f"dim_{n}": df for n, df in dimt.items()},
+              **{f"fact_{n}": df for n, df in fact.items()}}
+    q["q1_audit_pk"] = lambda: audits.audit_primary_keys(stored)
+    q["q2_audit_fk"] = lambda: audits.audit_foreign_keys(stored)
     for name, make in q.items():
         timed(name, lambda make=make: run(make()))
 
