@@ -8,19 +8,22 @@ keys are bigint, ``TIME`` is carried as minute-of-day (int) plus an
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 # ---------------------------------------------------------------- sources --
-# Source CSV layouts.  Columns after the ``-- ext`` marker are optional
-# extensions: the original extracts lack them, so the reference loaded
-# NULL for restaurant/promotion/order links.  Files without them read null.
+# Source CSV layouts.  Some trailing columns are optional extensions (listed
+# in ``sources.csv.OPTIONAL``): the original extracts lack the restaurant,
+# promotion and order links, which therefore loaded as NULL; files without
+# them still read, the columns come out null.
 SOURCE_DDL = {
     "restaurants": (
         "loc_number string, loc_name string, cuisines string, address string, "
         "searched_city string, searched_state string, searched_zipcode string, "
         "latitude double, longitude double, phone string, rating double"),
-    "zomato": (
+    "restaurants_feed2": (
         "res_id string, res_name string, cuisines string, address string, "
         "city string, state string, zipcode string, latitude double, "
         "longitude double, phone string, aggregate_rating double"),
@@ -145,6 +148,7 @@ FACT_DDL = {
 }
 
 
+@lru_cache(maxsize=None)
 def struct(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 

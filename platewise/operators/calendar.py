@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as X
 
-# Default calendar of the reference — five years from 2020-01-01.
+# Default calendar — five years (1,825 days) from 2020-01-01.
 DEFAULT_START = "2020-01-01"
 DEFAULT_DAYS = 1825
 MINUTES_PER_DAY = 1440

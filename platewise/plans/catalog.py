@@ -419,7 +419,7 @@ def q_multi_source_union(spark, sf_dir):
     from ..operators import clean as C
     main, second = testdata.restaurants_split(tables(spark, sf_dir))
     main = csvsrc.with_provenance(main, "restaurants_csv", "restaurants.csv", DEFAULT_BATCH_TS)
-    second = csvsrc.with_provenance(second, "zomato_csv", "zomato.csv", DEFAULT_BATCH_TS)
+    second = csvsrc.with_provenance(second, "feed2_csv", "restaurants_feed2.csv", DEFAULT_BATCH_TS)
     both = csvsrc.union_restaurant_feeds(main, second)
     return C.clean_restaurants(both, DEFAULT_BATCH_TS).select(
         "restaurant_id", "restaurant_name", "cuisine_type", "city", "state", "postal_code",

@@ -92,11 +92,13 @@ def delivery_seconds(stg_delivery: DataFrame) -> Column:
     return t1 - t0
 
 
-def delivery_minutes(stg_delivery: DataFrame) -> DataFrame:
+def delivery_minutes(stg_delivery: DataFrame, f: Filters = Filters()) -> DataFrame:
     """K2: minutes per delivery row, abs then clipped to [5, 120]; rows whose
-    times do not parse keep null (X24, X25, D9)."""
+    times do not parse keep null (X24, X25, D9).  The weather filter (F11)
+    applies here, before any aggregate."""
     require_columns(stg_delivery, ["ID", "Weatherconditions", "Road_traffic_density",
                                    "Time_Orderd", "Time_Order_picked"], "delivery minutes")
+    stg_delivery = apply_filters(stg_delivery, f, weather_col="Weatherconditions")
     d = stg_delivery.withColumn("_secs", delivery_seconds(stg_delivery))
     d = d.withColumn("_clip_secs", X.clip_abs("_secs", 300, 7200))
     return d.select(
@@ -147,10 +149,12 @@ def traffic_impact(minutes: DataFrame) -> DataFrame:
 
 # --- K6 -----------------------------------------------------------------------
 
-def top_restaurants(restaurants: DataFrame, n: int = 10) -> DataFrame:
-    """Top ``n`` by rating; ties broken by id (O2 → TakeOrderedAndProject)."""
+def top_restaurants(restaurants: DataFrame, n: int = 10, f: Filters = Filters()) -> DataFrame:
+    """Top ``n`` by rating; ties broken by id (O2 → TakeOrderedAndProject);
+    city and cuisine filters (F11) apply first."""
     require_columns(restaurants, ["restaurant_id", "restaurant_name", "cuisine_type", "rating"],
                     "top restaurants")
+    restaurants = apply_filters(restaurants, f, city_col="city", cuisine_col="cuisine_type")
     return (restaurants.where(F.col("rating").isNotNull())
             .select("restaurant_id", "restaurant_name", "cuisine_type", "rating")
             .orderBy(F.desc("rating"), "restaurant_id").limit(n))

@@ -562,7 +562,7 @@ FROM orders"""
 
 Q["multi_source_union"] = sql("""
 SELECT restaurant_id, restaurant_name, cuisine_type, city, state, postal_code, rating,
-       CASE WHEN s_nationkey < 12 THEN 'restaurants_csv' ELSE 'zomato_csv' END AS source_system
+       CASE WHEN s_nationkey < 12 THEN 'restaurants_csv' ELSE 'feed2_csv' END AS source_system
 FROM c_restaurants""", "c_restaurants")
 
 Q["incremental_clean"] = Q["clean_orders"]

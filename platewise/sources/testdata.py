@@ -96,7 +96,7 @@ def restaurants_split(t: Tables) -> tuple[DataFrame, DataFrame]:
         "cuisines", F.col("searched_city").alias("city"),
         F.col("searched_state").alias("state"), F.col("searched_zipcode").alias("zipcode"),
         F.col("rating").alias("aggregate_rating"))
-    return main, conform(other, SOURCE_DDL["zomato"])
+    return main, conform(other, SOURCE_DDL["restaurants_feed2"])
 
 
 def products(t: Tables) -> DataFrame:

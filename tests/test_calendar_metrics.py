@@ -81,3 +81,21 @@ def test_delivery_minutes_fixture(spark):
                               "Time_Order_picked string")
     got = [r["delivery_time_minutes"] for r in K.delivery_minutes(d).orderBy("delivery_id").collect()]
     assert got == [5.0, 120.0, None, 60.0]
+
+
+def test_dashboard_filters_all_means_no_filter(spark):
+    r = spark.createDataFrame(
+        [("1", "A", "C1", "Rome", 4.0), ("2", "B", "C2", "Rome", 5.0), ("3", "C", "C1", "Oslo", 3.0)],
+        "restaurant_id string, restaurant_name string, cuisine_type string, city string, "
+        "rating double")
+    assert [x["restaurant_id"] for x in K.top_restaurants(r).collect()] == ["2", "1", "3"]
+    rome = K.top_restaurants(r, f=K.Filters(city="Rome", cuisine="All"))
+    assert [x["restaurant_id"] for x in rome.collect()] == ["2", "1"]
+    c1 = K.top_restaurants(r, f=K.Filters(city="All", cuisine="C1"))
+    assert [x["restaurant_id"] for x in c1.collect()] == ["1", "3"]
+    d = spark.createDataFrame([("1", "Sunny", "Low", "10:00:00", "10:30:00"),
+                               ("2", "Foggy", "Low", "10:00:00", "10:10:00")],
+                              "ID string, Weatherconditions string, Road_traffic_density string, "
+                              "Time_Orderd string, Time_Order_picked string")
+    got = K.delivery_minutes(d, K.Filters(weather="Foggy")).collect()
+    assert [(x["delivery_id"], x["delivery_time_minutes"]) for x in got] == [("2", 10.0)]

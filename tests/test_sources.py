@@ -69,7 +69,7 @@ def test_second_restaurant_feed_union(spark):
     for c in ["address", "state", "zipcode", "latitude", "longitude", "phone",
               "aggregate_rating"]:
         second = second.withColumn(c, F.lit(None).cast("string"))
-    second = csvsrc.with_provenance(second, "zomato_csv", "z.csv", TS)
+    second = csvsrc.with_provenance(second, "feed2_csv", "z.csv", TS)
     u = csvsrc.union_restaurant_feeds(main, second)
     got = sorted((r["loc_number"], r["loc_name"], r["source_system"]) for r in u.collect())
-    assert got == [("1", "A", "restaurants_csv"), ("2", "B", "zomato_csv")]
+    assert got == [("1", "A", "restaurants_csv"), ("2", "B", "feed2_csv")]
