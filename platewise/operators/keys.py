@@ -66,8 +66,3 @@ def assign_keys(df: DataFrame, key_col: str, order_by: list, offset: int = 0,
     stored = spark.read.schema(df.schema).parquet(path)
     part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
     return _with_offsets(stored, part, F.col("_metadata.row_index"), key_col, offset)
-
-
-def max_key(df: DataFrame, key_col: str) -> DataFrame:
-    """One-row frame ``_max_sk`` = current maximum key (0 when empty) (A8-like)."""
-    return df.agg(F.coalesce(F.max(key_col), F.lit(0)).cast("bigint").alias("_max_sk"))

@@ -77,14 +77,10 @@ def _next_id() -> int:
     return _COUNTER[0]
 
 
-def freeze(df):
-    """Materialise ``df`` into the shared checkpoint folder and cut its
-    lineage (reliable checkpoint, never a local one).  The frame is cached
-    first so writing the checkpoint does not compute it twice."""
-    from pyspark import StorageLevel
-
-    scratch_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    frozen = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return frozen
+def materialize(df, name: str = "table"):
+    """Write ``df`` as a Parquet table in the shared scratch folder and read
+    it back: the lineage is cut and every later query reads the stored
+    columns (a reliable copy, never a local checkpoint)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.schemas import SOURCE_DDL, conform, struct
-from ..session import freeze
+from ..session import materialize
 
 CORRUPT = "_corrupt_record"
 
@@ -79,8 +79,8 @@ def read_source(spark: SparkSession, name: str, path: str, source_system: str,
            .withColumn("source_file", F.col("_metadata.file_name")))
     # Spark parses only the columns a query reads, so a bad value in an
     # unread column would pass as good.  Parse every column once and keep
-    # the result (this is the stage copy of the extract).
-    raw = freeze(raw)
+    # the result as a Parquet table (the stage copy of the extract).
+    raw = materialize(raw, f"stage-{name}")
     stamp = {"source_system": F.lit(source_system),
              "load_timestamp": F.lit(batch_ts).cast("timestamp_ntz")}
     good = conform(raw.where(F.col(CORRUPT).isNull()).withColumns(stamp),
