@@ -16,6 +16,11 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.ansi.enabled": "true",
+    # Dimension lookups are projected to (business key, surrogate key) before
+    # the join; below this estimated size (planner statistics, re-checked by
+    # AQE at runtime) they are broadcast instead of reshuffling the fact.
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
 }
 
 
