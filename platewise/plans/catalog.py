@@ -40,10 +40,11 @@ def tables(spark: SparkSession, sf_dir: str) -> testdata.Tables:
     return testdata.Tables(spark, sf_dir)
 
 
-def star(spark: SparkSession, sf_dir: str, batch_ts: str = DEFAULT_BATCH_TS) -> Star:
+def star(spark: SparkSession, sf_dir: str, batch_ts: str = DEFAULT_BATCH_TS,
+         materialize: bool = True) -> Star:
     t = tables(spark, sf_dir)
     stage = {name: fn(t) for name, fn in testdata.SOURCES.items()}
-    return Star(stage, batch_ts)
+    return Star(stage, batch_ts, materialize=materialize)
 
 
 # ------------------------------------------------------------ calendar -----

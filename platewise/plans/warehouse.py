@@ -1,10 +1,13 @@
 """Full batch build of the star schema (stage → clean → dimensions → facts).
 
-``Star`` composes the operators into lazily evaluated DataFrames, built on
-first use and memoised, so a view only pays for the tables it reads.  Only
-surrogate-key assignment materialises (into the shared checkpoint folder),
-because keys must be stable across stages.  A scheduled job writes each table
-with ``sources.store``; views and KPIs then read the written tables.
+``Star`` builds each table on first use and memoises it, so a view only pays
+for the tables it reads.  With ``materialize=True`` (default) every built
+table — clean, dimension, fact — is written once as Parquet under the shared
+scratch folder and read back, exactly as a scheduled load writes its layers:
+a fact is computed once however many children and views use it, every
+consumer plan starts from stored tables, and lineage stays short.  With
+``materialize=False`` the tables stay lazy (the caller writes them, e.g. with
+``sources.store``).
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import calendar, clean, dims, facts
+from ..session import materialize as _write_scratch
 
 # Fixed batch time for reproducible runs; jobs pass their own.
 DEFAULT_BATCH_TS = "2025-01-01 00:00:00"
@@ -24,17 +28,19 @@ class Star:
     """Lazy star schema over a dict of stage frames (source layout)."""
 
     def __init__(self, stage: dict[str, DataFrame], batch_ts: str = DEFAULT_BATCH_TS,
-                 fact_key_mode: str = "ordered"):
+                 fact_key_mode: str = "ordered", materialize: bool = True):
         self.stage = stage
         self.batch_ts = batch_ts
         # "stored" once the clean tables are read back from storage (see facts)
         self.fact_key_mode = fact_key_mode
+        self.materialize = materialize
         self._memo: dict[tuple[str, str], DataFrame] = {}
 
     def _get(self, kind: str, name: str, make) -> DataFrame:
         k = (kind, name)
         if k not in self._memo:
-            self._memo[k] = make()
+            df = make()
+            self._memo[k] = _write_scratch(df, f"{kind}-{name}") if self.materialize else df
         return self._memo[k]
 
     # ---------------------------------------------------------------- clean --
