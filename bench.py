@@ -67,6 +67,9 @@ def main() -> None:
     warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm_dir) and os.path.abspath(warm_dir) != os.path.abspath(sf_dir):
         w = catalog.star(spark, warm_dir, materialize=False)
+        for n, df in w.stage.items():
+            store.spread(df).write.mode("overwrite").parquet(
+                os.path.join(scratch, "warm", n))
         for n in ["order_item", "delivery", "rating"]:
             run(w.fact(n))
         run(views.restaurant_order_performance(w.fact("order"), w.dim("restaurant"),
