@@ -74,10 +74,11 @@ def delivery_person_source(clean_delivery: DataFrame) -> DataFrame:
 
 
 def merge_dimension(name: str, dim: DataFrame | None, clean: DataFrame, batch_ts: str,
-                    next_key: int | None = None) -> DataFrame:
-    """Apply one clean batch to dimension ``name`` (SCD2)."""
+                    next_key: int | None = None, touched_only: bool = False) -> DataFrame:
+    """Apply one clean batch to dimension ``name`` (SCD2); ``touched_only``
+    for small incremental batches (see ``scd2_merge``)."""
     return scd2_merge(dim, clean, SPECS[name], batch_ts, order_by=LATEST_BY[name],
-                      next_key=0 if dim is None else next_key)
+                      next_key=0 if dim is None else next_key, touched_only=touched_only)
 
 
 def current_keys(dim: DataFrame, key: str, sk: str) -> DataFrame:

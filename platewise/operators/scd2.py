@@ -56,13 +56,20 @@ def latest_per_key(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
 
 
 def scd2_merge(dim: DataFrame | None, source: DataFrame, spec: Scd2Spec, batch_ts: str,
-               order_by: list[str] | None = None, next_key: int | None = None) -> DataFrame:
+               order_by: list[str] | None = None, next_key: int | None = None,
+               touched_only: bool = False) -> DataFrame:
     """Apply one source batch to a type-2 dimension; returns the new snapshot.
 
     ``source`` may hold several rows per key; the latest by ``order_by``
     wins (all rows identical in ``order_by`` → any one, so pass a total order).
     Keys missing from the source stay current (no delete branch).
     ``next_key`` is the current maximum surrogate key; computed when omitted.
+
+    ``touched_only=True`` suits small incremental batches against a large
+    dimension: the current slice is split by a left-semi / left-anti join
+    with the batch's keys (which the planner can broadcast), so untouched
+    current rows are never shuffled and only the touched ones meet the batch.
+    The default full outer join suits full extracts (most keys present).
     """
     ts = F.lit(batch_ts).cast("timestamp_ntz")
     src = source.select(*dict.fromkeys([spec.key, *spec.attrs, *(order_by or [])]))
@@ -84,9 +91,16 @@ def scd2_merge(dim: DataFrame | None, source: DataFrame, spec: Scd2Spec, batch_t
     cur = dim.where(F.col("is_current"))
     hist = dim.where(~F.col("is_current"))
 
+    passthrough = None
+    if touched_only:
+        keys = src.select(spec.key)
+        passthrough = cur.join(keys, spec.key, "left_anti")
+        cur = cur.join(keys, spec.key, "left_semi")
     s = src.select(*[F.col(c).alias("s_" + c) for c in src.columns])
     c = cur.select(*[F.col(x).alias("c_" + x) for x in cur.columns])
-    j = s.join(c, s["s_" + spec.key] == c["c_" + spec.key], "full_outer")
+    # with touched_only every current row left has a source row: a left join
+    how = "left" if touched_only else "full_outer"
+    j = s.join(c, s["s_" + spec.key] == c["c_" + spec.key], how)
 
     has_s = F.col("s_" + spec.key).isNotNull()
     has_c = F.col("c_" + spec.key).isNotNull()
@@ -113,7 +127,8 @@ def scd2_merge(dim: DataFrame | None, source: DataFrame, spec: Scd2Spec, batch_t
     kept = rows.where(F.col(spec.sk).isNotNull())
     fresh = assign_keys(rows.where(F.col(spec.sk).isNull()).drop(spec.sk), spec.sk,
                         [spec.key], offset=int(next_key))
-    return hist.unionByName(kept).unionByName(fresh.select(*spec.columns))
+    out = hist.unionByName(kept).unionByName(fresh.select(*spec.columns))
+    return out if passthrough is None else out.unionByName(passthrough)
 
 
 def scd2_from_log(log: DataFrame, spec: Scd2Spec, event_time: str, tie: list[str],

@@ -94,3 +94,19 @@ def test_assign_keys_is_row_number(spark):
     keyed = assign_keys(df, "k", ["v"], offset=100, num_partitions=6)
     rows = sorted((r["v"], r["k"]) for r in keyed.collect())
     assert [k for _, k in rows] == list(range(101, 5101))
+
+
+def test_touched_only_equals_full_merge(spark):
+    rnd = random.Random(11)
+    keys = [f"k{i}" for i in range(30)]
+    b0 = batch(spark, [(k, rnd.choice(["a", "b", None]), "n", 1) for k in keys[:20]])
+    d0 = scd2.scd2_merge(None, b0, SPEC, T0, order_by=["seq"])
+    # an increment: a few existing keys (some changed, some not) and new keys
+    inc = [(k, rnd.choice(["a", "b", None]), "n", 2) for k in rnd.sample(keys[:20], 6)]
+    inc += [(k, "z", "n", 2) for k in keys[25:]]
+    b1 = batch(spark, inc)
+    full = scd2.scd2_merge(d0, b1, SPEC, T1, order_by=["seq"])
+    touched = scd2.scd2_merge(d0, b1, SPEC, T1, order_by=["seq"], touched_only=True)
+    cols = SPEC.columns
+    assert sorted(map(tuple, full.select(*cols).collect())) == \
+        sorted(map(tuple, touched.select(*cols).collect()))
