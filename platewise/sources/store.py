@@ -55,9 +55,15 @@ def write_batch(df: DataFrame, root: str, layer: str, table: str, batch_id: int,
        .partitionBy(column).parquet(table_path(root, layer, table)))
 
 
-def replace_table(df: DataFrame, root: str, layer: str, table: str) -> None:
-    """``CREATE OR REPLACE TABLE``."""
-    spread(df).write.mode("overwrite").parquet(table_path(root, layer, table))
+def replace_table(df: DataFrame, root: str, layer: str, table: str,
+                  partition_by: list[str] | None = None) -> None:
+    """``CREATE OR REPLACE TABLE`` (S10).  ``partition_by`` (e.g. a fact's
+    date key) lays the table out in directories, so date predicates — and
+    dynamic partition pruning from a filtered calendar join — skip files."""
+    w = spread(df).write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(table_path(root, layer, table))
 
 
 def read_table(spark: SparkSession, root: str, layer: str, table: str,
