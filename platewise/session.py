@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,17 +70,10 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared scratch folder."""
+    """A fresh, unique path under the shared scratch folder (safe when
+    several driver threads build plans at once)."""
     base = scratch_dir(spark)
-    return os.path.join(base, "work", f"{name}-{os.getpid()}-{_next_id()}")
-
-
-_COUNTER = [0]
-
-
-def _next_id() -> int:
-    _COUNTER[0] += 1
-    return _COUNTER[0]
+    return os.path.join(base, "work", f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df, name: str = "table"):
