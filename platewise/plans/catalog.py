@@ -155,6 +155,18 @@ def q_scd2_from_log(spark, sf_dir):
                     "effective_to", "is_current")
 
 
+@query("latest_per_key")
+def q_latest_per_key(spark, sf_dir):
+    """Each customer's latest order priority (by order date, then order
+    key) — one partially aggregated max_by per customer."""
+    o = tables(spark, sf_dir).orders
+    log = o.select(F.col("o_custkey").cast("string").alias("customer_id"),
+                   F.col("o_orderpriority").alias("priority"),
+                   F.col("o_orderdate").alias("changed_at"),
+                   F.col("o_orderkey").alias("order_key"))
+    return scd2.latest_per_key(log, "customer_id", ["changed_at", "order_key"])
+
+
 # --------------------------------------------------------------- facts -----
 
 @query("fact_order")
@@ -280,6 +292,12 @@ def q_kpi_row(spark, sf_dir):
     return K.kpi_row(orders, K.delivery_minutes(testdata.delivery(t)))
 
 
+@query("monthly_orders")
+def q_monthly_orders(spark, sf_dir):
+    """Orders per calendar month."""
+    return K.monthly_orders(star(spark, sf_dir).clean("orders"))
+
+
 @query("mom_growth")
 def q_mom_growth(spark, sf_dir):
     return K.mom_growth(star(spark, sf_dir).clean("orders"))

@@ -332,6 +332,13 @@ SELECT row_number() OVER (ORDER BY customer_id, ts, k) AS version_sk, customer_i
        ts AS effective_from, nxt AS effective_to, nxt IS NULL AS is_current
 FROM w""")
 
+Q["latest_per_key"] = """
+SELECT CAST(o_custkey AS VARCHAR) AS customer_id,
+       arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS priority,
+       max(o_orderdate) AS changed_at,
+       arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS order_key
+FROM orders GROUP BY 1"""
+
 # --- facts ---------------------------------------------------------------------
 Q["fact_order"] = sql("""
 SELECT order_sk, order_id, customer_sk, restaurant_sk, order_date_sk, order_time_sk,
@@ -465,6 +472,10 @@ SELECT (SELECT COUNT(*) FROM c_orders) AS total_orders,
        (SELECT {mean('rating')} FROM c_orders) AS avg_rating,
        (SELECT {money_avg('tip_amount')} FROM c_orders) AS avg_tip""", "c_orders", "c_delivery")
 
+Q["monthly_orders"] = sql("""
+SELECT CAST(date_trunc('month', CAST(order_date AS DATE)) AS DATE) AS month, COUNT(*) AS order_count
+FROM c_orders WHERE order_date IS NOT NULL GROUP BY 1""", "c_orders")
+
 Q["mom_growth"] = sql("""
 WITH m AS (SELECT CAST(date_trunc('month', CAST(order_date AS DATE)) AS DATE) AS month,
                   COUNT(*) AS order_count
