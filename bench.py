@@ -30,7 +30,7 @@ from platewise.operators import audits, dims  # noqa: E402
 from platewise.plans import catalog, views  # noqa: E402
 from platewise.plans import metrics as K  # noqa: E402
 from platewise.session import build_session  # noqa: E402
-from platewise.sources import store, testdata  # noqa: E402
+from platewise.sources import testdata  # noqa: E402
 
 
 def main() -> None:
@@ -59,7 +59,7 @@ def main() -> None:
     store_root = os.path.join(scratch, "warehouse")
 
     def write(name, df):
-        store.spread(df).write.mode("overwrite").parquet(os.path.join(store_root, name))
+        df.write.mode("overwrite").parquet(os.path.join(store_root, name))
         return spark.read.parquet(os.path.join(store_root, name))
 
     # warm-up (not timed): one pass of the load on the smallest tables, so
@@ -68,8 +68,7 @@ def main() -> None:
     if os.path.isdir(warm_dir) and os.path.abspath(warm_dir) != os.path.abspath(sf_dir):
         w = catalog.star(spark, warm_dir, materialize=False)
         for n, df in w.stage.items():
-            store.spread(df).write.mode("overwrite").parquet(
-                os.path.join(scratch, "warm", n))
+            df.write.mode("overwrite").parquet(os.path.join(scratch, "warm", n))
         for n in ["order_item", "delivery", "rating"]:
             run(w.fact(n))
         run(views.restaurant_order_performance(w.fact("order"), w.dim("restaurant"),

@@ -36,21 +36,10 @@ def table_path(root: str, layer: str, table: str) -> str:
     return os.path.join(root, layer, table)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame that has fewer partitions than the cluster has
-    cores (e.g. a one-file extract), so the write and every later scan of the
-    table run in parallel.  Inputs that are already split (the normal case for
-    large tables) are left as they are — no extra shuffle."""
-    sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism)
-    return df
-
-
 def write_batch(df: DataFrame, root: str, layer: str, table: str, batch_id: int,
                 column: str = "batch_id") -> None:
     """Replace one batch partition of a table."""
-    (spread(df).withColumn(column, F.lit(int(batch_id)).cast("bigint"))
+    (df.withColumn(column, F.lit(int(batch_id)).cast("bigint"))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(column).parquet(table_path(root, layer, table)))
 
@@ -60,7 +49,7 @@ def replace_table(df: DataFrame, root: str, layer: str, table: str,
     """``CREATE OR REPLACE TABLE`` (S10).  ``partition_by`` (e.g. a fact's
     date key) lays the table out in directories, so date predicates — and
     dynamic partition pruning from a filtered calendar join — skip files."""
-    w = spread(df).write.mode("overwrite")
+    w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(table_path(root, layer, table))
