@@ -12,7 +12,8 @@ from conftest import SF001
 FAST = ["clean_orders", "clean_delivery", "clean_products", "dim_date",
         "vw_restaurant_order_performance", "vw_delivery_performance", "vw_product_performance",
         "weather_impact", "kpi_row", "mom_growth", "scd2_merge", "scd2_from_log",
-        "csv_quarantine", "audit_fk"]
+        "csv_quarantine", "audit_fk", "latest_per_key", "monthly_orders", "top_promotions",
+        "filter_choices", "high_water_mark"]
 
 
 def _norm(rows, cols):
