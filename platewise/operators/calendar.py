@@ -55,13 +55,18 @@ def dim_date(spark: SparkSession, start: str = DEFAULT_START,
     return _with_holidays(out, holidays)
 
 
-def dim_date_covering(dates: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
+def dim_date_covering(dates: DataFrame, holidays: DataFrame | None = None,
+                      start: str | None = None) -> DataFrame:
     """Date dimension spanning whole calendar years around every date in the
     single date column of ``dates`` — computed lazily from a global min/max
-    (one partial aggregate per task), so the calendar follows the data."""
+    (one partial aggregate per task), so the calendar follows the data.
+
+    ``start`` pins the first day (and so every ``date_sk``) to an existing
+    calendar, so a later load extends it without renumbering."""
     c = dates.columns[0]
     bounds = dates.agg(F.min(F.col(c)).alias("lo"), F.max(F.col(c)).alias("hi"))
-    start = F.trunc(F.col("lo"), "year")
+    start = (F.lit(start).cast("date") if start is not None
+             else F.trunc(F.col("lo"), "year"))
     end = F.date_add(F.add_months(F.trunc(F.col("hi"), "year"), 12), -1)
     days = (bounds.where(F.col("lo").isNotNull())
             .select(start.alias("start"),

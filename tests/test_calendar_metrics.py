@@ -99,3 +99,13 @@ def test_dashboard_filters_all_means_no_filter(spark):
                               "Time_Orderd string, Time_Order_picked string")
     got = K.delivery_minutes(d, K.Filters(weather="Foggy")).collect()
     assert [(x["delivery_id"], x["delivery_time_minutes"]) for x in got] == [("2", 10.0)]
+
+
+def test_dim_date_covering_pinned_start_keeps_keys(spark):
+    a = calendar.dim_date_covering(
+        spark.createDataFrame([(dt.date(2001, 5, 1),)], "d date"))
+    b = calendar.dim_date_covering(
+        spark.createDataFrame([(dt.date(2003, 2, 1),)], "d date"), start="2001-01-01")
+    ka = a.where(F.col("date_id") == "2001-05-01").first()["date_sk"]
+    kb = b.where(F.col("date_id") == "2001-05-01").first()["date_sk"]
+    assert ka == kb and b.agg(F.max("date_id")).first()[0] == dt.date(2003, 12, 31)
