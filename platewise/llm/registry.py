@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality_rules, simhash, url_filter
+from . import mixing, packing, pii, quality_rules, repeats, simhash, url_filter
 from .sql import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,30 @@ def op6_quality_rules(spark, sf_dir):
 def op10_url_filters(spark, sf_dir):
     judged = url_filter.judge(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+#: A production key comes from the caller's key store; the driver's tables are synthetic.
+PII_KEY = b"synthetic tables"
+
+
+@query
+def op4_pii_pseudonyms(spark, sf_dir):
+    found = pii.pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
+    return found.select("doc_id", "text", F.size("found").cast("long").alias("n_replaced"))
+
+
+@query
+def op8_harmonic_packing(spark, sf_dir):
+    """Sequences of 2048 byte-level BPE ids, each document closed by id 1."""
+    packed = packing.pack(table(spark, sf_dir, "documents"),
+                          public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_substring_dedup(spark, sf_dir):
+    """Windows of 13 words."""
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return cut.select("doc_id", "n_words", "n_removed",
+                      F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

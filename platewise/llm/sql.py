@@ -82,3 +82,18 @@ SELECT page_id, host, path, rule,
        WHEN url IS NOT NULL AND ({_BLOCKED}) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
+
+ORACLES["op9_substring_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+g AS (SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS i,
+             unnest(list_transform(range(1, len(w) - 11), lambda j: array_to_string(w[j:j + 12], ' '))) AS k
+      FROM d WHERE len(w) >= 13),
+m AS (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM g)
+      WHERE first < doc_id),
+p AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM m),
+x AS (SELECT r, list(p) AS ps, count(*)::BIGINT AS n FROM p GROUP BY r),
+o AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+kept AS (SELECT o.r, string_agg(word, ' ' ORDER BY o.p) AS t FROM o ANTI JOIN p ON o.r = p.r AND o.p = p.p GROUP BY o.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(x.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN x USING (r) LEFT JOIN kept USING (r)
+"""
