@@ -11,7 +11,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, pii, quality_rules, repeats, simhash, url_filter
+from . import (mixing, packing, pii, quality_model, quality_rules, repeats, simhash,
+               token_counts, url_filter, vector_search)
 from .sql import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +83,23 @@ def op9_substring_dedup(spark, sf_dir):
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), window=13)
     return cut.select("doc_id", "n_words", "n_removed",
                       F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op3_token_counts(spark, sf_dir):
+    """Unigram segmentation with the pieces and scores of a 32k vocabulary."""
+    vocabulary = token_counts.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query
+def op5_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_model.score(docs, model, threshold=0.3)
+
+
+@query
+def op7_adaptive_vector_search(spark, sf_dir):
+    """5 nearest of every vector whose id is divisible by 50."""
+    return vector_search.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
