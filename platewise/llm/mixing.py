@@ -67,20 +67,24 @@ def _step(found: DataFrame, level: int) -> DataFrame:
                      F.col("x.words").alias("words"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times, taken) for every row.
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["source"].eqNullSafe(b["source"])
 
-    ``taken`` is ``times`` (0 to ``most``) whole copies of the document's
-    ``size`` words.  Each source's taken words differ from its target by at
-    most half of the words whose 30-bit hash is that of the threshold: about
-    half a document.  Null and empty texts have size 0.  A null source is a
-    source of its own, and a null id hashes like an empty one.  Sources
-    without words get target 0.  Rows that repeat an id are taken together.
-    """
+
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          source_col: str = "source") -> DataFrame:
+    """(doc_id, source, size, hash) for every row, as a written table: texts
+    are read once."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                         word_count(F.col(text_col)).alias("size"))
-    sized = materialize(sized.withColumn("hash", document_hash(F.col("doc_id"))), "mix-sizes")
+    return materialize(sized.withColumn("hash", document_hash(F.col("doc_id"))), "mix-sizes")
+
+
+def thresholds(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5,
+               most: int = 2) -> DataFrame:
+    """(source, source_size, target, passes, threshold), one row for each
+    source of ``sizes``: its documents are taken ``passes`` times, and those
+    whose hash is below ``threshold`` once more."""
     top = sized.groupBy("source", F.shiftright("hash", LEVEL_BITS * (LEVELS - 1)).alias("bucket")).agg(
         F.sum("size").alias("words"))
     top = materialize(top, "mix-histogram")
@@ -90,13 +94,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = goal.withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
     # a table of one row for each source: Spark broadcasts it while it is small
     plan = materialize(goal.withColumn("below", F.lit(0).cast("long")), "mix-targets")
-
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    found = top.join(plan, same(top, plan)).select(top["source"], "bucket", "words", "budget", "below")
+    found = top.join(plan, _same(top, plan)).select(top["source"], "bucket", "words", "budget", "below")
     edge = materialize(_step(found.where("budget > 0"), 0), "mix-edge")
     for level in range(1, LEVELS):
         prefix = F.shiftright(sized["hash"], LEVEL_BITS * (LEVELS - level))
-        inside = sized.join(edge, same(sized, edge) & (prefix == edge[f"b{level - 1}"])).select(
+        inside = sized.join(edge, _same(sized, edge) & (prefix == edge[f"b{level - 1}"])).select(
             sized["source"], F.shiftright("hash", LEVEL_BITS * (LEVELS - level - 1)).alias("bucket"),
             "size", "below")
         finer = inside.groupBy("source", "bucket", "below").agg(F.sum("size").alias("words"))
@@ -109,12 +111,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                     plan["source"].eqNullSafe(F.col("s")), "left")
     # with or without the bucket at the edge, whichever comes nearer
     with_edge = F.col("under") + F.col("words") - F.col("budget") <= F.col("budget") - F.col("under")
-    cut = materialize(cut.select(
-        F.col("source").alias("s"), "source_size", "target", "passes",
+    return materialize(cut.select(
+        "source", "source_size", "target", "passes",
         F.coalesce(F.col(last) + F.when(with_edge, 1).otherwise(0), F.lit(0)).alias("threshold")),
         "mix-thresholds")
+
+
+def with_times(docs: DataFrame, cut: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """(row: the columns of ``docs``, times, source_size, target) for every row
+    whose source is in ``cut``.  Only ``cut`` is joined, so texts don't move
+    while it is small enough for Spark to broadcast."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"),
+                       document_hash(F.col(id_col)).alias("hash"))
     times = F.col("passes") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    return (sized.join(cut, sized["source"].eqNullSafe(cut["s"]))
-            .withColumn("times", F.least(times, F.lit(most)))
-            .select("doc_id", "source", "size", "source_size", "target", "times",
-                    (F.col("size") * F.col("times")).alias("taken")))
+    return rows.join(cut, _same(rows, cut)).select("row", times.alias("times"), "source_size", "target")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """(doc_id, source, size, source_size, target, times, taken) for every row.
+
+    ``taken`` is ``times`` (0 to ``most``) whole copies of the document's
+    ``size`` words.  Each source's taken words differ from its target by at
+    most half of the words whose 30-bit hash is that of the threshold: about
+    half a document.  Null and empty texts have size 0.  A null source is a
+    source of its own, and a null id hashes like an empty one.  Sources
+    without words get target 0.  Rows that repeat an id are taken together.
+    """
+    sized = sizes(docs, id_col, text_col, source_col)
+    cut = thresholds(sized, weights, share, most)
+    return with_times(sized.drop("hash"), cut).select(
+        "row.*", "source_size", "target", "times", (F.col("row.size") * F.col("times")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, cut: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    taken = with_times(docs, cut, id_col, source_col).where("times > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")

@@ -103,3 +103,10 @@ def op5_quality_classifier(spark, sf_dir):
 def op7_adaptive_vector_search(spark, sf_dir):
     """5 nearest of every vector whose id is divisible by 50."""
     return vector_search.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+@query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline  # it builds on this module
+
+    return corpus_pipeline.run(spark, sf_dir)

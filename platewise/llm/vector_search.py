@@ -108,14 +108,15 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
-           vector_col: str = "embedding", probe_share: float = 0.25, min_probes: int = 16) -> DataFrame:
+           vector_col: str = "embedding", probe_share: float = 0.6, min_probes: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest others of every row whose
     id is divisible by ``every``, by cosine, ties to the smaller id.
 
     Invalid vectors (see ``valid_vectors``) take no part; of several lengths
     only the most frequent one (the longest of equals) does.  Rows that repeat
     an id count once for each distinct vector, and never find their own id.
-    A query probes ``probe_share`` of the lists, at least ``min_probes``.
+    A query probes ``probe_share`` of the lists, at least ``min_probes``; the
+    default suits vectors without clusters, whose neighbours lie in many lists.
     """
     spark = vectors.sparkSession
     scratch_dir(spark)
@@ -150,7 +151,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     sample = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(limit).collect()
     turn = rotation(dim)
     points = unit(np.frombuffer(b"".join(r["v"] for r in sample), "<f8").reshape(-1, dim))
-    centres = fit_lists(points, int(max(1, min(MAX_LISTS, n ** 0.5, len(points) // 8))))
+    centres = fit_lists(points, int(max(1, min(MAX_LISTS, 2 * n ** 0.5, len(points) // 8))))
     probes = min(len(centres), max(min_probes, int(len(centres) * probe_share)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
