@@ -24,7 +24,8 @@ NGRAMS = (2, 3, 4)
 DIM = 16
 #: Bounds of the training sample: rows, and features drawn evenly from the whole of a text.
 TRAIN_ROWS, TRAIN_FEATURES = 6000, 2048
-EPOCHS, RATE, SEED = 5, 5.0, 7
+#: Passes over the sample, more of them where it is small.
+EPOCHS, MIN_STEPS, RATE, SEED = 5, 8000, 10.0, 7
 
 # Odd multipliers of the feature hashes.
 _MULTIPLY, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -75,15 +76,16 @@ class Model:
         return float(1 / (1 + np.exp(-(self.bias + (total / n if n else 0.0)))))
 
 
-def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE,
-          dim: int = DIM, seed: int = SEED) -> Model:
+def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, min_steps: int = MIN_STEPS,
+          rate: float = RATE, dim: int = DIM, seed: int = SEED) -> Model:
     """Fit on (features, label 0 or 1).  No rows: every score is 0.5."""
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
     table = rng.uniform(-1 / dim, 1 / dim, (size, dim)).astype(np.float32)
     layer, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
     counted = [(*np.unique(f, return_counts=True), y) for f, y in rows]
-    step, steps = 0, max(1, epochs * len(counted))
+    epochs = max(epochs, -(-min_steps // max(1, len(counted))))
+    step, steps = 0, epochs * len(counted)
     for _ in range(epochs):
         for k in rng.permutation(len(counted)):
             ids, times, y = counted[k]

@@ -1,0 +1,77 @@
+import re
+
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from platewise.llm import pii
+from tests_llm_helpers import LONG, PROSE, check_clashes, rows, table
+
+KEY = b"test key"
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 10, 100, 1000, 1461])
+def test_permutation(size):
+    out = [pii.permute(v, size, KEY, "t") for v in range(size)]
+    assert sorted(out) == list(range(size))
+    if size > 99:
+        assert out != [pii.permute(v, size, b"other", "t") for v in range(size)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abzAZ019.-@", max_size=12), st.text("abzAZ019.-@", max_size=12))
+def test_text_keeps_its_format_and_stays_distinct(a, b):
+    def shape(s):
+        return re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", s)))
+
+    x, y = pii.permute_text(a, KEY, "t"), pii.permute_text(b, KEY, "t")
+    assert shape(x) == shape(a)
+    if shape(a) == shape(b):
+        assert (x == y) == (a == b)
+
+
+FOUND = {
+    "card": ["4111 1111 1111 1111", "4111-1111-1111-1111", "4845168114407329", "378282246310005"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
+    "ssn": ["078-05-1120"], "phone": ["+1 (017) 555-7713", "+44 20 7946 0958", "(212) 555-0123", "212-555-0123"],
+    "ip_address": ["97.51.17.173", "10.0.0.1"],
+    "email": ["und.34@mail7.example.com", "A.B+c@Example.ORG"],
+    "date": ["2024-02-29", "31.12.1999", "12/31/2001", "1999/01/31"],
+    "secret": ['token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff', 'API_KEY: 24BE64439E3E49CF46B2D7C90F3602A3']}
+CLEAN = ["4111111111111112", "1234567890123456", "300.1.1.1", "1.2.3", "2023-02-29", "99/99/9999", "666-12-3456",
+         "DE89 3704 0044 0532 0130 01", "version 3.", "pi is 3.14159", "CC BY-NC 4.0.", "a @ b", "room 1204",
+         "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "1800-01-01", "0000000000000000"]
+
+
+@pytest.mark.parametrize("kind,value", [(k, v) for k, vs in FOUND.items() for v in vs])
+def test_valid_values_are_replaced(kind, value):
+    text = f"Before {value}, after. Again: {value}!"
+    out, found = pii.pseudonymise(text, KEY)
+    assert [(k, text[s:s + n]) for k, s, n in found] == [(kind, value)] * 2
+    new = out[7:7 + len(out.split(", after")[0]) - 7]
+    assert out == f"Before {new}, after. Again: {new}!" and new != value
+    if kind != "ip_address":
+        assert len(new) == len(value)
+    again, found = pii.pseudonymise(new, KEY)  # the pseudonym is valid itself
+    assert [k for k, *_ in found] == [kind]
+
+
+@pytest.mark.parametrize("text", CLEAN + [PROSE, LONG])
+def test_other_text_stays(text):
+    assert pii.pseudonymise(text, KEY) == (text, [])
+
+
+def test_neighbours():
+    out, found = pii.pseudonymise("7536784127813050 4845168114407329 +1 (136) 555-7479 123", KEY)
+    assert [k for k, *_ in found] == ["card", "card", "phone"] and out.endswith(" 123")
+
+
+def test_rows(spark):
+    data = rows() + [(20, f"mail me: x.1@example.com {LONG}", "en", "a", 1), (21, "x.1@example.com", "en", "a", 1)] * 2
+    docs = table(spark, data)
+    got = sorted((tuple(r)[:2] for r in pii.pseudonyms(docs, KEY).collect()), key=repr)
+    assert got == sorted(((r[0], r[1] and pii.pseudonymise(r[1], KEY)[0]) for r in data), key=repr)
+    whole = pii.pseudonymise_rows(docs, KEY)
+    assert whole.schema == docs.schema
+    assert sorted((r.doc_id or -1, r.text or "") for r in whole.collect()) == sorted((i or -1, t or "") for i, t in got)
+    assert pii.pseudonyms(table(spark, []), KEY).collect() == []
+    check_clashes(lambda d: pii.pseudonyms(d, KEY).select("doc_id", "text"), table(spark))
