@@ -4,9 +4,11 @@ Vectors are normalised and rotated by a random orthogonal matrix, so that any
 few of their dimensions are a fair sample of all.  They are dealt to the lists
 of an inverted index; a query probes the nearest lists.  Within a list the
 dimensions are read in blocks: after each block a hypothesis test compares
-the scaled partial distance with the k-th best distance so far and abandons
-candidates that are too far with high confidence.  Survivors are scored on
-the original vectors in double precision.
+the scaled partial distance with the k-th best distance known so far and
+abandons candidates that are too far with high confidence.  A query starts
+with its k-th best distance among the sample that the lists were fitted on, so
+most of its lists abandon all their candidates.  Survivors are scored on the
+original vectors in double precision.
 
 Equal vectors are indexed once with their smallest ids, and searched once, so
 a vector that a third of all rows share is one row here.  Large lists are cut
@@ -30,6 +32,8 @@ MAX_LISTS = 1024
 CHUNK = 8192
 #: Dimensions read between tests, and how many deviations a test allows.
 BLOCK, DEVIATIONS = 16, 2.1
+#: Rows and queries of a list that are compared at a time, and sample rows that give a query its first bound.
+ROWS, QUERIES, BOUND_ROWS = 1024, 512, 4096
 SEED = 11
 
 
@@ -62,33 +66,54 @@ def fit_lists(sample: np.ndarray, n_lists: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def adaptive_scan(base: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
-    """Rows of ``base`` that may be among the k nearest to ``query`` (both
-    unit and rotated): the survivors of the tests, at most a few over k."""
+def _kth(q: np.ndarray, far: np.ndarray, k: int, known: np.ndarray) -> np.ndarray:
+    """``known`` lowered to the k-th smallest of each query's distances."""
+    order = np.lexsort((far, q))
+    q, far = q[order], far[order]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.empty(0, np.int64)
+    kth = first + k - 1
+    has = (kth < len(q)) & (q[np.minimum(kth, len(q) - 1)] == q[first]) if len(q) else np.empty(0, bool)
+    out = known.copy()
+    out[q[first[has]]] = np.minimum(out[q[first[has]]], far[kth[has]])
+    return out
+
+
+def adaptive_scan(base: np.ndarray, queries: np.ndarray, k: int, far: np.ndarray | None = None
+                  ) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that may be among the query's k nearest rows of
+    ``base`` (all unit and rotated): the survivors of the tests.  ``far``: a
+    squared distance beyond which a query wants nothing.
+
+    While many pairs live a block is read for all of them at once, as a
+    matrix product; later for the surviving pairs only.
+    """
     n, dim = base.shape
-    best = np.full(k, np.inf)  # the k smallest full distances so far
-    found, far = [], []
-    for lo, hi in ((0, 64), *((a, a + 1024) for a in range(64, n, 1024))):
-        rows = np.arange(lo, min(hi, n))
-        part = np.zeros(len(rows))
+    known = np.full(len(queries), np.inf) if far is None else far.copy()
+    found: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    for lo in range(0, n, ROWS):
+        x = base[lo:lo + ROWS]
+        part, pairs = np.zeros((len(queries), len(x))), None
         for d in range(0, dim, BLOCK):
-            diff = base[rows, d:d + BLOCK] - query[d:d + BLOCK]
-            part = part + (diff * diff).sum(axis=1)
             seen = min(d + BLOCK, dim)
             slack = (1 + DEVIATIONS / np.sqrt(seen)) ** 2 if seen < dim else 1 + 1e-9
-            alive = part <= best[-1] * seen / dim * slack
-            if not alive.all():
-                rows, part = rows[alive], part[alive]
-            if not len(rows):
-                break
-        if len(rows):
-            found.append(rows)
-            far.append(part)
-            best = np.sort(np.concatenate([best, part]))[:k]
-    if not found:
-        return np.empty(0, np.int64)
-    rows, part = np.concatenate(found), np.concatenate(far)
-    return rows[part <= best[-1] * (1 + 1e-9) + 1e-12]
+            limit = known * (seen / dim * slack) + 1e-12
+            xb, qb = x[:, d:seen], queries[:, d:seen]
+            if pairs is None:
+                part += (xb * xb).sum(axis=1)[None] + (qb * qb).sum(axis=1)[:, None] - 2 * (qb @ xb.T)
+                alive = part <= limit[:, None]
+                if 4 * np.count_nonzero(alive) < alive.size or seen == dim:
+                    pairs = np.nonzero(alive)
+                    part = part[pairs]
+            else:
+                diff = xb[pairs[1]] - qb[pairs[0]]
+                part = part + (diff * diff).sum(axis=1)
+                alive = part <= limit[pairs[0]]
+                pairs, part = (pairs[0][alive], pairs[1][alive]), part[alive]
+        found = [np.concatenate(c) for c in zip(found, (pairs[0], pairs[1] + lo, part))]
+        known = _kth(found[0], found[2], k, known)
+        near = found[2] <= known[found[0]] * (1 + 1e-9) + 1e-12
+        found = [c[near] for c in found]
+    return found[0], found[1]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -160,13 +185,26 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
             yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *b.columns],
                                              names=["list", "v", "ids", "asks"])
 
+    # rows of the table: a query finds no worse neighbours than the best of those in its lists
+    bounds = points[:BOUND_ROWS]
+    bound_list = np.argmax(bounds @ centres.T, axis=1)
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near = np.argsort(-(unit(_matrix(b.column(0))) @ centres.T), axis=1, kind="stable")[:, :probes]
-            at = np.repeat(np.arange(b.num_rows), probes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near.astype(np.int32).ravel()), b.column(0).take(pa.array(at)),
-                 b.column(1).take(pa.array(at))], names=["list", "q", "asks"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, QUERIES):
+                b = whole.slice(lo, QUERIES)
+                q = unit(_matrix(b.column(0)))
+                near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]
+                probed = np.zeros((len(q), len(centres)), bool)
+                np.put_along_axis(probed, near, True, axis=1)
+                far = np.full(len(q), np.inf)
+                if len(bounds) >= more:
+                    close = np.where(probed[:, bound_list], q @ bounds.T, -np.inf)
+                    far = 2 - 2 * np.sort(close, axis=1)[:, -more] + 1e-9
+                at = np.repeat(np.arange(b.num_rows), probes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(near.astype(np.int32).ravel()), b.column(0).take(pa.array(at)),
+                     b.column(1).take(pa.array(at)), pa.array(far[at])], names=["list", "q", "asks", "far"])
 
     indexed = distinct.mapInArrow(assign, "list int, v binary, ids array<long>, asks long").drop("asks")
     # one row for each list
@@ -174,7 +212,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     parts = F.array(*[F.lit(chunks.get(c, 1)) for c in range(len(centres))])[F.col("list")]
     indexed = indexed.withColumn("chunk", F.pmod(F.xxhash64("v"), parts).cast("int"))
     asked = (distinct.where("asks is not null").select("v", "asks")
-             .mapInArrow(probe, "list int, q binary, asks long")
+             .mapInArrow(probe, "list int, q binary, asks long, far double")
              .withColumn("chunk", F.explode(F.sequence(F.lit(0), parts - 1))))
 
     def scan(base: pa.Table, queries: pa.Table) -> pa.Table:
@@ -183,10 +221,18 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
             mat, qs = _matrix(base.column("v")), _matrix(queries.column("q"))
             ids = base.column("ids").to_pylist()
             turned, turned_q = unit(mat) @ turn, unit(qs) @ turn
-            for asks, q, tq in zip(queries.column("asks").to_pylist(), qs, turned_q):
-                near = adaptive_scan(turned, tq, more)
-                got = sorted((-s, i) for s, r in zip(cosine(mat[near], q).tolist(), near.tolist()) for i in ids[r])
-                out += [(asks, i, -s) for s, i in got[:more]]
+            asks, far = queries.column("asks").to_pylist(), queries.column("far").to_numpy()
+            for lo in range(0, len(qs), QUERIES):
+                q_at, row = adaptive_scan(turned, turned_q[lo:lo + QUERIES], more, far[lo:lo + QUERIES])
+                order = np.argsort(q_at, kind="stable")
+                q_at, row = q_at[order] + lo, row[order]
+                for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(q_at)) + 1):
+                    if not len(part):
+                        continue
+                    q = int(q_at[part[0]])
+                    got = sorted((-s, i) for s, r in zip(cosine(mat[row[part]], qs[q]).tolist(), row[part].tolist())
+                                 for i in ids[r])
+                    out += [(asks[q], i, -s) for s, i in got[:more]]
         cols = list(zip(*out)) or [()] * 3
         return pa.table({"asks": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()),
                          "score": pa.array(cols[2], pa.float64())})

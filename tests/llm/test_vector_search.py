@@ -72,7 +72,11 @@ def test_few_candidates_and_empty(spark):
 def test_scan_abandons_early_but_keeps_the_nearest():
     rng = np.random.default_rng(3)
     base = V.unit(rng.standard_normal((4000, 64))) @ V.rotation(64)
-    for q in V.unit(base[:20] + 0.05 * rng.standard_normal((20, 64))):
-        got = V.adaptive_scan(base, q, 6)
-        want = np.argsort(((base - q) ** 2).sum(axis=1))[:6]
-        assert len(set(want) & set(got)) >= 5 and len(got) < 50
+    q = V.unit(base[:20] + 0.05 * rng.standard_normal((20, 64)))
+    far = ((base[None, :2000] - q[:, None]) ** 2).sum(axis=2)
+    for bound in (None, np.sort(far, axis=1)[:, 5]):
+        at, row = V.adaptive_scan(base, q, 6, bound)
+        for k in range(20):
+            got = set(row[at == k].tolist())
+            want = np.argsort(((base - q[k]) ** 2).sum(axis=1))[:6].tolist()
+            assert len(got & set(want)) >= 5 and len(got) <= 8
