@@ -40,13 +40,14 @@ SOURCE_DDL = {
     "orders": (
         "id string, customer_id string, created_at timestamp_ntz, updated_at timestamp_ntz, "
         "updated_status string, tips double, rating int, "
-        "restaurant_id string, promotion_id string, order_total double"),
+        "restaurant_id string, promotion_id string, order_total double, delivery_rating int"),
     "order_items": (
         "id string, order_id string, product_id string, item_quantity int, price double"),
     "delivery": (
         "ID string, Delivery_person_ID string, Time_Orderd string, Time_Order_picked string, "
         "Weatherconditions string, Road_traffic_density string, Type_of_vehicle string, "
-        "Order_Date string, Type_of_order string, multiple_deliveries int, Order_ID string"),
+        "Order_Date string, Type_of_order string, multiple_deliveries int, Order_ID string, "
+        "Distance double"),
 }
 
 # Provenance columns appended to every stage table.

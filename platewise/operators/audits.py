@@ -147,7 +147,8 @@ def lookup_completeness(fact: DataFrame, table: str, key_cols: list[str]) -> Dat
     """Share of fact rows whose dimension lookup found no key (Q3)."""
     aggs = [F.count(F.lit(1)).alias("fact_rows")]
     aggs += [F.count(F.col(c)).alias(c) for c in key_cols]
-    a = fact.agg(*aggs)
-    return _union([a.select(F.lit(table).alias("table_name"), F.lit(c).alias("key_column"),
-                            "fact_rows", (F.col("fact_rows") - F.col(c)).alias("missing"))
-                   for c in key_cols])
+    one = fact.agg(*aggs)  # one scan, unfolded to a row for each key
+    keys = F.explode(F.array(*[F.struct(F.lit(c).alias("key_column"), F.col(c).alias("found")) for c in key_cols]))
+    return one.select("fact_rows", keys.alias("k")).select(
+        F.lit(table).alias("table_name"), "k.key_column", "fact_rows",
+        (F.col("fact_rows") - F.col("k.found")).alias("missing"))

@@ -55,23 +55,30 @@ def dim_date(spark: SparkSession, start: str = DEFAULT_START,
     return _with_holidays(out, holidays)
 
 
+# Bounds of the calendar: days outside get no date key, so one stray date
+# cannot blow the calendar up (it is broadcast in every date lookup).
+CALENDAR_START, CALENDAR_END = "1900-01-01", "2099-12-31"
+
+
 def dim_date_covering(dates: DataFrame, holidays: DataFrame | None = None,
-                      start: str | None = None) -> DataFrame:
+                      origin: str | None = None) -> DataFrame:
     """Date dimension spanning whole calendar years around every date in the
-    single date column of ``dates`` — computed lazily from a global min/max
-    (one partial aggregate per task), so the calendar follows the data.
-
-    ``start`` pins the first day (and so every ``date_sk``) to an existing
-    calendar, so a later load extends it without renumbering."""
-    c = dates.columns[0]
-    bounds = dates.agg(F.min(F.col(c)).alias("lo"), F.max(F.col(c)).alias("hi"))
-    start = (F.lit(start).cast("date") if start is not None
-             else F.trunc(F.col("lo"), "year"))
+    single date column of ``dates`` (those in 1900-2099) — computed lazily from a global
+    min/max (one partial aggregate per task), so the calendar follows the data.
+
+    ``origin`` pins the day of key 1 (and so every ``date_sk``) to an existing
+    calendar: a later load extends it without renumbering, earlier days get
+    keys from 0 downwards."""
+    c = F.col(dates.columns[0])
+    inside = dates.where(c.between(F.lit(CALENDAR_START).cast("date"), F.lit(CALENDAR_END).cast("date")))
+    bounds = inside.agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
+    start = F.trunc(F.col("lo"), "year")
     end = F.date_add(F.add_months(F.trunc(F.col("hi"), "year"), 12), -1)
     days = (bounds.where(F.col("lo").isNotNull())
             .select(start.alias("start"),
                     F.explode(F.sequence(start, end)).alias("d")))
-    sk = F.datediff(F.col("d"), F.col("start")) + 1
+    first = F.col("start") if origin is None else F.lit(origin).cast("date")
+    sk = F.datediff(F.col("d"), first) + 1
     out = days.select(*_date_columns("d", sk))
     return _with_holidays(out, holidays)
 

@@ -139,6 +139,7 @@ def clean_delivery(stg: DataFrame, batch_ts: str) -> DataFrame:
         F.col("Weatherconditions").alias("weather_conditions"),
         F.col("Road_traffic_density").alias("traffic_density"),
         F.col("Type_of_vehicle").alias("vehicle_type"),
+        *([F.col("Distance").alias("delivery_distance")] if "Distance" in d.columns else []),
         day_ts.alias("created_at"), day_ts.alias("updated_at"),
         _ts(batch_ts).alias("dw_created_at"),
         *[v.alias(k) for k, v in _src(d).items()])
@@ -146,11 +147,13 @@ def clean_delivery(stg: DataFrame, batch_ts: str) -> DataFrame:
 
 
 def clean_ratings(stg_orders: DataFrame, batch_ts: str) -> DataFrame:
-    """One rating row per rated order row; id = order id + '-rating'."""
+    """One rating row per rated order row; id = order id + '-rating';
+    the restaurant is the order's."""
+    have = [c for c in ("restaurant_id", "delivery_rating") if c in stg_orders.columns]
     out = stg_orders.where(F.col("rating").isNotNull()).select(
         F.concat(F.col("id"), F.lit("-rating")).alias("rating_id"),
         F.col("id").alias("order_id"),
-        "customer_id",
+        "customer_id", *have,
         F.col("rating").alias("overall_rating"),
         F.col("updated_at").alias("created_at"),
         _ts(batch_ts).alias("dw_created_at"),

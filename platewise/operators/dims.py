@@ -6,6 +6,8 @@ dimension's spec and the extra lookups (product/promotion → restaurant).
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from .scd2 import Scd2Spec, latest_per_key, scd2_merge
@@ -73,12 +75,46 @@ def delivery_person_source(clean_delivery: DataFrame) -> DataFrame:
         "source_system", "_seen_at", "_seen_id")
 
 
+LINKED_TO_RESTAURANT = ("product", "promotion")
+
+# Business key of each dimension's extract.
+STAGE_KEYS = {"restaurants": "loc_number", "products": "id", "promotions": "promotion_id", "customers": "id"}
+
+
+def latest_stage_rows(stage: DataFrame, entity: str) -> DataFrame:
+    """One row for each key of an extract: the one loaded last; of one load,
+    the later file's; then by content, so that every run picks the same."""
+    key = STAGE_KEYS[entity]
+    order = [c for c in ("load_timestamp", "batch_id", "source_file") if c in stage.columns]
+    tied = stage.withColumn("_tie", F.xxhash64(*[c for c in stage.columns if c not in order]))
+    return latest_per_key(tied.where(F.col(key).isNotNull()), key, [*order, "_tie"]).select(*stage.columns)
+
+
 def merge_dimension(name: str, dim: DataFrame | None, clean: DataFrame, batch_ts: str,
-                    next_key: int | None = None, touched_only: bool = False) -> DataFrame:
+                    next_key: int | None = None, touched_only: bool = False,
+                    dim_restaurant: DataFrame | None = None) -> DataFrame:
     """Apply one clean batch to dimension ``name`` (SCD2); ``touched_only``
-    for small incremental batches (see ``scd2_merge``)."""
-    return scd2_merge(dim, clean, SPECS[name], batch_ts, order_by=LATEST_BY[name],
-                      next_key=0 if dim is None else next_key, touched_only=touched_only)
+    for small incremental batches (see ``scd2_merge``).
+
+    With ``dim_restaurant`` (or a ``dim`` that has the link) products and
+    promotions get ``restaurant_sk``: current versions that of the current
+    restaurant version, expired versions the one they had.
+    """
+    spec = SPECS[name]
+    linked = name in LINKED_TO_RESTAURANT and (
+        dim_restaurant is not None or dim is not None and "restaurant_sk" in dim.columns)
+    if linked:
+        spec = replace(spec, carried=[*spec.carried, "restaurant_sk"])
+        if dim is not None and "restaurant_sk" not in dim.columns:
+            dim = dim.withColumn("restaurant_sk", F.lit(None).cast("bigint"))
+        clean = clean.withColumn("restaurant_sk", F.lit(None).cast("bigint"))
+    out = scd2_merge(dim, clean, spec, batch_ts, order_by=LATEST_BY[name],
+                     next_key=0 if dim is None else next_key, touched_only=touched_only)
+    if not linked or dim_restaurant is None:
+        return out
+    current = out.where(F.col("is_current")).drop("restaurant_sk")
+    return (with_restaurant_sk(current, dim_restaurant).select(*out.columns)
+            .unionByName(out.where(~F.col("is_current"))))
 
 
 def current_keys(dim: DataFrame, key: str, sk: str) -> DataFrame:

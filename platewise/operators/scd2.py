@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from .keys import assign_keys
 from .sequence import with_neighbor
 
@@ -61,7 +62,7 @@ def scd2_merge(dim: DataFrame | None, source: DataFrame, spec: Scd2Spec, batch_t
     """Apply one source batch to a type-2 dimension; returns the new snapshot.
 
     ``source`` may hold several rows per key; the latest by ``order_by``
-    wins (all rows identical in ``order_by`` → any one, so pass a total order).
+    wins, full ties by content.
     Keys missing from the source stay current (no delete branch).
     ``next_key`` is the current maximum surrogate key; computed when omitted.
 
@@ -74,7 +75,9 @@ def scd2_merge(dim: DataFrame | None, source: DataFrame, spec: Scd2Spec, batch_t
     ts = F.lit(batch_ts).cast("timestamp_ntz")
     src = source.select(*dict.fromkeys([spec.key, *spec.attrs, *(order_by or [])]))
     if order_by:
-        src = latest_per_key(src, spec.key, order_by)
+        # full ties are decided by content, so every evaluation picks the same row
+        tie = F.xxhash64(*[c for c in src.columns if c != spec.key])
+        src = latest_per_key(src.withColumn("_tie", tie), spec.key, [*order_by, "_tie"])
     src = src.select(spec.key, *spec.attrs).where(F.col(spec.key).isNotNull())
     if dim is None:
         # initial load: every key is new — no join needed
@@ -124,6 +127,7 @@ def scd2_merge(dim: DataFrame | None, source: DataFrame, spec: Scd2Spec, batch_t
     rows = j.select(F.explode(F.array_compact(F.array(
         F.when(has_c, old), F.when(opens, new)))).alias("r")).select("r.*")
 
+    rows = materialize(rows, "scd2-rows")  # join and classify once, for both readers below
     kept = rows.where(F.col(spec.sk).isNotNull())
     fresh = assign_keys(rows.where(F.col(spec.sk).isNull()).drop(spec.sk), spec.sk,
                         [spec.key], offset=int(next_key))

@@ -21,7 +21,9 @@ from ..sources import store, testdata
 from ..streaming import incremental
 from . import metrics as K
 from . import views
-from .warehouse import DEFAULT_BATCH_TS, Star
+from .live import LiveWarehouse
+from .load import StoredStar, full_load
+from .warehouse import CLEAN_OF_DIM, DEFAULT_BATCH_TS, Star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -474,25 +476,271 @@ def q_incremental_scd2(spark, sf_dir):
         incremental.land_batch(stamped, root, "customers", i)
         incremental.run_once(spark, root, "customers",
                              incremental.dimension_handler(root, "customers", "customer"))
-    v = store.latest_version(spark, root, "dim_customer")
-    return store.read_snapshot(spark, root, "dim_customer", v).select(*_SCD_OUT)
+    return LiveWarehouse(spark, root).dim("customer").select(*_SCD_OUT)
+
+
+def _put_dimensions(live: LiveWarehouse, s: Star, names: list[str]) -> None:
+    for name in names:
+        source = s.clean("delivery" if name == "delivery_person" else CLEAN_OF_DIM[name])
+        live.put_dimension(name, source, DEFAULT_BATCH_TS, "load:0")
+
+
+def _land(spark, root: str, entity: str, parts: list[DataFrame], handler) -> None:
+    """Each part arrives as one extract and is processed before the next."""
+    for i, b in enumerate(parts):
+        stamped = csvsrc.with_provenance(b, f"{entity}_csv", f"{entity}_{i}.csv", SNAPSHOT_TS[i])
+        incremental.land_batch(stamped, root, entity, i)
+        incremental.run_once(spark, root, entity, handler)
 
 
 @query("incremental_fact_order")
 def q_incremental_fact_order(spark, sf_dir):
-    """Order facts appended per micro-batch; dimensions loaded once as
-    snapshots, the calendar covers every order date."""
-    from ..operators import calendar
+    """Order facts upserted per micro-batch; dimensions loaded once, the
+    calendar covers every date from the start."""
     root = scratch_path(spark, "incremental-facts")
     s = star(spark, sf_dir)
-    for name in ("customer", "restaurant", "promotion"):
-        store.write_snapshot(s.dim(name), root, f"dim_{name}", 0)
-    dim_date = calendar.dim_date_covering(s.calendar_dates())
-    handler = incremental.fact_order_handler(root, dim_date, calendar.dim_time(spark))
-    for i, b in enumerate(_orders_batches(tables(spark, sf_dir))):
-        stamped = csvsrc.with_provenance(b, "orders_csv", f"orders_{i}.csv", SNAPSHOT_TS[i])
-        incremental.land_batch(stamped, root, "orders", i)
-        incremental.run_once(spark, root, "orders", handler, name="orders_facts")
-    return store.read_table(spark, root, "consumption", "fact_order").select(
+    live = LiveWarehouse(spark, root)
+    _put_dimensions(live, s, ["customer", "restaurant", "promotion"])
+    live.put_calendar(s.calendar_dates(), "load:0")
+    _land(spark, root, "orders", _orders_batches(tables(spark, sf_dir)), incremental.fact_order_handler(root))
+    return LiveWarehouse(spark, root).fact("order").select(
         "order_sk", "order_id", "customer_sk", "restaurant_sk", "order_date_sk",
         "order_time_sk", "promotion_sk", "order_status", "order_total", "tip_amount")
+
+
+@query("load_late_parents")
+def q_load_late_parents(spark, sf_dir):
+    """The items and deliveries of odd orders arrive before their
+    orders, those of even orders after them; every link is found in the end."""
+    root = scratch_path(spark, "late-parents")
+    t = tables(spark, sf_dir)
+    s = star(spark, sf_dir)
+    live = LiveWarehouse(spark, root)
+    _put_dimensions(live, s, ["restaurant", "customer", "product", "promotion", "delivery_person"])
+    live.put_calendar(s.calendar_dates(), "load:0")
+    odd = F.col("order_id").cast("bigint") % 2 == 1
+    items, orders, dl = testdata.order_items(t), testdata.orders(t), testdata.delivery(t)
+    dl_odd = F.col("Order_ID").cast("bigint") % 2 == 1
+    handle = {e: incremental.entity_handler(root, e, dimension=False) for e in ("orders", "order_items", "delivery")}
+    for i, (entity, rows) in enumerate([
+            ("order_items", items.where(odd)), ("delivery", dl.where(dl_odd)), ("orders", orders),
+            ("order_items", items.where(~odd)), ("delivery", dl.where(~dl_odd))]):
+        stamped = csvsrc.with_provenance(rows, f"{entity}_csv", f"{entity}_{i}.csv", SNAPSHOT_TS[i % 2])
+        incremental.land_batch(stamped, root, entity, i)
+        incremental.run_once(spark, root, entity, handle[entity])
+    live = LiveWarehouse(spark, root)
+    o = live.fact("order").select("order_sk", "order_id")
+    item = live.fact("order_item").join(o, "order_sk").select(
+        F.lit("item").alias("fact"), F.col("order_item_id").alias("id"), "order_id",
+        F.col("item_total").alias("amount"))
+    dlv = live.fact("delivery").join(o, "order_sk", "left").select(
+        F.lit("delivery").alias("fact"), F.col("delivery_id").alias("id"), "order_id",
+        F.col("delivery_duration_minutes").cast("double").alias("amount"))
+    rating = live.fact("rating").join(o, "order_sk", "left").select(
+        F.lit("rating").alias("fact"), F.col("rating_id").alias("id"), "order_id",
+        F.col("overall_rating").cast("double").alias("amount"))
+    return item.unionByName(dlv).unionByName(rating)
+
+
+@query("incremental_delivery_person")
+def q_incremental_delivery_person(spark, sf_dir):
+    """T6, D-DP: deliveries of two years in two micro-batches; a person whose
+    latest vehicle differs gets a new version."""
+    root = scratch_path(spark, "incremental-persons")
+    t = tables(spark, sf_dir)
+    d = testdata.delivery(t)
+    first = F.col("ID").cast("bigint") % 2 == 0
+    swapped = d.where(~first).withColumn("Type_of_vehicle", F.when(
+        F.col("Delivery_person_ID").cast("bigint") % 5 == 0, F.lit("bicycle")).otherwise(F.col("Type_of_vehicle")))
+    _land(spark, root, "delivery", [d.where(first), swapped],
+          incremental.dimension_handler(root, "delivery", "delivery_person"))
+    return LiveWarehouse(spark, root).dim("delivery_person").select(
+        "delivery_person_id", "vehicle_type", "effective_from", "effective_to", "is_current")
+
+
+@query("incremental_two_extracts")
+def q_incremental_two_extracts(spark, sf_dir):
+    """Two extracts of the customers wait for one micro-batch, the
+    newer one landed first; the row that was loaded last wins."""
+    root = scratch_path(spark, "two-extracts")
+    old, new = _customer_snapshots(tables(spark, sf_dir))
+    for i, (snap, ts) in enumerate([(new, SNAPSHOT_TS[1]), (old, SNAPSHOT_TS[0])]):
+        incremental.land_batch(csvsrc.with_provenance(snap, "customers_csv", f"{i}.csv", ts), root, "customers", i)
+    incremental.run_once(spark, root, "customers", incremental.dimension_handler(root, "customers", "customer"))
+    return LiveWarehouse(spark, root).dim("customer").select("customer_id", "first_name", "last_name", "city",
+                                                             "is_current")
+
+
+def _write_extracts(spark, sf_dir: str, root: str) -> dict[str, str]:
+    t = tables(spark, sf_dir)
+    paths = {n: f"{root}/extracts/{n}" for n in testdata.SOURCES}
+    for n, fn in testdata.SOURCES.items():
+        csvsrc.write_extract(fn(t), paths[n])
+    return paths
+
+
+@query("full_load_twice")
+def q_full_load_twice(spark, sf_dir):
+    """The same extracts loaded on two days; V1 over the warehouse
+    is that of one load."""
+    root = scratch_path(spark, "load-twice")
+    paths = _write_extracts(spark, sf_dir, root)
+    for batch, ts in ((20250101, SNAPSHOT_TS[0]), (20250201, SNAPSHOT_TS[1])):
+        full_load(spark, paths, root, batch, ts, kind="full")
+    s = StoredStar(spark, root)
+    return views.restaurant_order_performance(s.fact("order"), s.dim("restaurant"), s.dim("date"))
+
+
+@query("load_then_stream_customer")
+def q_load_then_stream_customer(spark, sf_dir):
+    """T4, T5: a full load, then the changed customers through the stream:
+    readers see the change, and keys go on after the load's."""
+    root = scratch_path(spark, "load-stream")
+    t = tables(spark, sf_dir)
+    old, new = _customer_snapshots(t)
+    path = f"{root}/extracts/customers"
+    csvsrc.write_extract(old, path)
+    full_load(spark, {"customers": path}, root, 20250101, SNAPSHOT_TS[0])
+    incremental.land_batch(csvsrc.with_provenance(new, "customers_csv", "c.csv", SNAPSHOT_TS[1]), root,
+                           "customers", 0)
+    incremental.run_once(spark, root, "customers", incremental.entity_handler(root, "customers"))
+    return StoredStar(spark, root).dim("customer").select(*_SCD_OUT)
+
+
+@query("scd2_merge_null_change")
+def q_scd2_merge_null_change(spark, sf_dir):
+    """The versions that changes from or to null opened."""
+    h = q_load_then_stream_customer(spark, sf_dir)
+    now, then = h.where("is_current").alias("n"), h.where("NOT is_current").alias("t")
+    return (now.join(then, F.col("n.customer_id") == F.col("t.customer_id"))
+            .where("n.city IS NULL OR t.city IS NULL")
+            .select("n.customer_id", F.col("t.city").alias("old_city"), F.col("n.city").alias("new_city"),
+                    "n.effective_from"))
+
+
+@query("csv_header_orders")
+def q_csv_header_orders(spark, sf_dir):
+    """Two files of one extract list their columns in another order."""
+    from ..operators import clean as C
+    path = scratch_path(spark, "items-csv")
+    items = testdata.order_items(tables(spark, sf_dir))
+    odd = F.col("order_id").cast("bigint") % 2 == 1
+    for rows in (items.where(odd), items.where(~odd).select("price", "product_id", "order_id", "id", "item_quantity")):
+        rows.write.mode("append").option("header", "true").option("nullValue", "NULL").csv(path)
+    read = csvsrc.read_source(spark, "order_items", path, "order_items_csv", DEFAULT_BATCH_TS)
+    return C.clean_order_items(read.good, DEFAULT_BATCH_TS).select(*_CLEAN_COLS["order_items"])
+
+
+@query("csv_all_sources")
+def q_csv_all_sources(spark, sf_dir):
+    """All eight extracts written as CSV and read back."""
+    root = scratch_path(spark, "all-csv")
+    t = tables(spark, sf_dir)
+    shown = {"restaurants": ("loc_number", "loc_name"), "restaurants_feed2": ("res_id", "res_name"),
+             "products": ("id", "price"), "promotions": ("promotion_id", "name"), "customers": ("id", "last_name"),
+             "orders": ("id", "updated_status"), "order_items": ("id", "product_id"), "delivery": ("ID", "Order_Date")}
+    out = None
+    for name, (key, value) in shown.items():
+        df = testdata.restaurants_split(t)[1] if name == "restaurants_feed2" else testdata.SOURCES[name](t)
+        csvsrc.write_extract(df, f"{root}/{name}")
+        read = csvsrc.read_source(spark, name, f"{root}/{name}", name, DEFAULT_BATCH_TS).good
+        rows = read.select(F.lit(name).alias("source"), F.col(key).alias("key"), F.col(value).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("full_load_quarantine")
+def q_full_load_quarantine(spark, sf_dir):
+    """Restaurants from two feeds, each with unreadable ratings; bad rows
+    of both are stored and counted, good ones reach the dimension."""
+    root = scratch_path(spark, "load-quarantine")
+    main, second = testdata.restaurants_split(tables(spark, sf_dir))
+
+    def spoil(df, key, rating):
+        return df.withColumn(rating, F.when(F.col(key).cast("bigint") % 7 == 0, F.lit("five"))
+                             .otherwise(F.col(rating).cast("string")))
+
+    csvsrc.write_extract(spoil(main, "loc_number", "rating"), f"{root}/main")
+    csvsrc.write_extract(spoil(second, "res_id", "aggregate_rating"), f"{root}/second")
+    report = full_load(spark, {"restaurants": f"{root}/main"}, f"{root}/warehouse", 1, SNAPSHOT_TS[0],
+                       second_restaurant_feed=f"{root}/second")
+    def stored(feed):
+        return store.read_table(spark, f"{root}/warehouse", "stage", f"{feed}_quarantine")
+
+    def bad(feed, key):
+        return stored(feed).select(F.coalesce(key, F.split_part("raw_record", F.lit(","), F.lit(1))).alias("id"),
+                                   F.lit("quarantined").alias("state"), F.lit(report[feed]).cast("bigint").alias("n"))
+
+    good = StoredStar(spark, f"{root}/warehouse").dim("restaurant").select(
+        F.col("restaurant_id").alias("id"), F.lit("kept").alias("state"), F.lit(None).cast("bigint").alias("n"))
+    for feed, key in (("restaurants", "loc_number"), ("restaurants_feed2", "res_id")):
+        if report[feed]:
+            good = good.unionByName(bad(feed, key))
+    return good
+
+
+@query("vw_delivery_performance_two_ratings")
+def q_v2_two_ratings(spark, sf_dir):
+    """V2 in both modes where every even order is rated twice."""
+    s = star(spark, sf_dir)
+    r = s.fact("rating")
+    twice = r.unionByName(r.where("order_sk % 2 = 0").withColumn("delivery_rating", F.lit(1)))
+    out = [views.delivery_performance(s.fact("delivery"), s.dim("delivery_person"), s.dim("date"), twice, mode=m)
+           .withColumn("mode", F.lit(m)) for m in ("per_order", "literal")]
+    return out[0].unionByName(out[1])
+
+
+@query("audit_lookup_completeness_all")
+def q_audit_lookup_completeness_all(spark, sf_dir):
+    """Q3: null rate of every looked-up key, one scan of each fact."""
+    s = star(spark, sf_dir)
+    keys: dict[str, list[str]] = {}
+    for child, column, _, _ in audits.FOREIGN_KEYS:
+        if child.startswith("fact_"):
+            keys.setdefault(child, []).append(column)
+    parts = [audits.lookup_completeness(s.fact(c.removeprefix("fact_")), c, ks) for c, ks in keys.items()]
+    for p in parts[1:]:
+        parts[0] = parts[0].unionByName(p)
+    return parts[0]
+
+
+@query("daily_orders_choices")
+def q_daily_orders_choices(spark, sf_dir):
+    """the K1 series under a cuisine filter, with "All" for the city."""
+    s = star(spark, sf_dir)
+    chosen = K.apply_filters(s.clean("restaurants"), K.Filters(city="All", cuisine="C1"), city_col="city",
+                             cuisine_col="cuisine_type").select("restaurant_id")
+    return K.daily_orders(s.clean("orders").join(chosen, "restaurant_id", "left_semi"))
+
+
+# ----------------------------------------- dimensions and filters, in full ---
+
+@query("dim_time")
+def q_dim_time(spark, sf_dir):
+    """D-TIME, joined with the deliveries' pick-up minutes that use it."""
+    s = star(spark, sf_dir)
+    used = s.fact("delivery").groupBy(F.col("pickup_time_sk").alias("time_sk")).agg(
+        F.count(F.lit(1)).alias("deliveries"))
+    return s.dim("time").join(used, "time_sk", "left").select(
+        *s.dim("time").columns, F.coalesce("deliveries", F.lit(0)).alias("deliveries"))
+
+
+@query("dim_restaurant")
+def q_dim_restaurant(spark, sf_dir):
+    return star(spark, sf_dir).dim("restaurant").select(
+        "restaurant_sk", "restaurant_id", "restaurant_name", "cuisine_type", "city", "state", "country",
+        "postal_code", "effective_from", "effective_to", "is_current")
+
+
+@query("dim_product")
+def q_dim_product(spark, sf_dir):
+    return star(spark, sf_dir).dim("product").select(
+        "product_sk", "product_id", "restaurant_sk", "product_name", "description", "category", "price", "cost",
+        "is_vegetarian", "is_vegan", "is_gluten_free", "is_current")
+
+
+@query("dim_promotion")
+def q_dim_promotion(spark, sf_dir):
+    return star(spark, sf_dir).dim("promotion").select(
+        "promotion_sk", "promotion_id", "restaurant_sk", "promotion_name", "description", "discount_type",
+        "discount_value", "start_date", "end_date", "min_order_value", "is_active", "is_current")

@@ -1,32 +1,33 @@
-"""The full batch load as one callable job (§3.1): CSV extracts → stage →
-clean → dimensions → facts, every layer written under one storage root.
+"""The batch load as one callable job (§3.1): CSV extracts → stage → clean →
+dimensions → facts, every layer written under one storage root.
 
     from platewise.plans.load import full_load
     full_load(spark, {"orders": "s3://…/orders/", …}, root="s3://…/warehouse",
               batch_id=20250101, batch_ts="2025-01-01 02:00:00")
 
-Each extract is read with its declared schema (bad rows go to
-``stage/<name>_quarantine``), then every layer is written once and read back
-by the next: clean tables and facts as ``batch_id=<n>`` partitions (a rerun
-of the batch replaces them), dimensions as snapshot ``v=<n>`` — built from
-the batch on the first load, SCD2-merged into the newest earlier snapshot
-after that; the calendar is extended from the stored one so date keys stay.  Fact keys
-number the stored clean rows in file order (no sort of the fact rows) and
-continue after the keys of earlier batches.
+Each extract is read with its declared schema (bad rows of every feed go to
+``stage/<name>_quarantine``) and stored as ``stage/<name>_load`` — beside the
+folder that the change streams watch, so a stream never reads a load's own
+files again.  Everything after that is ``plans.live``: versions, SCD2 merges,
+upserts by business key, links over all batches.
+
+``kind="delta"`` (default): the order, item and delivery extracts hold new,
+changed or repeated rows, which are upserted.  ``kind="full"``: they hold
+everything and replace the facts of earlier loads, so rows that left the
+source leave the facts too.  Either way known rows keep their keys.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import calendar, dims
+from ..operators import clean as C
+from ..operators import dims
+from ..session import scratch_scope
 from ..sources import csv as csvsrc
 from ..sources import store
-from .warehouse import CLEAN_OF_DIM, Star
-
-DIMENSIONS = ["restaurant", "customer", "product", "promotion", "delivery_person"]
-FACTS = {"order": "order_sk", "order_item": "order_item_sk", "delivery": "delivery_sk",
-         "rating": "rating_sk"}
+from .live import DIMENSIONS, FACTS, LiveWarehouse
+from .warehouse import CLEAN_OF_DIM
 
 
 def _batch(spark: SparkSession, root: str, layer: str, table: str, batch_id: int) -> DataFrame:
@@ -34,88 +35,76 @@ def _batch(spark: SparkSession, root: str, layer: str, table: str, batch_id: int
             .where(F.col("batch_id") == batch_id).drop("batch_id"))
 
 
+def fact_dates(clean: dict[str, DataFrame]) -> DataFrame | None:
+    """Every date that the facts of these clean tables look up."""
+    columns = {"orders": ["order_date"], "delivery": ["pickup_time", "delivery_time"], "ratings": ["created_at"]}
+    parts = [clean[n].select(F.to_date(c).alias("d")) for n, cs in columns.items() if n in clean for c in cs]
+    for p in parts[1:]:
+        parts[0] = parts[0].unionByName(p)
+    return parts[0] if parts else None
+
+
 def full_load(spark: SparkSession, paths: dict[str, str], root: str, batch_id: int,
-              batch_ts: str, second_restaurant_feed: str | None = None) -> dict[str, int]:
-    """Run one full load; returns the number of quarantined rows per extract."""
-    quarantined: dict[str, int] = {}
-    for name, path in paths.items():
-        r = csvsrc.read_source(spark, name, path, f"{name}_csv", batch_ts)
-        good = r.good
-        if name == "restaurants" and second_restaurant_feed:
-            r2 = csvsrc.read_source(spark, "restaurants_feed2", second_restaurant_feed,
-                                    "restaurants_feed2_csv", batch_ts)
-            good = csvsrc.union_restaurant_feeds(good, r2.good)
-        store.write_batch(good, root, "stage", name, batch_id)
-        store.write_batch(r.quarantine, root, "stage", f"{name}_quarantine", batch_id)
-        quarantined[name] = r.quarantine.count()
-
-    stage = {n: _batch(spark, root, "stage", n, batch_id) for n in paths}
-    star = Star(stage, batch_ts, fact_key_mode="stored", materialize=False)
-    for n in [*paths, "ratings"] if "orders" in paths else list(paths):
-        store.write_batch(star.clean(n), root, "clean", n, batch_id)
-        star._memo[("clean", n)] = _batch(spark, root, "clean", n, batch_id)
-    prev_cal = _latest_snapshot_before(spark, root, "dim_date", batch_id)
-    if prev_cal is not None:
-        # keep every date key of earlier batches: extend the stored calendar
-        lo = prev_cal.agg(F.min("date_id")).first()[0]
-        dates = star.calendar_dates().unionByName(prev_cal.select(F.col("date_id").alias("d")))
-        early = dates.where(F.col("d") < F.lit(lo)).limit(1).count()
-        if early:
-            raise ValueError(f"batch {batch_id} has dates before the calendar start {lo}")
-        star._memo[("dim", "date")] = calendar.dim_date_covering(dates, start=str(lo))
-    for d in DIMENSIONS:
-        prev = _latest_snapshot_before(spark, root, f"dim_{d}", batch_id)
-        if prev is None:
-            continue  # first load: Star builds the dimension from this batch
-        # later loads: SCD2-merge this batch into the newest earlier snapshot
-        src = (dims.delivery_person_source(star.clean("delivery")) if d == "delivery_person"
-               else star.clean(CLEAN_OF_DIM[d]))
-        merged = dims.merge_dimension(d, prev, src, batch_ts)
-        if d in ("product", "promotion"):
-            merged = dims.with_restaurant_sk(merged, star.dim("restaurant"))
-        star._memo[("dim", d)] = merged
-    for d in ["date", "time", *DIMENSIONS]:
-        store.write_snapshot(star.dim(d), root, f"dim_{d}", batch_id)
-        star._memo[("dim", d)] = store.read_snapshot(spark, root, f"dim_{d}", batch_id)
-    for f, key in FACTS.items():
-        offset = _max_before(spark, root, f"fact_{f}", key, batch_id)
-        fact = star.fact(f)
-        if offset:
-            fact = fact.withColumn(key, F.col(key) + F.lit(offset))
-        store.write_batch(fact, root, "consumption", f"fact_{f}", batch_id)
-        star._memo[("fact", f)] = _batch(spark, root, "consumption", f"fact_{f}", batch_id)
-    return quarantined
-
-
-def _latest_snapshot_before(spark: SparkSession, root: str, table: str, batch_id: int
-                            ) -> DataFrame | None:
-    if not store.exists(spark, root, "consumption", table):
-        return None
-    v = (store.read_table(spark, root, "consumption", table)
-         .where(F.col("v") < batch_id).agg(F.max("v")).first()[0])
-    return None if v is None else store.read_snapshot(spark, root, table, v)
-
-
-def _max_before(spark: SparkSession, root: str, table: str, key: str, batch_id: int) -> int:
-    if not store.exists(spark, root, "consumption", table):
-        return 0
-    t = store.read_table(spark, root, "consumption", table)
-    return t.where(F.col("batch_id") < batch_id).agg(F.max(key)).first()[0] or 0
+              batch_ts: str, second_restaurant_feed: str | None = None, kind: str = "delta",
+              multiline: bool = False) -> dict[str, int]:
+    """Run one load; returns the number of quarantined rows per extract and,
+    as ``pending_<fact>``, how many rows wait for their order."""
+    if kind not in ("full", "delta"):
+        raise ValueError(f"kind must be full or delta, not {kind}")
+    report: dict[str, int] = {}
+    run = f"load:{batch_id}"
+    live = LiveWarehouse(spark, root)
+    with scratch_scope(spark):
+        for name, path in paths.items():
+            r = csvsrc.read_source(spark, name, path, f"{name}_csv", batch_ts, multiline)
+            good, bad = r.good, [(name, r.quarantine)]
+            if name == "restaurants" and second_restaurant_feed:
+                r2 = csvsrc.read_source(spark, "restaurants_feed2", second_restaurant_feed,
+                                        "restaurants_feed2_csv", batch_ts, multiline)
+                good = csvsrc.union_restaurant_feeds(good, r2.good)
+                bad.append(("restaurants_feed2", r2.quarantine))
+            store.write_batch(good, root, "stage", f"{name}_load", batch_id)
+            for feed, rows in bad:
+                store.write_batch(rows, root, "stage", f"{feed}_quarantine", batch_id)
+                report[feed] = rows.count()
+
+        stage = {n: _batch(spark, root, "stage", f"{n}_load", batch_id) for n in paths}
+        clean = {n: live.put_clean(n, C.CLEANERS[n](s, batch_ts), run, kind) for n, s in stage.items()}
+        if "orders" in stage:
+            clean["ratings"] = live.put_clean("ratings", C.clean_ratings(stage["orders"], batch_ts), run, kind)
+
+        dates = fact_dates(clean)
+        if dates is not None:
+            live.put_calendar(dates, run)
+        live.put_time(run)
+        for d in DIMENSIONS:
+            entity = CLEAN_OF_DIM.get(d)
+            if d == "delivery_person" and "delivery" in clean:
+                live.put_dimension(d, clean["delivery"], batch_ts, run)
+            elif entity in stage:
+                latest = dims.latest_stage_rows(stage[entity], entity)
+                live.put_dimension(d, C.CLEANERS[entity](latest, batch_ts), batch_ts, run)
+        for f, (_, _, table, _) in FACTS.items():
+            rows = clean.get(table)
+            if rows is None and (waiting := live.pending(f)) is not None:
+                rows = waiting.limit(0)  # only those that waited for an order
+            if rows is not None:
+                waits = live.put_fact(f, rows, batch_ts, run, kind if table in clean else "delta")
+                if f != "order":
+                    report[f"pending_{f}"] = waits
+    return report
 
 
 class StoredStar:
     """Read side of a loaded warehouse: ``fact(name)``/``dim(name)`` over the
-    stored tables (latest snapshot, all fact batches), e.g. for
+    committed tables (newest snapshot; the fact rows that count now), e.g. for
     ``views.register_views``."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.live = LiveWarehouse(spark, root)
 
     def dim(self, name: str) -> DataFrame:
-        table = f"dim_{name}"
-        return store.read_snapshot(self.spark, self.root, table,
-                                   store.latest_version(self.spark, self.root, table))
+        return self.live.dim(name)
 
     def fact(self, name: str) -> DataFrame:
-        return store.read_table(self.spark, self.root, "consumption",
-                                f"fact_{name}").drop("batch_id")
+        return self.live.fact(name)

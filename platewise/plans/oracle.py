@@ -14,8 +14,36 @@ NULLS FIRST like Spark's ascending sort.
 
 from __future__ import annotations
 
-from ..operators.audits import FOREIGN_KEYS, PRIMARY_KEYS
-
+# The keys that the schema design declares, typed here on their
+# own, so that a key the audits forgot shows up.
+PRIMARY_KEYS = {
+    "dim_date": "date_sk", "dim_time": "time_sk", "dim_restaurant": "restaurant_sk", "dim_product": "product_sk",
+    "dim_promotion": "promotion_sk", "dim_customer": "customer_sk", "dim_delivery_person": "delivery_person_sk",
+    "fact_order": "order_sk", "fact_order_item": "order_item_sk", "fact_delivery": "delivery_sk",
+    "fact_rating": "rating_sk"}
+FOREIGN_KEYS = [
+    ("dim_product", "restaurant_sk", "dim_restaurant", "restaurant_sk"),
+    ("dim_promotion", "restaurant_sk", "dim_restaurant", "restaurant_sk"),
+    ("fact_order", "customer_sk", "dim_customer", "customer_sk"),
+    ("fact_order", "restaurant_sk", "dim_restaurant", "restaurant_sk"),
+    ("fact_order", "order_date_sk", "dim_date", "date_sk"),
+    ("fact_order", "order_time_sk", "dim_time", "time_sk"),
+    ("fact_order", "promotion_sk", "dim_promotion", "promotion_sk"),
+    ("fact_order_item", "order_sk", "fact_order", "order_sk"),
+    ("fact_order_item", "product_sk", "dim_product", "product_sk"),
+    ("fact_delivery", "order_sk", "fact_order", "order_sk"),
+    ("fact_delivery", "delivery_person_sk", "dim_delivery_person", "delivery_person_sk"),
+    ("fact_delivery", "pickup_date_sk", "dim_date", "date_sk"),
+    ("fact_delivery", "pickup_time_sk", "dim_time", "time_sk"),
+    ("fact_delivery", "delivery_date_sk", "dim_date", "date_sk"),
+    ("fact_delivery", "delivery_time_sk", "dim_time", "time_sk"),
+    ("fact_rating", "order_sk", "fact_order", "order_sk"),
+    ("fact_rating", "customer_sk", "dim_customer", "customer_sk"),
+    ("fact_rating", "restaurant_sk", "dim_restaurant", "restaurant_sk"),
+    ("fact_rating", "delivery_person_sk", "dim_delivery_person", "delivery_person_sk"),
+    ("fact_rating", "rating_date_sk", "dim_date", "date_sk"),
+    ("fact_rating", "rating_time_sk", "dim_time", "time_sk"),
+]
 BATCH_TS = "TIMESTAMP '2025-01-01 00:00:00'"
 SNAP_TS = ["TIMESTAMP '2025-01-01 00:00:00'", "TIMESTAMP '2025-02-01 00:00:00'"]
 
@@ -108,11 +136,12 @@ SELECT CAST(o.o_orderkey AS VARCHAR) AS order_id, CAST(o.o_custkey AS VARCHAR) A
             WHEN 'P' THEN 'Preparing' END AS order_status,
        o.o_totalprice AS order_total, floor(o.o_totalprice * 5) / 100 AS tip_amount,
        substr(o.o_orderpriority, 1, 1) AS promotion_id,
-       e.rating AS rating, o.o_orderdate AS created_at, o.o_orderdate AS updated_at
+       e.rating AS rating, e.drating AS delivery_rating, o.o_orderdate AS created_at, o.o_orderdate AS updated_at
 FROM orders o
 LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS supp FROM lineitem GROUP BY 1) m
   ON o.o_orderkey = m.l_orderkey
-LEFT JOIN (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 + 1 AS rating
+LEFT JOIN (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 + 1 AS rating,
+                  CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 + 2 AS drating
            FROM events WHERE event_type <> 'error') e ON o.o_orderkey = e.event_id""")
 
 cte("c_order_items", [], """
@@ -144,15 +173,14 @@ SELECT CAST(event_id AS VARCHAR) AS delivery_id, CAST(event_id AS VARCHAR) AS or
             ELSE 'Jam' END AS traffic_density,
        CASE user_id % 3 WHEN 0 THEN 'motorcycle' WHEN 1 THEN 'scooter'
             WHEN 2 THEN 'electric_scooter' END AS vehicle_type,
-       day_ts AS created_at,
+       day_ts AS created_at, (k % 40) * 0.25 + 0.5 AS delivery_distance,
        CASE WHEN t1 IS NULL THEN NULL ELSE greatest(300, least(7200, abs(t1 - t0))) END
          AS clip_secs
 FROM ev""")
 
 cte("c_ratings", ["c_orders"], """
 SELECT order_id || '-rating' AS rating_id, order_id, customer_id,
-       CAST(NULL AS VARCHAR) AS restaurant_id, CAST(NULL AS VARCHAR) AS delivery_person_id,
-       CAST(NULL AS INTEGER) AS delivery_rating, rating AS overall_rating, updated_at AS created_at
+       restaurant_id, delivery_rating, rating AS overall_rating, updated_at AS created_at
 FROM c_orders WHERE rating IS NOT NULL""")
 
 # ------------------------------------------------------------- dimensions --
@@ -242,7 +270,7 @@ SELECT d.delivery_id, o.order_sk, dp.delivery_person_sk,
        CAST(hour(d.delivery_time) * 60 + minute(d.delivery_time) + 1 AS BIGINT)
          AS delivery_time_sk,
        date_diff('minute', d.pickup_time, d.delivery_time) AS delivery_duration_minutes,
-       CAST(NULL AS DOUBLE) AS delivery_distance,
+       CAST(d.delivery_distance AS DOUBLE) AS delivery_distance,
        d.weather_conditions, d.traffic_density
 FROM c_delivery d
 LEFT JOIN f_order o ON d.order_id = o.order_id
@@ -250,15 +278,17 @@ LEFT JOIN d_delivery_person dp ON d.delivery_person_id = dp.delivery_person_id
 LEFT JOIN d_date pd ON CAST(d.pickup_time AS DATE) = pd.date_id
 LEFT JOIN d_date dd ON CAST(d.delivery_time AS DATE) = dd.date_id) x""")
 
-cte("f_rating", ["c_ratings", "f_order", "d_customer", "d_date"], """
+cte("f_rating", ["c_ratings", "f_order", "f_delivery", "d_customer", "d_restaurant", "d_date"], """
 SELECT row_number() OVER (ORDER BY r.rating_id) AS rating_sk, r.rating_id, o.order_sk,
-       c.customer_sk, CAST(NULL AS BIGINT) AS restaurant_sk,
-       CAST(NULL AS BIGINT) AS delivery_person_sk, d.date_sk AS rating_date_sk,
+       c.customer_sk, s.restaurant_sk, p.delivery_person_sk, d.date_sk AS rating_date_sk,
        CAST(hour(r.created_at) * 60 + minute(r.created_at) + 1 AS BIGINT) AS rating_time_sk,
        r.overall_rating, r.delivery_rating
 FROM c_ratings r
 LEFT JOIN f_order o ON r.order_id = o.order_id
 LEFT JOIN d_customer c ON r.customer_id = c.customer_id
+LEFT JOIN d_restaurant s ON r.restaurant_id = s.restaurant_id
+LEFT JOIN (SELECT order_sk, arg_max(delivery_person_sk, delivery_sk) AS delivery_person_sk
+           FROM f_delivery WHERE order_sk IS NOT NULL GROUP BY 1) p ON o.order_sk = p.order_sk
 LEFT JOIN d_date d ON CAST(r.created_at AS DATE) = d.date_id""")
 
 # ----------------------------------------------------------------- queries --
@@ -588,5 +618,109 @@ SELECT CASE WHEN batch = 0 THEN 0 ELSE (SELECT COUNT(*) FROM b WHERE batch = 0)
 FROM b""", "f_order")
 
 
+Q["load_late_parents"] = sql("""
+SELECT 'item' AS fact, f.order_item_id AS id, o.order_id, f.item_total AS amount
+FROM f_order_item f JOIN f_order o ON f.order_sk = o.order_sk
+UNION ALL
+SELECT 'delivery', f.delivery_id, o.order_id, CAST(f.delivery_duration_minutes AS DOUBLE)
+FROM f_delivery f LEFT JOIN f_order o ON f.order_sk = o.order_sk
+UNION ALL
+SELECT 'rating', f.rating_id, o.order_id, CAST(f.overall_rating AS DOUBLE)
+FROM f_rating f LEFT JOIN f_order o ON f.order_sk = o.order_sk""",
+                             "f_order_item", "f_delivery", "f_rating", "f_order")
+
+Q["incremental_delivery_person"] = sql(f"""
+WITH one AS (SELECT delivery_person_id AS p, arg_max(vehicle_type, (coalesce(pickup_time, created_at), delivery_id)) AS v
+             FROM c_delivery WHERE CAST(delivery_id AS BIGINT) % 2 = 0 GROUP BY 1),
+two AS (SELECT delivery_person_id AS p, CASE WHEN CAST(delivery_person_id AS BIGINT) % 5 = 0 THEN 'bicycle'
+               ELSE arg_max(vehicle_type, (coalesce(pickup_time, created_at), delivery_id)) END AS v
+        FROM c_delivery WHERE CAST(delivery_id AS BIGINT) % 2 = 1 GROUP BY 1),
+ch AS (SELECT two.* FROM two LEFT JOIN one ON one.p = two.p WHERE one.p IS NULL OR one.v IS DISTINCT FROM two.v)
+SELECT one.p AS delivery_person_id, one.v AS vehicle_type, {SNAP_TS[0]} AS effective_from,
+       CASE WHEN ch.p IS NULL THEN CAST(NULL AS TIMESTAMP) ELSE {SNAP_TS[1]} END AS effective_to,
+       ch.p IS NULL AS is_current
+FROM one LEFT JOIN ch ON one.p = ch.p
+UNION ALL SELECT p, v, {SNAP_TS[1]}, CAST(NULL AS TIMESTAMP), TRUE FROM ch""", "c_delivery")
+
+Q["incremental_two_extracts"] = sql("""
+SELECT customer_id, first_name, last_name, city, TRUE AS is_current FROM snap1""", "snap1")
+
+Q["full_load_twice"] = Q["vw_restaurant_order_performance"]
+Q["load_then_stream_customer"] = Q["scd2_merge"]
+Q["scd2_merge_null_change"] = sql("""
+SELECT n.customer_id, t.city AS old_city, n.city AS new_city, n.effective_from
+FROM scd_result n JOIN scd_result t ON n.customer_id = t.customer_id AND n.is_current AND NOT t.is_current
+WHERE n.city IS NULL OR t.city IS NULL""", "scd_result")
+
+Q["dim_time"] = sql("""
+SELECT t.time_sk, printf('%02d:%02d:00', hour_of_day, minute_of_hour) AS time_id, minute_of_day, hour_of_day,
+       minute_of_hour, CAST(0 AS INTEGER) AS second_of_minute, am_pm, time_of_day_category,
+       coalesce(u.n, 0) AS deliveries
+FROM d_time t LEFT JOIN (SELECT pickup_time_sk, COUNT(*) AS n FROM f_delivery GROUP BY 1) u
+  ON t.time_sk = u.pickup_time_sk""", "d_time", "f_delivery")
+
+Q["dim_restaurant"] = sql("""
+SELECT restaurant_sk, restaurant_id, restaurant_name, cuisine_type, city, state, country, postal_code,
+       effective_from, CAST(NULL AS TIMESTAMP) AS effective_to, is_current FROM d_restaurant""", "d_restaurant")
+Q["dim_product"] = sql("""
+SELECT product_sk, product_id, restaurant_sk, product_name, description, category, price, cost,
+       is_vegetarian, is_vegan, is_gluten_free, is_current FROM d_product""", "d_product")
+Q["dim_promotion"] = sql("""
+SELECT promotion_sk, promotion_id, restaurant_sk, promotion_name, description, discount_type,
+       discount_value, start_date, end_date, min_order_value, is_active, is_current FROM d_promotion""",
+                         "d_promotion")
+
+
+Q["csv_header_orders"] = Q["clean_order_items"]
+Q["csv_all_sources"] = sql("""
+SELECT 'restaurants' AS source, restaurant_id AS key, restaurant_name AS value FROM c_restaurants
+UNION ALL SELECT 'restaurants_feed2', restaurant_id, restaurant_name FROM c_restaurants WHERE s_nationkey >= 12
+UNION ALL SELECT 'products', CAST(p_partkey AS VARCHAR), '$' || format('{:,.2f}', p_retailprice) FROM part
+UNION ALL SELECT 'promotions', promotion_id, promotion_name FROM c_promotions
+UNION ALL SELECT 'customers', customer_id, last_name FROM c_customers
+UNION ALL SELECT 'orders', order_id, order_status FROM c_orders
+UNION ALL SELECT 'order_items', order_item_id, product_id FROM c_order_items
+UNION ALL SELECT 'delivery', delivery_id, strftime(created_at, '%d-%m-%Y') FROM c_delivery""",
+                           "c_restaurants", "c_promotions", "c_customers", "c_orders", "c_order_items", "c_delivery")
+
+Q["full_load_quarantine"] = sql("""
+SELECT restaurant_id AS id, CASE WHEN CAST(restaurant_id AS BIGINT) % 7 = 0 THEN 'quarantined' ELSE 'kept' END AS state,
+       CASE WHEN CAST(restaurant_id AS BIGINT) % 7 = 0
+            THEN COUNT(*) FILTER (CAST(restaurant_id AS BIGINT) % 7 = 0) OVER (PARTITION BY s_nationkey < 12) END AS n
+FROM c_restaurants""", "c_restaurants")
+
+_TWICE = """
+(SELECT * FROM f_rating UNION ALL BY NAME SELECT * REPLACE (1 AS delivery_rating) FROM f_rating WHERE order_sk % 2 = 0)"""
+Q["vw_delivery_performance_two_ratings"] = sql(f"""
+SELECT dp.delivery_person_id, d.year, d.month_name, COUNT(fd.delivery_id) AS total_deliveries,
+       {mean('fd.delivery_duration_minutes')} AS avg_delivery_time,
+       {mean('fd.delivery_distance')} AS avg_delivery_distance,
+       CAST(SUM(fr.rsum) AS DOUBLE) / CAST(SUM(fr.rcnt) AS DOUBLE) AS avg_delivery_rating, 'per_order' AS mode
+FROM f_delivery fd
+JOIN d_delivery_person dp ON fd.delivery_person_sk = dp.delivery_person_sk
+JOIN d_date d ON fd.delivery_date_sk = d.date_sk
+LEFT JOIN (SELECT order_sk, SUM(delivery_rating) AS rsum, COUNT(delivery_rating) AS rcnt
+           FROM {_TWICE} WHERE order_sk IS NOT NULL GROUP BY 1) fr ON fd.order_sk = fr.order_sk
+GROUP BY 1, 2, 3
+UNION ALL
+SELECT dp.delivery_person_id, d.year, d.month_name, COUNT(fd.delivery_id),
+       {mean('fd.delivery_duration_minutes')}, {mean('fd.delivery_distance')}, {mean('fr.delivery_rating')}, 'literal'
+FROM f_delivery fd
+JOIN d_delivery_person dp ON fd.delivery_person_sk = dp.delivery_person_sk
+JOIN d_date d ON fd.delivery_date_sk = d.date_sk
+LEFT JOIN {_TWICE} fr ON fd.order_sk = fr.order_sk
+GROUP BY 1, 2, 3""", "f_delivery", "d_delivery_person", "d_date", "f_rating")
+
+Q["audit_lookup_completeness_all"] = sql("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{k}' AS key_column, COUNT(*) AS fact_rows, COUNT(*) - COUNT({k}) AS missing "
+    f"FROM {t.replace('fact_', 'f_')}" for t, k, *_ in FOREIGN_KEYS if t.startswith("fact_")),
+    "f_order", "f_order_item", "f_delivery", "f_rating")
+
+Q["daily_orders_choices"] = sql("""
+SELECT CAST(o.order_date AS DATE) AS date, COUNT(*) AS order_count
+FROM c_orders o JOIN c_restaurants r ON o.restaurant_id = r.restaurant_id AND r.cuisine_type = 'C1'
+WHERE o.order_date IS NOT NULL GROUP BY 1""", "c_orders", "c_restaurants")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(Q)

@@ -100,7 +100,8 @@ class Star:
                 return facts.fact_rating(self.clean("ratings"), self.fact("order"),
                                          self.dim("customer"), self.dim("restaurant"),
                                          self.dim("delivery_person"), self.dim("date"),
-                                         self.dim("time"), ts, key_mode=km)
+                                         self.dim("time"), ts, key_mode=km,
+                                         fact_delivery_df=self.fact("delivery"))
             raise KeyError(name)
         return self._get("fact", name, make)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -47,33 +49,52 @@ def build_session(master: str | None = None, app: str = "platewise",
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for checkpoints and intermediate tables: the session's
+    ``spark.checkpoint.dir``.
 
-    Uses the cluster's ``spark.checkpoint.dir``.  Only when it is unset and
-    Spark runs in local mode (tests, laptops) do we create one ourselves; on a
-    cluster an unset checkpoint dir is an error, because a machine-local
-    folder would not survive the loss of an executor.
+    Where it is unset a folder of our own is used, which is right for one
+    machine (tests, laptops) only: on a cluster set it to shared storage, a
+    local folder would not survive the loss of an executor.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; point it at shared storage")
-        d = tempfile.mkdtemp(prefix="platewise-ckpt-")
+    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="platewise-ckpt-")
     sc.setCheckpointDir(d)
     # setCheckpointDir adds a per-application sub-folder; report that one.
     return sc.getCheckpointDir() or d
 
 
+_scopes = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared scratch folder (safe when
     several driver threads build plans at once)."""
     base = scratch_dir(spark)
-    return os.path.join(base, "work", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(base, "work", f"{name}-{uuid.uuid4().hex}")
+    for paths in getattr(_scopes, "open", [])[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes, at its end, the scratch tables that its thread made inside;
+    whatever is to last must be written elsewhere by then."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    paths: list[str] = []
+    _scopes.open.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.open.remove(paths)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def materialize(df, name: str = "table"):

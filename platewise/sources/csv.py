@@ -6,17 +6,19 @@
 * PERMISSIVE parsing with a corrupt-record column: rows with a bad value or
   extra fields go to a quarantine frame instead of failing the load (S4);
 * provenance columns: source system, file name, load time (S5);
-* the header is checked against the declared layout before reading (Q4):
+* every file's header is checked against the declared layout before reading (Q4):
   unknown or missing required columns fail the load; the optional extension
   columns may be absent and read as null.
 """
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
 from ..functions.schemas import SOURCE_DDL, conform, struct
 from ..session import materialize
@@ -26,8 +28,8 @@ CORRUPT = "_corrupt_record"
 # Source columns that an extract may omit (they read as null).
 OPTIONAL = {
     "products": {"restaurant_id", "category"},
-    "orders": {"restaurant_id", "promotion_id", "order_total"},
-    "delivery": {"Order_ID"},
+    "orders": {"restaurant_id", "promotion_id", "order_total", "delivery_rating"},
+    "delivery": {"Order_ID", "Distance"},
     "restaurants": {"rating"},
 }
 
@@ -48,11 +50,18 @@ class SourceRead:
     quarantine: DataFrame   # parsed columns, raw_record, source_file, provenance
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names in the extract's header (one line read through Spark)."""
-    row = (spark.read.option("header", "false").option("quote", '"').option("escape", '"')
-           .csv(path).limit(1).first())
-    return [] if row is None else [str(v).strip() for v in row]
+def headers_of(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The headers that occur among the extract's files, with the files of
+    each (one row for each file comes to the driver)."""
+    at = F.col("_metadata.file_block_start")
+    lines = (spark.read.text(path).where(at == 0)  # a file's first split
+             .select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"), "value"))
+    first = lines.groupBy("file").agg(F.min_by("value", "i").alias("header")).orderBy("file").collect()
+    found: dict[tuple[str, ...], list[str]] = {}
+    for r in first:
+        names = next(csv.reader([r["header"].removeprefix("\ufeff")]), [])
+        found.setdefault(tuple(n.strip() for n in names), []).append(unquote(r["file"]))
+    return found
 
 
 def check_header(name: str, header: list[str]) -> list[str]:
@@ -68,19 +77,42 @@ def check_header(name: str, header: list[str]) -> list[str]:
     return header
 
 
+def _nulls(df: DataFrame) -> DataFrame:
+    """Markers that the extracts' tools write for a missing value: blank and
+    ``NaN`` texts, and the number NaN, are null."""
+    def clean(f):
+        c = F.col(f.name)
+        if isinstance(f.dataType, StringType) and f.name != CORRUPT:
+            return F.when(~F.trim(c).isin("", "NaN", "nan"), c).alias(f.name)
+        if isinstance(f.dataType, (DoubleType, FloatType)):
+            return F.when(~F.isnan(c), c).alias(f.name)
+        return c
+
+    return df.select(*[clean(f) for f in df.schema.fields])
+
+
 def read_source(spark: SparkSession, name: str, path: str, source_system: str,
                 batch_ts: str, multiline: bool = False) -> SourceRead:
-    """Read one extract with its declared schema; split good and bad rows."""
-    cols = check_header(name, header_of(spark, path))
+    """Read one extract with its declared schema; split good and bad rows.
+
+    Columns are bound by each file's own header, whatever their order.
+    """
     full = {f.name: f for f in struct(SOURCE_DDL[name]).fields}
-    schema = StructType([full[c] for c in cols] + [StructField(CORRUPT, StringType(), True)])
-    raw = (spark.read.schema(schema).options(**CSV_OPTIONS)
-           .option("multiLine", str(multiline).lower()).csv(path)
-           .withColumn("source_file", F.col("_metadata.file_name")))
+    raw = None
+    headers = headers_of(spark, path)
+    for header, files in headers.items():
+        cols = check_header(name, list(header))
+        schema = StructType([full[c] for c in cols] + [StructField(CORRUPT, StringType(), True)])
+        part = (spark.read.schema(schema).options(**CSV_OPTIONS)
+                .option("multiLine", str(multiline).lower()).csv(path if len(headers) == 1 else files)
+                .withColumn("source_file", F.col("_metadata.file_name")))
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    if raw is None:
+        raise ValueError(f"{name}: no file with a header under {path}")
     # Spark parses only the columns a query reads, so a bad value in an
     # unread column would pass as good.  Parse every column once and keep
     # the result as a Parquet table (the stage copy of the extract).
-    raw = materialize(raw, f"stage-{name}")
+    raw = materialize(_nulls(raw), f"stage-{name}")
     stamp = {"source_system": F.lit(source_system),
              "load_timestamp": F.lit(batch_ts).cast("timestamp_ntz")}
     good = conform(raw.where(F.col(CORRUPT).isNull()).withColumns(stamp),

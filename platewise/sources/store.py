@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LAYERS = ("stage", "clean", "consumption")
@@ -64,11 +65,15 @@ def read_table(spark: SparkSession, root: str, layer: str, table: str,
 
 
 def exists(spark: SparkSession, root: str, layer: str, table: str) -> bool:
+    """False if nothing is stored there; any other storage error is raised."""
     try:
         spark.read.parquet(table_path(root, layer, table)).schema  # noqa: B018
         return True
-    except Exception:  # noqa: BLE001 — missing path
-        return False
+    except AnalysisException as e:
+        # an empty folder has no schema to infer
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def snapshot_path(root: str, table: str, version: int) -> str:

@@ -14,9 +14,11 @@ mapping:
   promotion   ← the order priorities (one per priority)
   customer    ← customer ⋈ nation
   order       ← orders; restaurant = min(l_suppkey) of its lines (none → null),
-                rating = event with event_id = o_orderkey unless it is an error
+                rating and delivery rating = event with event_id = o_orderkey
+                unless it is an error
   order item  ← lineitem (unit price = extended price / quantity)
-  delivery    ← events (person = user, pick-up = ts + value minutes)
+  delivery    ← events (person = user, pick-up = ts + value minutes, distance
+                in quarters, so that sums are exact)
 """
 
 from __future__ import annotations
@@ -145,7 +147,8 @@ def orders(t: Tables) -> DataFrame:
     seller = t.lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("_supp"))
     rated = t.events.where(F.col("event_type") != "error").select(
         F.col("event_id").alias("_eid"),
-        (F.get_json_object("props", "$.k").cast("int") % 5 + 1).alias("_rating"))
+        (F.get_json_object("props", "$.k").cast("int") % 5 + 1).alias("_rating"),
+        (F.get_json_object("props", "$.k").cast("int") % 4 + 2).alias("_drating"))
     o = t.orders
     df = (o.join(seller, o.o_orderkey == seller.l_orderkey, "left")
            .join(rated, o.o_orderkey == rated._eid, "left")
@@ -159,7 +162,8 @@ def orders(t: Tables) -> DataFrame:
                F.col("_rating").alias("rating"),
                _s("_supp").alias("restaurant_id"),
                F.substring("o_orderpriority", 1, 1).alias("promotion_id"),
-               F.col("o_totalprice").alias("order_total")))
+               F.col("o_totalprice").alias("order_total"),
+               F.col("_drating").alias("delivery_rating")))
     return conform(df, SOURCE_DDL["orders"])
 
 
@@ -196,7 +200,8 @@ def delivery(t: Tables) -> DataFrame:
                         F.year("ts")).alias("Order_Date"),
         _pick(k % 4, ORDER_KINDS).alias("Type_of_order"),
         (k % 3).alias("multiple_deliveries"),
-        _s("event_id").alias("Order_ID"))
+        _s("event_id").alias("Order_ID"),
+        ((k % 40) * 0.25 + 0.5).alias("Distance"))
     return conform(df, SOURCE_DDL["delivery"])
 
 
