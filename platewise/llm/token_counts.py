@@ -9,7 +9,6 @@ is the sum over its words.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +19,9 @@ from .text import utf8
 # The mark of a word's start, and the score below the worst
 # piece's at which a character without a piece is taken.
 MARK, UNKNOWN_BELOW = "▁", 10.0
-#: Nodes after which a task's trie starts anew; bounds its memory, not its results.
-MAX_NODES = 400_000
+#: Nodes after which a task's trie starts anew, and words after which its
+#: terminals' counts do; they bound its memory, not its results.
+MAX_NODES, MAX_WORDS = 800_000, 1_000_000
 
 
 class Vocabulary:
@@ -30,9 +30,16 @@ class Vocabulary:
 
     def __init__(self, scores: dict[str, float], byte_fallback: bool = True):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
         self.missing = min(scores.values(), default=0.0) - UNKNOWN_BELOW
         self.byte_fallback = byte_fallback
+        #: Trie of the pieces from their last character on: character -> [score or None, children].
+        self.backwards: dict[str, list] = {}
+        for piece, score in scores.items():
+            children = self.backwards
+            for c in reversed(piece):
+                node = children.setdefault(c, [None, {}])
+                children = node[1]
+            node[0] = score
 
     @classmethod
     def load(cls, model_path: str) -> Vocabulary:
@@ -45,35 +52,48 @@ class Vocabulary:
 
 
 class Trie:
-    """A node is [score, tokens, children by character]; the forward pass of
-    a path is done once, when its node is made."""
+    """Nodes are numbers, 0 the root: ``score`` and ``tokens`` hold the forward
+    pass of a node's path, done once, when the node is made, and ``child``
+    leads on by (node, character).  The last pieces that fit a path are found
+    in a second trie, of the pieces spelled backwards."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.root = [0.0, 0, {}]
-        self.nodes = 1
+        self.child: dict[int, int] = {}
+        self.score, self.tokens = [0.0], [0]
+
+    def __len__(self) -> int:
+        return len(self.score)
 
     def count(self, pretoken: str) -> int:
-        node, path, v = self.root, [self.root], self.v
+        child, score, tokens, v = self.child, self.score, self.tokens, self.v
+        path = [0]
         for i, c in enumerate(pretoken):
-            child = node[2].get(c)
-            if child is None:
+            way = path[i] * 0x110000 + ord(c)
+            node = child.get(way)
+            if node is None:
                 # the best last piece of the path to the new node
-                best, tokens = None, 0
-                for j in range(max(0, i + 1 - v.longest), i + 1):
-                    s = v.scores.get(pretoken[j:i + 1])
-                    if s is not None and (best is None or path[j][0] + s > best):
-                        best, tokens = path[j][0] + s, path[j][1] + 1
+                best = n = None
+                j, piece = i, v.backwards.get(c)
+                while piece is not None:
+                    own = piece[0]
+                    if own is not None:
+                        own += score[path[j]]
+                        if best is None or own >= best:
+                            best, n = own, tokens[path[j]] + 1
+                    if not j:
+                        break
+                    j -= 1
+                    piece = piece[1].get(pretoken[j])
                 if c not in v.scores:
-                    s = path[i][0] + v.missing
-                    if best is None or s > best:
-                        best = s
-                        tokens = path[i][1] + (len(c.encode()) if v.byte_fallback else 1)
-                child = node[2][c] = [best, tokens, {}]
-                self.nodes += 1
-            node = child
+                    own = score[path[i]] + v.missing
+                    if best is None or own > best:
+                        best, n = own, tokens[path[i]] + (len(c.encode()) if v.byte_fallback else 1)
+                node = child[way] = len(score)
+                score.append(best)
+                tokens.append(n)
             path.append(node)
-        return node[1]
+        return tokens[path[-1]]
 
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
@@ -86,17 +106,15 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
         for b in batches:
             words, tokens = [], []
             for t in utf8(b.column(1)):
-                bag = Counter((t or b"").split())
-                total = 0
-                for w, times in bag.items():
-                    n = known.get(w)
-                    if n is None:
-                        if trie.nodes > MAX_NODES:
-                            trie, known = Trie(vocabulary), {}
-                        n = known[w] = trie.count(MARK + w.decode())
-                    total += n * times
-                words.append(bag.total())
-                tokens.append(total)
+                w = (t or b"").split()
+                for new in set(w).difference(known):
+                    known[new] = trie.count(MARK + new.decode())
+                words.append(len(w))
+                tokens.append(sum(map(known.__getitem__, w)))
+                if len(trie) > MAX_NODES:
+                    trie = Trie(vocabulary)
+                if len(known) > MAX_WORDS:
+                    known = {}
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())],
                 names=["doc_id", "n_words", "n_tokens"])
