@@ -61,22 +61,22 @@ CALENDAR_START, CALENDAR_END = "1900-01-01", "2099-12-31"
 
 
 def dim_date_covering(dates: DataFrame, holidays: DataFrame | None = None,
-                      origin: str | None = None) -> DataFrame:
+                      start: str | None = None, origin: str | None = None) -> DataFrame:
     """Date dimension spanning whole calendar years around every date in the
     single date column of ``dates`` (those in 1900-2099) — computed lazily from a global
     min/max (one partial aggregate per task), so the calendar follows the data.
 
-    ``origin`` pins the day of key 1 (and so every ``date_sk``) to an existing
-    calendar: a later load extends it without renumbering, earlier days get
-    keys from 0 downwards."""
+    ``start`` pins the first day, which gets key 1.  ``origin`` pins the day
+    of key 1 only (and so every ``date_sk``) to an existing calendar: a later
+    load extends it without renumbering, earlier days get keys from 0 downwards."""
     c = F.col(dates.columns[0])
     inside = dates.where(c.between(F.lit(CALENDAR_START).cast("date"), F.lit(CALENDAR_END).cast("date")))
     bounds = inside.agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
-    start = F.trunc(F.col("lo"), "year")
+    begin = F.trunc(F.col("lo"), "year") if start is None else F.lit(start).cast("date")
     end = F.date_add(F.add_months(F.trunc(F.col("hi"), "year"), 12), -1)
     days = (bounds.where(F.col("lo").isNotNull())
-            .select(start.alias("start"),
-                    F.explode(F.sequence(start, end)).alias("d")))
+            .select(begin.alias("start"),
+                    F.explode(F.sequence(begin, end)).alias("d")))
     first = F.col("start") if origin is None else F.lit(origin).cast("date")
     sk = F.datediff(F.col("d"), first) + 1
     out = days.select(*_date_columns("d", sk))
