@@ -91,7 +91,7 @@ def _duplicate_lines(t: Text) -> bool:
 
 def _few_letters(t: Text) -> bool:
     lettered = re.compile(rb"[A-Za-z\x80-\xFF]").search
-    return 5 * sum(lettered(w) is not None for w in t.words) < 4 * len(t.words)
+    return 2 * sum(lettered(w) is not None for w in t.words) < len(t.words)
 
 
 def _ellipses(t: Text) -> bool:

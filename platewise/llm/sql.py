@@ -60,7 +60,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND strlen(array_to_string(w, '')) BETWEEN 2 * n_words AND 25 * n_words
   AND NOT 2 * len(list_filter(w, lambda v: regexp_matches(v, '[A-Z]') AND NOT regexp_matches(v, '[a-z]'))) > n_words
   AND NOT (n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines)
-  AND NOT 5 * len(list_filter(w, lambda v: regexp_matches(v, '[A-Za-z]|[^\\x00-\\x7F]'))) < 4 * n_words
+  AND NOT 2 * len(list_filter(w, lambda v: regexp_matches(v, '[A-Za-z]|[^\\x00-\\x7F]'))) < n_words
   AND NOT 10 * len(list_filter(string_split(regexp_replace(text, '\\n+$', ''), chr(10)),
                                lambda v: v LIKE '%...' OR v LIKE '%…')) > 3 * len(string_split(regexp_replace(text, '\\n+$', ''), chr(10)))
   AS kept
