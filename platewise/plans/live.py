@@ -196,7 +196,8 @@ class LiveWarehouse:
             # what waited and still finds no order is in the fact already, or waits on
             rows = rows.where(F.col("_found") if name == "order_item" else F.col("_found") | ~F.col("_held"))
             rows = rows.drop("_held", "_found")
-        rows = materialize(rows, "fact-input")
+        else:
+            rows = materialize(rows, "fact-input")
         fact = self._build(name, rows, orders, batch_ts, offset)
         # what is stored, with this run's own output if it runs again: keys stay
         known = self.fact(name, before=v + 1)

@@ -13,7 +13,7 @@ every fact to the current attributes through the business key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalars import mean, money_avg, money_sum
 
@@ -31,22 +31,42 @@ def _month(dim_date: DataFrame) -> DataFrame:
     return F.broadcast(dim_date.select("date_sk", "year", "month_name"))
 
 
+def _groups(rows: DataFrame, sk: str, names: list[str], gid: str) -> tuple[DataFrame, DataFrame]:
+    """Number the distinct ``names`` of a dimension by their smallest key:
+    (sk, gid) for the facts and (gid, names) for the result.  Facts then
+    travel with one integer in place of texts; several keys with the same
+    names are one group, as the view's SQL has it."""
+    numbered = rows.withColumn(gid, F.min(sk).over(W.partitionBy(*names)))
+    return numbered.select(sk, gid), numbered.where(F.col(sk) == F.col(gid)).select(gid, *names)
+
+
+def _months(dim_date: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for the calendar's months; it is bounded, so broadcast."""
+    keys, names = _groups(dim_date.select("date_sk", "year", "month_name"), "date_sk",
+                          ["year", "month_name"], "_month_id")
+    return F.broadcast(keys), F.broadcast(names)
+
+
 def restaurant_order_performance(fact_order: DataFrame, dim_restaurant: DataFrame,
                                  dim_date: DataFrame, history: str = "current") -> DataFrame:
     """V1: orders, revenue and tips per restaurant and month."""
     r = _current(dim_restaurant, "restaurant_sk", "restaurant_id",
                  ["restaurant_name", "cuisine_type", "city", "state"], history)
+    keys, names = _groups(r, "restaurant_sk", ["restaurant_name", "cuisine_type", "city", "state"], "_gid")
+    days, months = _months(dim_date)
     j = (fact_order.select("order_id", "restaurant_sk", "order_date_sk", "order_total",
                            "tip_amount")
-         .join(r, "restaurant_sk")
-         .join(_month(dim_date), F.col("order_date_sk") == F.col("date_sk")))
-    return j.groupBy("restaurant_name", "cuisine_type", "city", "state", "year",
-                     "month_name").agg(
+         .join(keys, "restaurant_sk")
+         .join(days, F.col("order_date_sk") == F.col("date_sk")))
+    g = j.groupBy("_gid", "_month_id").agg(
         F.count_distinct("order_id").alias("total_orders"),
         money_sum("order_total").alias("total_revenue"),
         money_avg("order_total").alias("avg_order_value"),
         money_sum("tip_amount").alias("total_tips"),
         money_avg("tip_amount").alias("avg_tip_amount"))
+    return g.join(names, "_gid").join(months, "_month_id").select(
+        "restaurant_name", "cuisine_type", "city", "state", "year", "month_name",
+        "total_orders", "total_revenue", "avg_order_value", "total_tips", "avg_tip_amount")
 
 
 def delivery_performance(fact_delivery: DataFrame, dim_person: DataFrame,
@@ -93,16 +113,22 @@ def customer_order_patterns(fact_order: DataFrame, dim_customer: DataFrame,
     c = _current(dim_customer, "customer_sk", "customer_id",
                  ["customer_id", "city", "state"], history)
     r = _current(dim_restaurant, "restaurant_sk", "restaurant_id", ["restaurant_id"], history)
+    keys, names = _groups(c, "customer_sk", ["customer_id", "city", "state"], "_gid")
+    served, _ = _groups(r, "restaurant_sk", ["restaurant_id"], "_rid")
+    days, months = _months(dim_date)
     j = (fact_order.select("order_id", "customer_sk", "restaurant_sk", "order_date_sk",
                            "order_total")
-         .join(c, "customer_sk")
-         .join(_month(dim_date), F.col("order_date_sk") == F.col("date_sk"))
-         .join(r, "restaurant_sk"))
-    return j.groupBy("customer_id", "city", "state", "year", "month_name").agg(
+         .join(keys, "customer_sk")
+         .join(days, F.col("order_date_sk") == F.col("date_sk"))
+         .join(served, "restaurant_sk"))
+    g = j.groupBy("_gid", "_month_id").agg(
         F.count_distinct("order_id").alias("total_orders"),
         money_sum("order_total").alias("total_spent"),
         money_avg("order_total").alias("avg_order_value"),
-        F.count_distinct("restaurant_id").alias("unique_restaurants_ordered"))
+        F.count_distinct("_rid").alias("unique_restaurants_ordered"))
+    return g.join(names, "_gid").join(months, "_month_id").select(
+        "customer_id", "city", "state", "year", "month_name", "total_orders", "total_spent",
+        "avg_order_value", "unique_restaurants_ordered")
 
 
 def product_performance(fact_order_item: DataFrame, dim_product: DataFrame,
@@ -112,16 +138,21 @@ def product_performance(fact_order_item: DataFrame, dim_product: DataFrame,
     p = _current(dim_product, "product_sk", "product_id",
                  ["product_name", "category", "restaurant_sk"], history)
     r = _current(dim_restaurant, "restaurant_sk", "restaurant_id", ["restaurant_name"], history)
+    keys, names = _groups(p.join(r, "restaurant_sk"), "product_sk",
+                          ["product_name", "category", "restaurant_name"], "_gid")
+    days, months = _months(dim_date)
     o = fact_order.select("order_sk", "order_id", "order_date_sk")
     j = (fact_order_item.select("order_sk", "product_sk", "quantity", "item_total")
-         .join(p, "product_sk")
+         .join(keys, "product_sk")
          .join(o, "order_sk")
-         .join(r, "restaurant_sk")
-         .join(_month(dim_date), F.col("order_date_sk") == F.col("date_sk")))
-    return j.groupBy("product_name", "category", "restaurant_name", "year", "month_name").agg(
+         .join(days, F.col("order_date_sk") == F.col("date_sk")))
+    g = j.groupBy("_gid", "_month_id").agg(
         F.sum("quantity").cast("bigint").alias("total_quantity_sold"),
         money_sum("item_total").alias("total_revenue"),
         F.count_distinct("order_id").alias("order_count"))
+    return g.join(names, "_gid").join(months, "_month_id").select(
+        "product_name", "category", "restaurant_name", "year", "month_name",
+        "total_quantity_sold", "total_revenue", "order_count")
 
 
 def promotion_effectiveness(fact_order: DataFrame, dim_promotion: DataFrame,
