@@ -179,19 +179,29 @@ def day(m: re.Match, key: bytes) -> str | None:
 
 
 def secret(m: re.Match, key: bytes) -> str | None:
-    """A hexadecimal key of 32 or more digits that is assigned to a name."""
-    upper = any(c in "ABCDEF" for c in m["hex"])
-    if upper and any(c in "abcdef" for c in m["hex"]):
+    """A value with digits that is assigned to the name of a secret; one of
+    hexadecimal digits in one case stays so, others keep letters and digits in
+    their places."""
+    value = m["value"]
+    if not any(c in DIGITS for c in value):
         return None
-    hexed = permute_text(m["hex"].lower(), key, "hex", lambda c: "0123456789abcdef")
-    return m["lead"] + (hexed.upper() if upper else hexed)
+    for alphabet in (DIGITS + "abcdef", DIGITS + "ABCDEF"):
+        if all(c in alphabet for c in value):
+            return m["lead"] + permute_text(value, key, "hex", lambda c: alphabet)
+    return m["lead"] + permute_text(value, key, "secret")
+
+
+def access_key(m: re.Match, key: bytes) -> str | None:
+    """A 20-character access key id: its prefix stays."""
+    return m[0][:4] + permute_text(m[0][4:], key, "access-key", lambda c: DIGITS + UPPER)
 
 
 #: (kind, pattern, pseudonym or None if it isn't valid), in order of precedence.
 KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, bytes], str | None]]] = [
     ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])"), email),
-    ("secret", re.compile(r"(?P<lead>\b(?i:token|secret|key|password|passwd|api_key|apikey)\"?\s{0,3}[:=]\s{0,3}[\"']?)"
-                          r"(?P<hex>[0-9A-Fa-f]{32,128})(?![0-9A-Za-z])"), secret),
+    ("secret", re.compile(r"(?P<lead>\b(?i:token|secret|password|passwd|pwd|(?:api|access|secret|private)[_-]?key)"
+                          r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_-]{8,256})"), secret),
+    ("access_key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"), access_key),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), iban),
     ("ip_address", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"), ip_address),
     ("phone", re.compile(r"\+\d{1,3} ?\(\d{1,4}\) ?\d{3}[ .-]\d{4}(?!\d)"
