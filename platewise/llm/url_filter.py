@@ -49,7 +49,7 @@ PATTERN_RULES = (
     PatternRule("betting", r"://([^/?#]*[.-])?free-bets?[.-]", ("free",)),
     PatternRule("pharmacy", r"://([^/?#]*[.-])?cheap-pills[.-]", ("cheap", "pills")),
     PatternRule("ad_host", r"://([^/?#]*[.-])?ads-track[.-]", ("ads", "track")),
-    PatternRule("ad_server", r"://ads?\d*\.", ("ads",)),
+    PatternRule("ad_server", r"://ads?\d*\.", ()),
     PatternRule("login", r"/(wp-)?login\.php([?#]|$)", ("login", "php")),
     PatternRule("cart", r"/(cart|checkout)/(add|pay)([/?#]|$)", ()),
     PatternRule("archive_file", r"\.(zip|rar|exe|iso)([?#]|$)", ()),
