@@ -106,12 +106,19 @@ def fact_delivery(delivery: DataFrame, fact_order_df: DataFrame, dim_person: Dat
     return conform(f, FACT_DDL["delivery"])
 
 
+def person_of_order(fact_delivery_df: DataFrame) -> DataFrame:
+    """(_osk, _person): the delivery person of each order; of several
+    deliveries the last by id, in whatever order they arrived."""
+    return (fact_delivery_df.where(F.col("order_sk").isNotNull()).groupBy(F.col("order_sk").alias("_osk"))
+            .agg(F.max_by("delivery_person_sk", F.struct("delivery_id", "delivery_sk")).alias("_person")))
+
+
 def fact_rating(ratings: DataFrame, fact_order_df: DataFrame, dim_customer: DataFrame,
                 dim_restaurant: DataFrame, dim_person: DataFrame, dim_date: DataFrame,
                 dim_time: DataFrame, batch_ts: str, key_offset: int = 0,
                 key_mode: str = "ordered", fact_delivery_df: DataFrame | None = None) -> DataFrame:
     """``fact_delivery_df``: deliveries whose person a rating takes that names
-    none itself (of several of the order, the last by key)."""
+    none itself (``person_of_order``)."""
     f = _keys(ratings, "rating_sk", ["rating_id", "created_at", "order_id", "overall_rating"],
               key_offset, key_mode)
     o = fact_order_df.select(F.col("order_id").alias("_oid"), "order_sk")
@@ -122,8 +129,7 @@ def fact_rating(ratings: DataFrame, fact_order_df: DataFrame, dim_customer: Data
     f = with_date_time_keys(f, "created_at", dim_date, dim_time,
                             "rating_date_sk", "rating_time_sk")
     if fact_delivery_df is not None:
-        person = (fact_delivery_df.where(F.col("order_sk").isNotNull()).groupBy(F.col("order_sk").alias("_osk"))
-                  .agg(F.max_by("delivery_person_sk", "delivery_sk").alias("_person")))
+        person = person_of_order(fact_delivery_df)
         f = f.join(person, f.order_sk == person._osk, "left").withColumn(
             "delivery_person_sk", F.coalesce("delivery_person_sk", "_person")).drop("_osk", "_person")
     f = f.withColumn("dw_created_at", F.lit(batch_ts).cast("timestamp_ntz"))

@@ -508,10 +508,8 @@ def q_incremental_fact_order(spark, sf_dir):
         "order_time_sk", "promotion_sk", "order_status", "order_total", "tip_amount")
 
 
-@query("load_late_parents")
-def q_load_late_parents(spark, sf_dir):
-    """The items and deliveries of odd orders arrive before their
-    orders, those of even orders after them; every link is found in the end."""
+def late_parents(spark: SparkSession, sf_dir: str) -> LiveWarehouse:
+    """The warehouse of ``load_late_parents``."""
     root = scratch_path(spark, "late-parents")
     t = tables(spark, sf_dir)
     s = star(spark, sf_dir)
@@ -528,7 +526,14 @@ def q_load_late_parents(spark, sf_dir):
         stamped = csvsrc.with_provenance(rows, f"{entity}_csv", f"{entity}_{i}.csv", SNAPSHOT_TS[i % 2])
         incremental.land_batch(stamped, root, entity, i)
         incremental.run_once(spark, root, entity, handle[entity])
-    live = LiveWarehouse(spark, root)
+    return LiveWarehouse(spark, root)
+
+
+@query("load_late_parents")
+def q_load_late_parents(spark, sf_dir):
+    """The items and deliveries of odd orders arrive before their
+    orders, those of even orders after them; every link is found in the end."""
+    live = late_parents(spark, sf_dir)
     o = live.fact("order").select("order_sk", "order_id")
     item = live.fact("order_item").join(o, "order_sk").select(
         F.lit("item").alias("fact"), F.col("order_item_id").alias("id"), "order_id",

@@ -19,7 +19,10 @@ together):
 * order links look at the order keys of all versions.  Rows whose order has
   not arrived are kept in ``pending_<f>`` and tried again by every later run;
   items wait there, deliveries and ratings are in the fact without a link
-  until then.
+  until then;
+* a rating takes the delivery person of its order's delivery: ratings whose
+  delivery is linked, arrives or changes later are upserted with its person
+  (``put_rating_persons``).
 """
 
 from __future__ import annotations
@@ -228,6 +231,38 @@ class LiveWarehouse:
         self.control.commit(table, v, run, kind, max(offset, top))
         return n_waits
 
+    def put_rating_persons(self, run: str) -> None:
+        """Upsert the stored ratings whose delivery person differs after the
+        deliveries that ``run`` wrote, linked or replaced; nothing else of
+        them changes.  (No source names a rating's person itself.)"""
+        sk, table, own = FACTS["rating"][0], "fact_rating", f"{run}:persons"
+        wrote = next((v for v in self.control.versions("fact_delivery") if v.run == run), None)
+        v = self.control.version_for(table, own)
+        ratings = self.fact("rating", before=v)
+        if wrote is None or ratings is None:
+            return
+        touched = self._stored("fact_delivery", [wrote.version]).select("order_sk")
+        old = self.fact("delivery", before=wrote.version)
+        if old is not None and wrote.kind != "full":
+            replaced = [r.version for r in self.control.versions("replaced_delivery") if r.version == wrote.version]
+            old = old.join(self._stored("replaced_delivery", replaced).select("delivery_sk"), "delivery_sk",
+                           "left_semi") if replaced else None
+        if old is not None:  # a delivery may have left an order
+            touched = touched.unionByName(old.select("order_sk"))
+        touched = materialize(touched.where("order_sk IS NOT NULL").distinct(), "touched-orders")
+        person = facts.person_of_order(self.fact("delivery").join(touched, "order_sk", "left_semi"))
+        ratings = ratings.join(touched, "order_sk", "left_semi")
+        changed = (ratings.join(person, F.col("order_sk") == F.col("_osk"), "left")
+                   .where(~F.col("delivery_person_sk").eqNullSafe(F.col("_person")))
+                   .withColumn("delivery_person_sk", F.col("_person")).select(*ratings.columns))
+        changed = materialize(changed, "rating-persons")
+        if changed.isEmpty():
+            return
+        store.write_batch(changed, self.root, "consumption", table, v)
+        store.write_batch(changed.select(sk), self.root, "consumption", "replaced_rating", v)
+        self.control.commit("replaced_rating", v, own)
+        self.control.commit(table, v, own, max_key=self.control.before(table, v).max_key)
+
     @staticmethod
     def _newest(rows: DataFrame, key: str, latest: list[str]) -> DataFrame:
         """The rows of each business key that none is newer than: the latest,

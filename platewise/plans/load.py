@@ -92,6 +92,7 @@ def full_load(spark: SparkSession, paths: dict[str, str], root: str, batch_id: i
                 waits = live.put_fact(f, rows, batch_ts, run, kind if table in clean else "delta")
                 if f != "order":
                     report[f"pending_{f}"] = waits
+        live.put_rating_persons(run)  # of ratings of earlier loads
     return report
 
 

@@ -260,3 +260,46 @@ def test_fact_rating_has_every_link(spark):
     rows = catalog.QUERIES["fact_rating"](spark, SF001).collect()
     for c in rows[0].asDict():
         assert any(r[c] is not None for r in rows), c
+
+
+def test_late_deliveries_give_ratings_their_person(spark):
+    """Ratings before and after their delivery have the persons of one batch."""
+    def links(rating, order):
+        return sorted(map(tuple, rating.join(order.select("order_sk", "order_id"), "order_sk").select(
+            "rating_id", "order_id", "delivery_person_sk").collect()))
+
+    live, s = catalog.late_parents(spark, SF001), catalog.star(spark, SF001)
+    got = links(live.fact("rating"), live.fact("order"))
+    assert got == links(s.fact("rating"), s.fact("order")) and live.fact("rating").count() == len(got)
+    assert {int(o) % 2 for _, o, p in got if p is not None} == {0, 1}
+    assert live.fact("rating").select("rating_sk").distinct().count() == len(got)
+
+
+def test_a_changed_or_moved_delivery_changes_its_ratings(spark, live):
+    root = live.root
+    rated = spark.createDataFrame([(str(i), "c", D0, D0, "Delivered", 1.0, 4, "r", "p", 9.0, 5) for i in (1, 2)], ORDER)
+    land(spark, root, "orders", csvsrc.with_provenance(rated, "orders_csv", "o.csv", "2025-01-01 00:00:00"), 0)
+    some = testdata.delivery(testdata.Tables(spark, SF001)).limit(1)
+    handle = incremental.entity_handler(root, "delivery")
+
+    def persons(batch, *rows):
+        """rows: (delivery, order, person)"""
+        parts = [some.withColumns({"ID": F.lit(i), "Order_ID": F.lit(o), "Delivery_person_ID": F.lit(p)})
+                 for i, o, p in rows]
+        for p in parts[1:]:
+            parts[0] = parts[0].unionByName(p)
+        stamped = csvsrc.with_provenance(parts[0], "delivery_csv", "d.csv", f"2025-01-0{batch + 2} 00:00:00")
+        stamped = stamped.withColumn("batch_id", F.lit(batch).cast("bigint"))
+        for _ in range(2):  # a replayed run changes nothing
+            handle(stamped, batch)
+            w = LiveWarehouse(spark, root)
+            name = w.dim("delivery_person").select("delivery_person_sk", "delivery_person_id")
+            out = w.fact("rating").join(name, "delivery_person_sk", "left")
+            got = {r.rating_id: r.delivery_person_id for r in out.collect()}
+            assert out.count() == 2
+        return got["1-rating"], got["2-rating"]
+
+    assert persons(0, ("d2", "1", "ann")) == ("ann", None)
+    assert persons(1, ("d2", "1", "bob")) == ("bob", None)
+    assert persons(2, ("d1", "1", "cy")) == ("bob", None)  # of two deliveries the last by id
+    assert persons(3, ("d2", "2", "bob")) == ("cy", "bob")
