@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -51,6 +52,24 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
     return v
 
 
+#: Fixed value: a half of more bits would be longer than the digest that is added to it.
+MOST_BITS = 512
+
+
+def _permute_long(places: list[int], sizes: list[int], key: bytes, tweak: str) -> list[int]:
+    """The same network for domains of any size: the halves are the first and
+    the last places, to each of which a stream keyed by the other half is added."""
+    v, size, cut = np.array(places, np.uint64), np.array(sizes, np.uint64), len(places) // 2
+    halves = (slice(0, cut), slice(cut, None))
+    label = hashlib.blake2b(tweak.encode(), key=key).digest()
+    for r in range(ROUNDS):
+        to, source = halves if r % 2 == 0 else halves[::-1]
+        seed = hashlib.blake2b(label + bytes([r]) + v[source].astype(np.uint8).tobytes(), key=key).digest()
+        stream = np.frombuffer(hashlib.shake_256(seed).digest(8 * len(v[to])), "<u8")
+        v[to] = (v[to] + stream % size[to]) % size[to]
+    return v.tolist()
+
+
 def permute_text(text: str, key: bytes, tweak: str, alphabet: Callable[[str], str] | None = None) -> str:
     """Permute the letters and digits of ``text`` within their classes; other
     characters stay in their places."""
@@ -59,10 +78,14 @@ def permute_text(text: str, key: bytes, tweak: str, alphabet: Callable[[str], st
 
     kinds = [(alphabet or kind)(c) for c in text]
     size, value = 1, 0
+    shape = "".join(k[0] if k else c for c, k in zip(text, kinds))
     for c, k in zip(text, kinds):
         if k:
             size, value = size * len(k), value * len(k) + k.index(c)
-    shape = "".join(k[0] if k else c for c, k in zip(text, kinds))
+        if (size - 1).bit_length() > MOST_BITS:
+            new = iter(_permute_long([k.index(c) for c, k in zip(text, kinds) if k], [len(k) for k in kinds if k],
+                                     key, f"{tweak}:{shape}"))
+            return "".join(k[next(new)] if k else c for c, k in zip(text, kinds))
     value = permute(value, size, key, f"{tweak}:{shape}")
     out = []
     for c, k in zip(reversed(text), reversed(kinds)):
@@ -179,16 +202,17 @@ def day(m: re.Match, key: bytes) -> str | None:
 
 
 def secret(m: re.Match, key: bytes) -> str | None:
-    """A value with digits that is assigned to the name of a secret; one of
-    hexadecimal digits in one case stays so, others keep letters and digits in
-    their places."""
-    value = m["value"]
+    """A value with digits that is assigned to the name of a secret, up to
+    white space or its closing quote; one of hexadecimal digits in one case
+    stays so, others keep letters, digits and all else in their places."""
+    quote = m["value"][0] if m["value"][0] in "\"'" else ""
+    lead, value = m["lead"] + quote, m["value"][len(quote):]
     if not any(c in DIGITS for c in value):
         return None
     for alphabet in (DIGITS + "abcdef", DIGITS + "ABCDEF"):
         if all(c in alphabet for c in value):
-            return m["lead"] + permute_text(value, key, "hex", lambda c: alphabet)
-    return m["lead"] + permute_text(value, key, "secret")
+            return lead + permute_text(value, key, "hex", lambda c: alphabet)
+    return lead + permute_text(value, key, "secret")
 
 
 def access_key(m: re.Match, key: bytes) -> str | None:
@@ -198,9 +222,13 @@ def access_key(m: re.Match, key: bytes) -> str | None:
 
 #: (kind, pattern, pseudonym or None if it isn't valid), in order of precedence.
 KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, bytes], str | None]]] = [
-    ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])"), email),
+    # ahead of all that may be a part of it; it ends on a letter or digit, as what follows would stay anyway
     ("secret", re.compile(r"(?P<lead>\b(?i:token|secret|password|passwd|pwd|(?:api|access|secret|private)[_-]?key)"
-                          r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_-]{8,256})"), secret),
+                          r"[\"']?\s{0,3}[:=]\s{0,3})"
+                          r"(?P<value>\"(?=[^\s\"]{8})[^\s\"]*[A-Za-z0-9]|'(?=[^\s']{8})[^\s']*[A-Za-z0-9]"
+                          r"|(?=[^\s\"'](?:[^\s\"']|[\"'](?=[A-Za-z0-9])){7})"
+                          r"[^\s\"']+(?:[\"'](?=[A-Za-z0-9])[^\s\"']*)*(?<=[A-Za-z0-9]))"), secret),
+    ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])"), email),
     ("access_key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"), access_key),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), iban),
     ("ip_address", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"), ip_address),

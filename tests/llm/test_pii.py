@@ -63,6 +63,30 @@ def test_other_text_stays(text):
     assert pii.pseudonymise(text, KEY) == (text, [])
 
 
+JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV"
+
+
+@pytest.mark.parametrize("lead,value,end", [
+    ("token: ", JWT, " and"), ('"token":"', JWT, '","user":"bob"'), ("password: ", "Hunter2!xyz9", ""),
+    ("pwd='", "p@ss.w0rd=$\"q", "'"), ("secret=", "x9@example.com!abcdef12", "\n"), ("api_key=", "it's9okay12", " "),
+    ("secret: ", "a1B2" * 100, " next"), ("token = ", "".join(chr(97 + i * i % 26) + str(i % 10) for i in range(500)), "."),
+    ("token = ", "0123456789abcdef" * 4000, " next"), ("private_key: ", "Zz9+/" * 20_000, "==")])
+def test_a_secret_goes_as_a_whole(lead, value, end):
+    out, found = pii.pseudonymise(lead + value + end, KEY)
+    new = out[len(lead):len(lead) + len(value)]
+    assert out == lead + new + end and found == [
+        ("secret", lead.startswith('"'), len(lead.lstrip('"') + value.rstrip("+/")))]
+    assert [c.isalnum() or c for c in new] == [c.isalnum() or c for c in value]
+    same = max(len(x) for x in "".join("=" if a == b and a.isalnum() else " " for a, b in zip(value, new)).split(" "))
+    assert same < 8  # no part stays readable
+    assert pii.pseudonymise(lead + value[:-1] + ("8" if value[-1] != "8" else "7"), KEY)[0][len(lead):] != new
+
+
+def test_long_texts_stay_distinct():
+    out = {pii.permute_text("ab" * 100 + a + b + "9" * 50 + c, KEY, "t") for a in "abcdefghij" for b in "01" for c in "AB"}
+    assert len(out) == 40
+
+
 def test_neighbours():
     out, found = pii.pseudonymise("7536784127813050 4845168114407329 +1 (136) 555-7479 123", KEY)
     assert [k for k, *_ in found] == ["card", "card", "phone"] and out.endswith(" 123")
