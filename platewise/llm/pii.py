@@ -237,9 +237,42 @@ KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, bytes], str | None]]] = [
                          r"|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])"), phone),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), ssn),
     ("date", re.compile(r"(?<![\d./-])(?:\d{4}(?P<s>[-/.])\d{2}(?P=s)\d{2}|\d{2}(?P<t>[-/.])\d{2}(?P=t)\d{4})(?![\d/-]|\.\d)"), day),
-    ("card", re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"), card),
+    ("card", re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,}"), card),
 ]
 _POSSIBLE = re.compile(r"[0-9@]")
+_ANY = re.compile(r"(?s:.*)")
+#: Groups of digits that cards are written in, as a text of their lengths.
+_CARD_GROUPS = re.compile(r"1[3-9]|(?:4 ){3}4(?: 3)?|4 6 [45]|4 3 3 3")
+
+
+def card_spans(m: re.Match) -> list[tuple[int, int]]:
+    """Runs of whole groups in a match that may be a card, the likeliest first:
+    in groups as cards have them, the match from its start, other groups of
+    three and more digits; of each the longest first."""
+    groups = [g.span() for g in re.compile(r"\d+").finditer(m.string, *m.span())]
+    found = []
+    for i, (start, _) in enumerate(groups):
+        sizes: list[int] = []
+        for s, e in groups[i:i + 19]:
+            sizes.append(e - s)
+            if sum(sizes) > 19:
+                break
+            if sum(sizes) >= 13:
+                known = _CARD_GROUPS.fullmatch(" ".join(map(str, sizes)))
+                rank = 0 if known else 1 if i == 0 else 2 if min(sizes) > 2 else None
+                if rank is not None:
+                    found.append((rank, -sum(sizes), start, e))
+    return [(s, e) for _, _, s, e in sorted(found)]
+
+
+def iban_spans(m: re.Match) -> list[tuple[int, int]]:
+    """The match and its beginnings of whole groups, the longest first."""
+    ends = [m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 14, -1) if m[0][i] == " ")]
+    return [(m.start(), e) for e in ends]
+
+
+#: Kinds whose pattern may join a value with its neighbours: where to look for it.
+SPANS: dict[str, Callable[[re.Match], list[tuple[int, int]]]] = {"card": card_spans, "iban": iban_spans}
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
@@ -248,18 +281,24 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     if not _POSSIBLE.search(text):
         return text, []
     found: list[tuple[int, int, str, str]] = []
+    taken = bytearray(len(text))
     for kind, rx, make in KINDS:
-        for m in rx.finditer(text):
-            if any(m.start() < e and s < m.end() for s, e, *_ in found):
-                continue
-            made = make(m, key)
-            if made is None and kind == "card":  # separate numbers that a space joined
-                for part in re.finditer(r"\d{13,19}", m[0]):
-                    one = card(part, key)
-                    if one is not None:
-                        found.append((m.start() + part.start(), m.start() + part.end(), kind, one))
-            elif made is not None:
-                found.append((m.start(), m.end(), kind, made))
+        at = 0
+        while m := rx.search(text, at):
+            at = m.end()
+            for s, e in SPANS[kind](m) if kind in SPANS else [m.span()]:
+                if taken.find(1, s, e) >= 0:
+                    continue
+                made = make(m if (s, e) == m.span() else _ANY.fullmatch(text, s, e), key)
+                if made is not None:
+                    found.append((s, e, kind, made))
+                    taken[s:e] = b"\1" * (e - s)
+                    if kind == "iban":
+                        at = e  # another one may follow in the match
+                        break
+            else:
+                if kind == "iban":
+                    at = m.start() + 1  # or begin in it
     found.sort()
     out, at = [], 0
     for s, e, _, made in found:

@@ -82,6 +82,24 @@ def test_a_secret_goes_as_a_whole(lead, value, end):
     assert pii.pseudonymise(lead + value[:-1] + ("8" if value[-1] != "8" else "7"), KEY)[0][len(lead):] != new
 
 
+CARD, IBAN = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+
+
+@pytest.mark.parametrize("text,values", [
+    (f"{CARD} 05/27", [CARD]), (f"{CARD} 124 x", [CARD]), (f"2 {CARD}", [CARD]), (f"12 {CARD} 05/27 123", [CARD]),
+    (f"{CARD} {CARD} 12", [CARD, CARD]), (f"{CARD} 3782 822463 10005 05/27", [CARD, "3782 822463 10005"]),
+    ("7 4111111111111111 123", ["4111111111111111"]), ("1 4111-1111-1111-1111 99", ["4111-1111-1111-1111"]),
+    (f"{CARD} 212-555-0123", [CARD, "212-555-0123"]), ("12 411111 1111111111 05/27", ["411111 1111111111"]),
+    (f"{IBAN} PAID", [IBAN]), (f"{IBAN} BY 05/27", [IBAN]), (f"{IBAN} AT48 3200 0000 1234 5864", [IBAN, "AT48 3200 0000 1234 5864"]),
+    (f"AB12 CDEF {IBAN} FROM ME", [IBAN]), ("AT611904300234573201 PAID", ["AT611904300234573201"])])
+def test_a_value_beside_a_short_one(text, values):
+    out, found = pii.pseudonymise(text, KEY)
+    assert [text[s:s + n] for _, s, n in found] == values
+    assert all(v not in out for v in values) and len(out) == len(text)
+    for v in values:  # the same pseudonym as alone
+        assert pii.pseudonymise(v, KEY)[0] in out
+
+
 def test_long_texts_stay_distinct():
     out = {pii.permute_text("ab" * 100 + a + b + "9" * 50 + c, KEY, "t") for a in "abcdefghij" for b in "01" for c in "AB"}
     assert len(out) == 40
