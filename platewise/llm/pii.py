@@ -153,13 +153,23 @@ def ssn(m: re.Match, key: bytes) -> str | None:
             return _fill(m[0], digits)
 
 
+#: First digits of the country codes of one and two digits; all others have three.
+_COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+
+
 def phone(m: re.Match, key: bytes) -> str | None:
-    """A phone number with 10 to 15 digits; the country code stays."""
+    """A phone number with 10 to 15 digits; the country code stays, and the 1
+    before a national number.  Equal numbers get equal pseudonyms with and
+    without separators."""
     head = re.match(r"\+\d{1,3}(?=[ .(-])", m[0])
-    lead, rest = (head[0], m[0][head.end():]) if head else ("", m[0])
+    trunk = re.match(r"1(?=[ .(-])", m[0])
+    if m[0][0] == "+" and not head:
+        head = re.compile(r"\+" + f"(?:{_COUNTRY.pattern})").match(m[0])
+    lead = head[0] if head else trunk[0] if trunk else ""
+    rest = m[0][len(lead):]
     if not 10 <= len(_digits(m[0])) <= 15:
         return None
-    return lead + _fill(rest, permute_text(_digits(rest), key, "phone:" + lead))
+    return lead + _fill(rest, permute_text(_digits(rest), key, "phone:" + (lead if head else "")))
 
 
 def ip_address(m: re.Match, key: bytes) -> str | None:
@@ -234,7 +244,9 @@ KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, bytes], str | None]]] = [
     ("ip_address", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"), ip_address),
     ("phone", re.compile(r"\+\d{1,3} ?\(\d{1,4}\) ?\d{3}[ .-]\d{4}(?!\d)"
                          r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)"
-                         r"|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])"), phone),
+                         r"|\+\d{10,15}(?!\d)|\+\d(?:[ .-]?\(?\d\)?){9,14}(?!\d)"
+                         r"|(?<![\d+])(?<!\d[.-])(?:1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
+                         r"|(?<![\d+])(?<!\d[.-])(?<![.-])(?:1[ .-])?\d{3}(?P<p>[ .-])\d{3}(?:(?P=p)|[.-])\d{4}(?![\d-])"), phone),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), ssn),
     ("date", re.compile(r"(?<![\d./-])(?:\d{4}(?P<s>[-/.])\d{2}(?P=s)\d{2}|\d{2}(?P<t>[-/.])\d{2}(?P=t)\d{4})(?![\d/-]|\.\d)"), day),
     ("card", re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,}"), card),
@@ -271,8 +283,19 @@ def iban_spans(m: re.Match) -> list[tuple[int, int]]:
     return [(m.start(), e) for e in ends]
 
 
+def phone_spans(m: re.Match) -> list[tuple[int, int]]:
+    """The match and its beginnings of whole groups, the longest first; a
+    number of country 1 has 11 digits where that ends a group."""
+    ends = [m.start() + g.end() for g in re.finditer(r"\d+", m[0])]
+    spans = [m.span(), *((m.start(), e) for e in reversed(ends))]
+    if m[0].startswith("+1"):
+        spans.sort(key=lambda x: len(_digits(m.string[x[0]:x[1]])) != 11)
+    return spans
+
+
 #: Kinds whose pattern may join a value with its neighbours: where to look for it.
-SPANS: dict[str, Callable[[re.Match], list[tuple[int, int]]]] = {"card": card_spans, "iban": iban_spans}
+SPANS: dict[str, Callable[[re.Match], list[tuple[int, int]]]] = {"card": card_spans, "iban": iban_spans,
+                                                               "phone": phone_spans}
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
@@ -293,11 +316,11 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
                 if made is not None:
                     found.append((s, e, kind, made))
                     taken[s:e] = b"\1" * (e - s)
-                    if kind == "iban":
+                    if kind != "card":
                         at = e  # another one may follow in the match
                         break
             else:
-                if kind == "iban":
+                if kind in ("iban", "phone"):
                     at = m.start() + 1  # or begin in it
     found.sort()
     out, at = [], 0

@@ -100,6 +100,46 @@ def test_a_value_beside_a_short_one(text, values):
         assert pii.pseudonymise(v, KEY)[0] in out
 
 
+@pytest.mark.parametrize("value", [
+    "+14155552671", "+442079460958", "+1 4155552671", "+49 1511 2345678", "+33 6 12 34 56 78", "+3531234567890",
+    "1-800-555-1234", "1 800 555 1234", "1.800.555.1234", "1 (800) 555-1234", "415 555 2671", "(415) 555 2671",
+    "(415)555.2671", "415.555.2671", "+44 (0)20 7946 0958", "+1 (415) 555-2671", "+1-415-555-2671"])
+@pytest.mark.parametrize("around", ["{}", "Call {}, or not.", "2 {} 12"])
+def test_forms_of_phone_numbers(value, around):
+    text = around.format(value)
+    out, found = pii.pseudonymise(text, KEY)
+    got = [(k, text[s:s + n]) for k, s, n in found]
+    if value[0] == "+" and value[1] != "1" and " " in value and around[-1] == "2":  # where it ends nobody can tell
+        got = [(k, x.removesuffix(" 12")) for k, x in got]
+    assert got == [("phone", value)]
+    assert re.sub(r"\d", "9", out) == re.sub(r"\d", "9", text) and out != text
+
+
+@pytest.mark.parametrize("text,values", [
+    ("+44 20 7946 0958 1234 5678", ["+44 20 7946 0958"]), ("+1 415 555 2671 415 555 2672", ["+1 415 555 2671", "415 555 2672"]),
+    ("415 555 2671 800 555 1234", ["415 555 2671", "800 555 1234"]), ("+14155552671 +442079460958", ["+14155552671", "+442079460958"])])
+def test_phone_numbers_in_a_row(text, values):
+    out, found = pii.pseudonymise(text, KEY)
+    got = [text[s:s + n] for _, s, n in found]
+    assert len(got) == len(values) and all(g.startswith(v) for g, v in zip(got, values))
+    assert all(v not in out for v in values)
+
+
+def test_equal_phone_numbers_stay_equal():
+    def digits(text):
+        return re.sub(r"\D", "", pii.pseudonymise(text, KEY)[0])
+
+    assert len({digits(x) for x in ("+14155552671", "+1 4155552671", "+1-415-555-2671", "+1 (415) 555-2671")}) == 1
+    assert len({digits(x) for x in ("+442079460958", "+44 2079460958", "+44 20 7946 0958")}) == 1
+    assert digits("+442079460958").startswith("44") and digits("+3531234567890").startswith("353")
+    assert digits("1-800-555-1234") == "1" + digits("800 555 1234") == "1" + digits("(800) 555-1234")
+
+
+@pytest.mark.parametrize("text", ["+123456789", "+1234567890123456", "v1-800-555", "4155 552 6711", "10 20 30", "+1 2 3"])
+def test_other_digits_are_no_phone(text):
+    assert pii.pseudonymise(text, KEY) == (text, [])
+
+
 def test_long_texts_stay_distinct():
     out = {pii.permute_text("ab" * 100 + a + b + "9" * 50 + c, KEY, "t") for a in "abcdefghij" for b in "01" for c in "AB"}
     assert len(out) == 40
