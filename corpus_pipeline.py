@@ -13,10 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from platewise.llm import mixing, packing, pii, quality_model, registry, simhash
-from platewise.session import materialize
-
-#: Ids from here on stand for rows without an id while near-duplicates are sought.
-NO_ID = 1 << 62
+from platewise.session import materialize, scratch_dir
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,18 +24,23 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates.
+    """The row with the smallest id of each group of near-duplicate texts.
 
-    Rows that repeat an id are one document; of their texts one stays.  A row
-    without an id stays only where no document with one is near it.
+    Texts alone make the groups: rows that repeat an id stay apart unless
+    their texts are near-duplicates.  A row without an id stays only where no
+    row with one is near it.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    stand_in = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2)
-    keyed = docs.select(F.coalesce("doc_id", stand_in).alias("key"), "text", F.struct(*docs.columns).alias("row"))
-    groups = simhash.near_duplicates(keyed, "key", "text", shingle=4, max_distance=4)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
-    one = (keyed.select("key", "row").join(keep, "key", "left_semi").groupBy("key")
-           .agg(F.min_by("row", F.xxhash64("row")).alias("row")))
+    scratch_dir(spark)
+    nulls = [F.col(c).isNull() for c in docs.columns]  # a hash leaves nulls out
+    keyed = docs.select("doc_id", "text", F.xxhash64(*docs.columns, *nulls).alias("h"),
+                        F.struct(*docs.columns).alias("row"))
+    fps = simhash.fingerprints(keyed, "doc_id", "text", 4, "h")
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")).checkpoint()
+    groups = simhash.component_ids(first.select("fp", F.col("fp").alias("rep")), max_distance=4)
+    keep = first.join(groups, "fp").groupBy("component_id").agg(F.min("first").alias("first"))
+    keep = keep.select(F.col("first.doc_id").alias("keep_id"), F.col("first.h").alias("keep_h"))
+    one = (keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")), "left_semi")
+           .groupBy("doc_id", "h").agg(F.first("row").alias("row")))  # equal rows
     return one.select("row.*")
 
 

@@ -65,17 +65,18 @@ def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id long, fp long) for every row of ``docs``."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, *more: str) -> DataFrame:
+    """(doc_id long, fp long) and the columns ``more``, of type long, for every
+    row of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, shingle) for t in utf8(b.column(1))),
                              np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))],
-                                             names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]],
+                                             names=["doc_id", "fp", *more])
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+            .mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more))))
 
 
 # ---------------------------------------------------- hierarchical index ----
@@ -272,6 +273,14 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def component_ids(nodes: DataFrame, max_distance: int) -> DataFrame:
+    """(fp, component_id) of ``nodes`` (fp, rep): the smallest ``rep`` that
+    each fingerprint reaches over links."""
+    roots = components(links(nodes, max_distance))
+    return (nodes.join(roots, nodes.rep == roots.node, "left")
+            .select("fp", F.coalesce("root", "rep").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 4, max_distance: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
@@ -285,8 +294,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch_dir(docs.sparkSession)
     fps = fingerprints(docs, id_col, text_col, shingle).checkpoint()
     nodes = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    nodes = nodes.checkpoint()
-    roots = components(links(nodes, max_distance))
-    named = (nodes.join(roots, nodes.rep == roots.node, "left")
-             .select("fp", F.coalesce("root", "rep").alias("component_id")))
+    named = component_ids(nodes.checkpoint(), max_distance)
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")

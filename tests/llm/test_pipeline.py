@@ -10,7 +10,7 @@ from platewise.llm import mixing, pii, quality_model, registry
 from platewise.session import materialize
 from test_packing import check as check_packing
 from test_simhash import plain_components, plain_fingerprint
-from tests_llm_helpers import SF001, clashing, rows, table
+from tests_llm_helpers import PROSE, SF001, clashing, rows, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -82,3 +82,15 @@ def test_edge_cases(spark, k):
         assert all(by_id[i] == t for i, t in kept) and [i for i, _ in kept][:1] == [1]
         assert len(kept) == len({i for i, _ in kept}) and {4, 5, 6} & {i for i, _ in kept} == {4}
     assert stage(spark, docs.limit(0), SF001).collect() == []
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    other, third = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i * i}" for i in range(40))
+    data = [(1, PROSE, "en", "a", 1), (7, other, "en", "a", 1), (7, PROSE, "en", "a", 1), (7, third, "en", "b", 1),
+            (7, third, "en", "b", 1), (7, None, "en", "b", 1), (9, other, "en", "a", 1), (None, third, "en", "a", 1),
+            (None, f"{other} {third}", "en", "a", 1), (None, f"{other} {third}", "en", "a", 1), (8, "abc", None, "a", 1),
+            (8, None, "abc", "a", 1)]
+    got = C.one_of_each(spark, table(spark, data), SF001)
+    assert got.columns == COLUMNS
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(
+        [(1, PROSE), (7, other), (7, third), (7, None), (None, f"{other} {third}"), (8, "abc")], key=repr)
