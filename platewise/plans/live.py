@@ -42,6 +42,8 @@ FACTS = {
     "delivery": ("delivery_sk", "delivery_id", "delivery", ["updated_at", "created_at"]),
     "rating": ("rating_sk", "rating_id", "ratings", ["created_at"]),
 }
+#: clean table: the columns whose dates its facts look up
+DATES = {"orders": ["order_date"], "delivery": ["pickup_time", "delivery_time"], "ratings": ["created_at"]}
 DIMENSIONS = ["restaurant", "customer", "product", "promotion", "delivery_person"]
 
 
@@ -121,6 +123,25 @@ class LiveWarehouse:
         store.write_snapshot(new, self.root, table, v)
         self.control.commit(table, v, run, "full")
 
+    def put_stray_dates(self, clean: dict[str, DataFrame], run: str) -> dict[str, int]:
+        """Write the clean rows with a date beyond the calendar's bounds, whose
+        facts have no key for it, to ``stage/<table>_stray_dates``; returns
+        their number for each table, as ``stray_dates_<table>``."""
+        counts = {}
+        for name in DATES.keys() & clean.keys():
+            table, stray = f"{name}_stray_dates", F.lit(False)
+            for c in DATES[name]:
+                inside = F.to_date(c).between(F.lit(calendar.CALENDAR_START).cast("date"),
+                                              F.lit(calendar.CALENDAR_END).cast("date"))
+                stray = stray | F.coalesce(~inside, F.lit(False))
+            rows = clean[name].where(stray)
+            counts[f"stray_dates_{name}"] = n = rows.count()
+            if n:
+                v = self.control.version_for(table, run)
+                store.write_batch(rows, self.root, "stage", table, v)
+                self.control.commit(table, v, run)
+        return counts
+
     def put_time(self, run: str) -> None:
         v = self.control.version_for("dim_time", run)
         store.write_snapshot(calendar.dim_time(self.spark), self.root, "dim_time", v)

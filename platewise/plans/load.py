@@ -26,7 +26,7 @@ from ..operators import dims
 from ..session import scratch_scope
 from ..sources import csv as csvsrc
 from ..sources import store
-from .live import DIMENSIONS, FACTS, LiveWarehouse
+from .live import DATES, DIMENSIONS, FACTS, LiveWarehouse
 from .warehouse import CLEAN_OF_DIM
 
 
@@ -37,8 +37,7 @@ def _batch(spark: SparkSession, root: str, layer: str, table: str, batch_id: int
 
 def fact_dates(clean: dict[str, DataFrame]) -> DataFrame | None:
     """Every date that the facts of these clean tables look up."""
-    columns = {"orders": ["order_date"], "delivery": ["pickup_time", "delivery_time"], "ratings": ["created_at"]}
-    parts = [clean[n].select(F.to_date(c).alias("d")) for n, cs in columns.items() if n in clean for c in cs]
+    parts = [clean[n].select(F.to_date(c).alias("d")) for n, cs in DATES.items() if n in clean for c in cs]
     for p in parts[1:]:
         parts[0] = parts[0].unionByName(p)
     return parts[0] if parts else None
@@ -48,7 +47,8 @@ def full_load(spark: SparkSession, paths: dict[str, str], root: str, batch_id: i
               batch_ts: str, second_restaurant_feed: str | None = None, kind: str = "delta",
               multiline: bool = False) -> dict[str, int]:
     """Run one load; returns the number of quarantined rows per extract and,
-    as ``pending_<fact>``, how many rows wait for their order."""
+    as ``pending_<fact>``, how many rows wait for their order and, as
+    ``stray_dates_<table>``, how many have a date beyond the calendar."""
     if kind not in ("full", "delta"):
         raise ValueError(f"kind must be full or delta, not {kind}")
     report: dict[str, int] = {}
@@ -76,6 +76,7 @@ def full_load(spark: SparkSession, paths: dict[str, str], root: str, batch_id: i
         dates = fact_dates(clean)
         if dates is not None:
             live.put_calendar(dates, run)
+            report |= live.put_stray_dates(clean, run)
         live.put_time(run)
         for d in DIMENSIONS:
             entity = CLEAN_OF_DIM.get(d)

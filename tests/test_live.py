@@ -303,3 +303,19 @@ def test_a_changed_or_moved_delivery_changes_its_ratings(spark, live):
     assert persons(1, ("d2", "1", "bob")) == ("bob", None)
     assert persons(2, ("d1", "1", "cy")) == ("bob", None)  # of two deliveries the last by id
     assert persons(3, ("d2", "2", "bob")) == ("cy", "bob")
+
+
+def test_rows_beyond_the_calendar_are_written_and_counted(spark, tmpdir_path):
+    far, root = dt.datetime(9999, 12, 31), os.path.join(tmpdir_path, "w")
+    rows = [(str(i), "c", c, u, "Delivered", 1.0, r, "r", "p", 9.0, 5)
+            for i, c, u, r in ((1, D0, D0, 4), (2, far, D0, None), (3, D0, far, 4), (4, None, D0, None))]
+    df = spark.createDataFrame(rows, ORDER)
+    path = os.path.join(tmpdir_path, "orders")
+    csvsrc.write_extract(df, path)
+    report = full_load(spark, {"orders": path}, root, 1, "2025-01-01 00:00:00")
+    assert (report["stray_dates_orders"], report["stray_dates_ratings"]) == (1, 1)
+    stamped = csvsrc.with_provenance(df, "orders_csv", "o.csv", "2025-01-02 00:00:00")
+    incremental.entity_handler(root, "orders")(stamped, 0)
+    for table, key, want in (("orders", "order_id", "2"), ("ratings", "order_id", "3")):
+        got = store.read_table(spark, root, "stage", f"{table}_stray_dates").collect()
+        assert sorted((r[key], r.batch_id) for r in got) == [(want, 0), (want, 1)]
