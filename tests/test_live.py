@@ -14,7 +14,7 @@ from platewise.sources import csv as csvsrc
 from platewise.sources import store, testdata
 from platewise.sources.control import Control
 from platewise.streaming import incremental
-from conftest import SF001
+from core_paths import SF001
 
 ITEM = "id string, order_id string, product_id string, item_quantity int, price double"
 ORDER = ("id string, customer_id string, created_at timestamp_ntz, updated_at timestamp_ntz, "

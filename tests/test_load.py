@@ -6,7 +6,7 @@ from platewise.plans import catalog, views
 from platewise.plans.load import StoredStar, full_load
 from platewise.sources import csv as csvsrc
 from platewise.sources import testdata
-from conftest import SF001
+from core_paths import SF001
 
 
 def test_full_load_from_csv_extracts(spark, tmpdir_path):

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from core_paths import SF001
 from platewise.plans import catalog
 
 FAST = ["clean_orders", "clean_delivery", "clean_products", "dim_date",

@@ -76,7 +76,7 @@ def test_frozen_keys_are_dense_and_unique(spark, tmpdir_path):
 def test_register_views_and_layers(spark, tmpdir_path):
     from platewise.plans import catalog
     from platewise.sources import store
-    from conftest import SF001
+    from core_paths import SF001
     names = views.register_views(catalog.star(spark, SF001))
     assert set(names) == set(views.VIEW_NAMES)
     n = spark.sql("SELECT COUNT(*) FROM vw_promotion_effectiveness").first()[0]
