@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (mixing, packing, pii, quality_model, quality_rules, repeats, simhash,
+from . import (conversations, decontamination, mixing, packing, pii, quality_model, quality_rules, repeats, simhash,
                token_counts, url_filter, vector_search)
 from .sql import ORACLES
 
@@ -105,6 +105,31 @@ def op7_adaptive_vector_search(spark, sf_dir):
     return vector_search.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+@query
+def op12_benchmark_decontamination(spark, sf_dir):
+    """Windows of 10 words of the benchmark's items."""
+    found = decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                          window=10)
+    hit = decontamination.hit_words()
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (hit > 0).alias("contaminated"))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    """Damaged conversations: their faults, cheapest edits and what these make of them."""
+    rows = table(spark, sf_dir, "conversations")
+    fixed = conversations.Repair(conversations.damaged(rows))
+    found = fixed.audits.join(fixed.digests().withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c")))
+    ids = rows.select("conv_id").distinct()
+    every = ids.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+                        F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline  # it builds on this module

@@ -97,3 +97,83 @@ kept AS (SELECT o.r, string_agg(word, ' ' ORDER BY o.p) AS t FROM o ANTI JOIN p
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(x.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN x USING (r) LEFT JOIN kept USING (r)
 """
+
+_NORMAL = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+           "'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')")
+ORACLES["op12_benchmark_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_NORMAL} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_NORMAL} AS w FROM benchmark),
+g AS (SELECT DISTINCT item, least(len(w), 10) AS n,
+             unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda j: array_to_string(w[j:j + 9], ' '))) AS k
+      FROM b WHERE len(w) > 0),
+p AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n),
+m AS (SELECT p.r, p.i, p.n, g.item FROM p JOIN g ON p.n = g.n AND array_to_string(w[i:i + p.n - 1], ' ') = g.k),
+h AS (SELECT r, count(DISTINCT q)::BIGINT AS n_hit
+      FROM (SELECT r, unnest(range(i, i + n)) AS q FROM (SELECT DISTINCT r, i, n FROM m)) GROUP BY r),
+t AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT r, item FROM m WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+# crc32 from its polynomial; then a walk over the turns with the last role as state (0 none, 1 s, 2 u, 3 a)
+ORACLES["op13_conversation_repair"] = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS c
+    FROM range(256) AS x(i))),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+how AS (SELECT k.*, xor(list_reduce(list_concat([4294967295::BIGINT],
+                 list_transform(range(1, len(s) + 1), lambda j: ord(substr(s, j, 1))::BIGINT)),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS how FROM k, tab),
+conv AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+dam AS (SELECT c, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE how WHEN 3 THEN 2 ELSE 1 END)) AS copy
+        FROM how JOIN conv ON how.conv_id IS NOT DISTINCT FROM conv.conv_id WHERE how <> 0),
+ord AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) AS p FROM dam),
+f AS (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+               WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY p) > 1 THEN 'duplicate'
+               WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+             lag(left(role, 1)) OVER (PARTITION BY c ORDER BY p) AS before FROM ord),
+sums AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+                count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated,
+                count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal,
+                count(*) AS n FROM f GROUP BY c),
+edit AS (SELECT c, p, 'D' AS e, 4 AS cost, NULL AS r FROM f
+         UNION ALL SELECT c, p, 'K', CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, i FROM f
+                   WHERE fault NOT IN ('blank', 'duplicate') AND i IN ('s', 'u', 'a')
+         UNION ALL SELECT c, p, 'R', CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, r
+                   FROM f, (VALUES ('u'), ('a')) AS x(r) WHERE fault NOT IN ('blank', 'duplicate')),
+walk AS (
+  SELECT c, 0::BIGINT AS p, q, {'cost': cost, 'audit': audit} AS best
+  FROM sums, (VALUES (0, 0, ''), (2, 3, 'I'), (3, 6, 'II')) AS x(q, cost, audit)
+  UNION ALL
+  SELECT c, p, q, min({'cost': cost, 'audit': audit}) FROM (
+    SELECT c, p, CASE WHEN n = 0 THEN q WHEN (q = 2) = (n = 1) THEN 3 ELSE 2 END AS q,
+           cost + 3 * n AS cost, audit || repeat('I', n) AS audit
+    FROM (SELECT w.c, e.p, CASE e.r WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE w.q END AS q,
+                 w.best.cost + e.cost AS cost, w.best.audit || e.e AS audit
+          FROM walk w JOIN edit e ON w.c = e.c AND e.p = w.p + 1
+          WHERE e.r IS NULL OR (e.r = 's' AND w.q = 0) OR (e.r = 'u' AND w.q <> 2) OR (e.r = 'a' AND w.q = 2)),
+         (VALUES (0), (1), (2)) AS x(n)) GROUP BY c, p, q),
+done AS (SELECT w.c, min(best) AS best FROM walk w JOIN sums s ON w.c = s.c AND w.p = s.n WHERE q IN (0, 3) GROUP BY w.c),
+letter AS (SELECT c, l, e, count(*) FILTER (e <> 'I') OVER (PARTITION BY c ORDER BY l) AS p FROM (
+  SELECT c, unnest(range(1, len(best.audit) + 1)) AS l, unnest(string_split(best.audit, '')) AS e
+  FROM done WHERE best.audit <> '')),
+kept AS (SELECT letter.*, f.role, f.text, f.i, row_number() OVER (PARTITION BY letter.c ORDER BY l) AS o
+         FROM letter LEFT JOIN f ON letter.c = f.c AND letter.p = f.p AND letter.e <> 'I' WHERE e <> 'D'),
+role AS (SELECT *, bool_or(e = 'K' AND i = 's') OVER (PARTITION BY c) AS system FROM kept),
+line AS (SELECT c, string_agg(CASE e WHEN 'K' THEN role
+                  ELSE CASE WHEN (o - system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+                || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY o) AS t FROM role GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(done.best.cost, 0)::BIGINT AS cost, coalesce(done.best.audit, '') AS audit,
+       sha256(coalesce(t, '')) AS repaired_sha256
+FROM conv LEFT JOIN sums USING (c) LEFT JOIN done USING (c) LEFT JOIN line USING (c)
+"""
