@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (conversations, decontamination, mixing, packing, pii, quality_model, quality_rules, repeats, simhash,
-               token_counts, url_filter, vector_search)
+               token_counts, url_filter, vector_search, whitening)
 from .sql import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,13 @@ def op7_adaptive_vector_search(spark, sf_dir):
     return vector_search.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+@query
+def op11_embedding_whitening(spark, sf_dir):
+    """Up to 4 components."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @query
 def op12_benchmark_decontamination(spark, sf_dir):
     """Windows of 10 words of the benchmark's items."""
