@@ -56,48 +56,37 @@ def latest_per_key(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
     return agg.select(key, *[F.col("_r." + c).alias(c) for c in payload])
 
 
-def scd2_merge(dim: DataFrame | None, source: DataFrame, spec: Scd2Spec, batch_ts: str,
-               order_by: list[str] | None = None, next_key: int | None = None,
-               touched_only: bool = False) -> DataFrame:
-    """Apply one source batch to a type-2 dimension; returns the new snapshot.
-
-    ``source`` may hold several rows per key; the latest by ``order_by``
-    wins, full ties by content.
-    Keys missing from the source stay current (no delete branch).
-    ``next_key`` is the current maximum surrogate key; computed when omitted.
-
-    ``touched_only=True`` suits small incremental batches against a large
-    dimension: the current slice is split by a left-semi / left-anti join
-    with the batch's keys (which the planner can broadcast), so untouched
-    current rows are never shuffled and only the touched ones meet the batch.
-    The default full outer join suits full extracts (most keys present).
-    """
-    ts = F.lit(batch_ts).cast("timestamp_ntz")
+def latest_source(source: DataFrame, spec: Scd2Spec, order_by: list[str] | None) -> DataFrame:
+    """One row (key and attributes) for each key of a batch: the latest by
+    ``order_by``, full ties by content; rows without a key are left out."""
     src = source.select(*dict.fromkeys([spec.key, *spec.attrs, *(order_by or [])]))
     if order_by:
         # full ties are decided by content, so every evaluation picks the same row
         tie = F.xxhash64(*[c for c in src.columns if c != spec.key])
         src = latest_per_key(src.withColumn("_tie", tie), spec.key, [*order_by, "_tie"])
-    src = src.select(spec.key, *spec.attrs).where(F.col(spec.key).isNotNull())
-    if dim is None:
-        # initial load: every key is new — no join needed
-        fresh = src.select(spec.key, *spec.attrs, ts.alias("effective_from"),
-                           F.lit(None).cast("timestamp_ntz").alias("effective_to"),
-                           F.lit(True).alias("is_current"), ts.alias("dw_created_at"))
-        return assign_keys(fresh, spec.sk, [spec.key], offset=int(next_key or 0)
-                           ).select(*spec.columns)
-    dim = dim.select(*spec.columns)
-    if next_key is None:
-        # one scalar to the driver: where the key sequence continues
-        next_key = dim.agg(F.max(spec.sk)).first()[0] or 0
+    return src.select(spec.key, *spec.attrs).where(F.col(spec.key).isNotNull())
 
-    cur = dim.where(F.col("is_current"))
-    hist = dim.where(~F.col("is_current"))
 
+def first_versions(src: DataFrame, spec: Scd2Spec, batch_ts: str, next_key: int = 0) -> DataFrame:
+    """The versions of an initial load: every key is new, no join needed."""
+    ts = F.lit(batch_ts).cast("timestamp_ntz")
+    fresh = src.select(spec.key, *spec.attrs, ts.alias("effective_from"),
+                       F.lit(None).cast("timestamp_ntz").alias("effective_to"),
+                       F.lit(True).alias("is_current"), ts.alias("dw_created_at"))
+    return assign_keys(fresh, spec.sk, [spec.key], offset=int(next_key)).select(*spec.columns)
+
+
+def merged_rows(cur: DataFrame, src: DataFrame, spec: Scd2Spec, batch_ts: str, touched_only: bool = False
+                ) -> tuple[DataFrame, DataFrame | None]:
+    """What one batch makes of current rows: the rows that met the batch, some
+    of them closed, and the versions it opens, which have no surrogate key yet
+    (written); and with ``touched_only`` the current rows whose key the batch
+    doesn't have, which never meet it (else None, they are among the first)."""
+    ts = F.lit(batch_ts).cast("timestamp_ntz")
     passthrough = None
     if touched_only:
         keys = src.select(spec.key)
-        passthrough = cur.join(keys, spec.key, "left_anti")
+        passthrough = cur.join(keys, spec.key, "left_anti").select(*spec.columns)
         cur = cur.join(keys, spec.key, "left_semi")
     s = src.select(*[F.col(c).alias("s_" + c) for c in src.columns])
     c = cur.select(*[F.col(x).alias("c_" + x) for x in cur.columns])
@@ -126,12 +115,38 @@ def scd2_merge(dim: DataFrame | None, source: DataFrame, spec: Scd2Spec, batch_t
               F.lit(True), ts)
     rows = j.select(F.explode(F.array_compact(F.array(
         F.when(has_c, old), F.when(opens, new)))).alias("r")).select("r.*")
+    return materialize(rows, "scd2-rows"), passthrough  # join and classify once, for all readers
+
+
+def scd2_merge(dim: DataFrame | None, source: DataFrame, spec: Scd2Spec, batch_ts: str,
+               order_by: list[str] | None = None, next_key: int | None = None,
+               touched_only: bool = False) -> DataFrame:
+    """Apply one source batch to a type-2 dimension; returns the new snapshot.
+
+    ``source`` may hold several rows per key; the latest by ``order_by``
+    wins, full ties by content.
+    Keys missing from the source stay current (no delete branch).
+    ``next_key`` is the current maximum surrogate key; computed when omitted.
 
-    rows = materialize(rows, "scd2-rows")  # join and classify once, for both readers below
-    kept = rows.where(F.col(spec.sk).isNotNull())
+    ``touched_only=True`` suits small incremental batches against a large
+    dimension: the current slice is split by a left-semi / left-anti join
+    with the batch's keys (which the planner can broadcast), so untouched
+    current rows are never shuffled and only the touched ones meet the batch.
+    The default full outer join suits full extracts (most keys present).
+    (A stored dimension is merged bucket by bucket: ``plans.live``.)
+    """
+    src = latest_source(source, spec, order_by)
+    if dim is None:
+        return first_versions(src, spec, batch_ts, next_key or 0)
+    dim = dim.select(*spec.columns)
+    if next_key is None:
+        # one scalar to the driver: where the key sequence continues
+        next_key = dim.agg(F.max(spec.sk)).first()[0] or 0
+    rows, passthrough = merged_rows(dim.where(F.col("is_current")), src, spec, batch_ts, touched_only)
     fresh = assign_keys(rows.where(F.col(spec.sk).isNull()).drop(spec.sk), spec.sk,
                         [spec.key], offset=int(next_key))
-    out = hist.unionByName(kept).unionByName(fresh.select(*spec.columns))
+    out = (dim.where(~F.col("is_current")).unionByName(rows.where(F.col(spec.sk).isNotNull()))
+           .unionByName(fresh.select(*spec.columns)))
     return out if passthrough is None else out.unionByName(passthrough)
 
 

@@ -16,10 +16,17 @@ together):
   leave those out (the fact itself is never rewritten);
 * a ``full`` extract replaces all earlier versions, with the same keys for
   the same business keys;
-* order links look at the order keys of all versions.  Rows whose order has
-  not arrived are kept in ``pending_<f>`` and tried again by every later run;
-  items wait there, deliveries and ratings are in the fact without a link
-  until then;
+* both kinds of key look-up, of a fact's own rows and of the orders they
+  belong to, go through the key index (``sources.keyindex``), so a run reads
+  what its own keys touch and not the facts;
+* rows whose order has not arrived are kept in ``pending_<f>`` and tried again
+  by every later run; items wait there, deliveries and ratings are in the fact
+  without a link until then;
+* rows lie in folders by month (``month=<yyyymm>``, of the date in ``MONTH_OF``)
+  below their version, and the control table has each version's months with
+  their date keys: a date range reads the months it covers only;
+* ``compact`` rewrites a fact as one version without replaced rows, and
+  ``retire`` deletes what it superseded.
 * a rating takes the delivery person of its order's delivery: ratings whose
   delivery is linked, arrives or changes later are upserted with its person
   (``put_rating_persons``).
@@ -27,12 +34,17 @@ together):
 
 from __future__ import annotations
 
+import datetime as dt
+from dataclasses import asdict, replace
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.schemas import CLEAN_DDL, FACT_DDL
-from ..operators import calendar, dims, facts
+from ..operators import calendar, dims, facts, scd2
+from ..operators.keys import assign_keys
 from ..session import materialize
-from ..sources import store
+from ..sources import buckets, keyindex, store
+from ..sources.buckets import Bucketed, Manifest
 from ..sources.control import Control
 
 #: fact: (surrogate key, business key, clean table, how the latest row of a key is found)
@@ -44,6 +56,8 @@ FACTS = {
 }
 #: clean table: the columns whose dates its facts look up
 DATES = {"orders": ["order_date"], "delivery": ["pickup_time", "delivery_time"], "ratings": ["created_at"]}
+#: fact: the date key that its months follow (items have no date of their own)
+MONTH_OF = {"order": "order_date_sk", "delivery": "delivery_date_sk", "rating": "rating_date_sk"}
 DIMENSIONS = ["restaurant", "customer", "product", "promotion", "delivery_person"]
 
 
@@ -54,10 +68,22 @@ class LiveWarehouse:
 
     # ------------------------------------------------------------- reading --
     def dim(self, name: str, before: int | None = None) -> DataFrame | None:
-        """Newest committed snapshot (older than version ``before``), or None."""
+        """All versions of a dimension as committed (before version ``before``), or None."""
         table = f"dim_{name}"
         v = self.control.last(table) if before is None else self.control.before(table, before)
-        return None if v is None else store.read_snapshot(self.spark, self.root, table, v.version)
+        if v is None:
+            return None
+        if name in dims.SPECS:
+            return self._buckets(name).rows(Manifest(**v.parts))
+        return store.read_snapshot(self.spark, self.root, table, v.version)
+
+    def current(self, name: str) -> DataFrame | None:
+        """The current versions of a dimension; closed ones are not read."""
+        v = self.control.last(f"dim_{name}")
+        return None if v is None else self._buckets(name).current(Manifest(**v.parts))
+
+    def _buckets(self, name: str) -> Bucketed:
+        return Bucketed(self.spark, self.root, f"dim_{name}", dims.SPECS[name].key)
 
     def _versions(self, table: str, before: int | None) -> list[int]:
         """The last full version and what came after it."""
@@ -68,18 +94,33 @@ class LiveWarehouse:
     def _stored(self, table: str, versions: list[int]) -> DataFrame:
         # with its declared layout: versions without rows have no file to take one from
         kind, _, name = table.partition("_")
-        ddl = {"fact": lambda: FACT_DDL[name], "pending": lambda: CLEAN_DDL[FACTS[name][2]],
+        ddl = {"fact": lambda: FACT_DDL[name] + (", month int" if name in MONTH_OF else ""), "pending": lambda: CLEAN_DDL[FACTS[name][2]],
                "replaced": lambda: f"{FACTS[name][0]} bigint"}[kind]()
         return (store.read_table(self.spark, self.root, "consumption", table, ddl + ", batch_id bigint")
                 .where(F.col("batch_id").isin(*versions)))
 
-    def fact(self, name: str, before: int | None = None) -> DataFrame | None:
-        """Rows that count now (before version ``before``): no replaced ones."""
+    def fact(self, name: str, before: int | None = None, between: tuple[str, str] | None = None) -> DataFrame | None:
+        """Rows that count now (before version ``before``): no replaced ones.
+
+        ``between``: first and last day (of the date in ``MONTH_OF``); only the
+        versions and months that have such days are read.  Facts with a date
+        keep their ``month`` (yyyymm), so a join with the calendar on it prunes
+        folders too.
+        """
         sk, table = FACTS[name][0], f"fact_{name}"
         versions = self._versions(table, before)
         if not versions:
             return None
-        rows = self._stored(table, versions)
+        if between is None:
+            rows = self._stored(table, versions)
+        else:
+            lo, hi = (self._date_key(day) for day in between)
+            ranges = {v.version: v.parts.get("months", {}) for v in self.control.versions(table)}
+            months = {int(m) for v in versions for m, (_, first, last) in ranges[v].items()
+                      if first is not None and first <= hi and last >= lo}
+            read = [v for v in versions if months.intersection(map(int, ranges[v]))]
+            rows = (self._stored(table, read).where(F.col("month").isin(*sorted(months)))
+                    .where(F.col(MONTH_OF[name]).between(lo, hi)))
         replacing = [v for v in self._versions(f"replaced_{name}", before) if v in versions[1:]]
         if replacing:
             # the newest version that replaces a key; few rows, Spark broadcasts them while small
@@ -100,6 +141,21 @@ class LiveWarehouse:
         v = self.control.last(table) if before is None else self.control.before(table, before)
         return None if v is None or not v.max_key else self._stored(table, [v.version]).drop("batch_id")
 
+    def _date_key(self, day: str) -> int:
+        """Date keys count days: the key of any day, in the calendar or not."""
+        v = self.control.last("dim_date")
+        origin = v.parts.get("origin") if v else None
+        return (dt.date.fromisoformat(day) - dt.date.fromisoformat(origin)).days + 1 if origin else 0
+
+    def _index(self, name: str) -> keyindex.KeyIndex:
+        return keyindex.KeyIndex(self.spark, self.root, name)
+
+    def keys_of(self, name: str, keys: DataFrame, before: int | None = None) -> DataFrame:
+        """(key, sk, version) of the rows of fact ``name`` with these business keys."""
+        versions = set(self._versions(f"fact_{name}", before))
+        among = [v for v in self.control.versions(f"keys_{name}") if v.version in versions]
+        return self._index(name).find(keys, keyindex.segments(among))
+
     # ------------------------------------------------------------- writing --
     def put_clean(self, name: str, rows: DataFrame, run: str, kind: str = "delta") -> DataFrame:
         """Write a clean table's version and return it as stored."""
@@ -113,15 +169,17 @@ class LiveWarehouse:
         before the first one get keys from 0 downwards."""
         table = "dim_date"
         v = self.control.version_for(table, run)
-        prev = self.dim("date", before=v)
-        if prev is None:
+        last = self.control.before(table, v)
+        origin = last.parts.get("origin") if last else None
+        if origin is None:  # none yet, or one without a day
             new = calendar.dim_date_covering(dates)
         else:
-            origin = prev.where(F.col("date_sk") == 1).first()["date_id"]
-            new = calendar.dim_date_covering(
-                dates.unionByName(prev.select(F.col("date_id").alias(dates.columns[0]))), origin=str(origin))
+            known = self.dim("date", before=v).select(F.col("date_id").alias(dates.columns[0]))
+            new = calendar.dim_date_covering(dates.unionByName(known), origin=origin)
         store.write_snapshot(new, self.root, table, v)
-        self.control.commit(table, v, run, "full")
+        written = store.read_snapshot(self.spark, self.root, table, v)
+        first = written.where("date_sk = 1").select("date_id").first()
+        self.control.commit(table, v, run, "full", parts={"origin": str(first[0])} if first else {})
 
     def put_stray_dates(self, clean: dict[str, DataFrame], run: str) -> dict[str, int]:
         """Write the clean rows with a date beyond the calendar's bounds, whose
@@ -150,23 +208,88 @@ class LiveWarehouse:
     def put_dimension(self, name: str, source: DataFrame, batch_ts: str, run: str,
                       touched_only: bool = False) -> None:
         """SCD2-merge clean rows (delivery persons: clean deliveries) into the
-        newest snapshot."""
+        stored dimension.
+
+        Read are the buckets that the batch's keys fall into; written are those
+        with a new version, and closed versions are added to the others.
+        Products and promotions carry the key of their current restaurant
+        version: buckets with a row whose restaurant has a newer one count as
+        touched.  ``touched_only`` suits small batches: inside the buckets too
+        only rows of the batch's keys meet it.
+        """
         table, spec = f"dim_{name}", dims.SPECS[name]
         v = self.control.version_for(table, run)
-        prev, last = self.dim(name, before=v), self.control.before(table, v)
+        last = self.control.before(table, v)
         if name == "delivery_person":
             source = dims.delivery_person_source(source)
-        merged = dims.merge_dimension(name, prev, source, batch_ts, next_key=last.max_key if last else 0,
-                                      touched_only=touched_only and prev is not None,
-                                      dim_restaurant=self.dim("restaurant"))
-        store.write_snapshot(merged, self.root, table, v)
-        written = store.read_snapshot(self.spark, self.root, table, v)
-        self.control.commit(table, v, run, "full", written.agg(F.max(spec.sk)).first()[0] or 0)
+        restaurants = self.current("restaurant") if name in dims.LINKED_TO_RESTAURANT else None
+        links = self.control.last("dim_restaurant").version if restaurants is not None else None
+        if name in dims.LINKED_TO_RESTAURANT:
+            spec = replace(spec, carried=[*spec.carried, "restaurant_sk"])
+            source = source.withColumn("restaurant_sk", F.lit(None).cast("bigint"))
+        src = materialize(scd2.latest_source(source, spec, dims.LATEST_BY[name]), "scd2-source")
+        store_, old = self._buckets(name), Manifest(**last.parts) if last else None
+        next_key = last.max_key if last else 0
+
+        def linked(rows: DataFrame) -> DataFrame:
+            if restaurants is None:
+                return rows
+            return dims.with_restaurant_sk(rows.drop("restaurant_sk"), restaurants).select(*rows.columns)
+
+        if old is None:
+            count = src.count()
+            n, which, closed = buckets.power_of_two(count, buckets.BUCKET_ROWS), None, None
+            fresh = materialize(scd2.first_versions(src, spec, batch_ts), "scd2-fresh")
+            new, rows = linked(fresh), count
+        else:
+            n, which = old.n, store_.touched(src, old.n)
+            moved = self._relinked(name, old, links)
+            which = sorted({*which, *moved})
+            if old.rows > 4 * buckets.BUCKET_ROWS * n:  # split all
+                n, which = buckets.power_of_two(old.rows, buckets.BUCKET_ROWS), None
+            met, aside = scd2.merged_rows(store_.current(old, which).select(*spec.columns), src, spec, batch_ts,
+                                          touched_only)
+            opened = met.where(F.col(spec.sk).isNull())
+            counted = met.agg(F.count_if(F.col(spec.sk).isNull()), F.count_if(~F.col("is_current"))).first()
+            rows = old.rows + counted[0] - counted[1]
+            if which is not None:  # of the buckets read, those with a new version (or a new link) are written
+                which = sorted({*store_.touched(opened, n), *moved})
+                if not which:
+                    parts = replace(old, links=links)
+                    self.control.commit(table, v, run, "full", next_key, asdict(parts))
+                    return
+            fresh = materialize(assign_keys(opened.drop(spec.sk), spec.sk, [spec.key], offset=next_key)
+                                .select(*spec.columns), "scd2-fresh")
+            kept = met.where(F.col(spec.sk).isNotNull() & F.col("is_current"))
+            kept = kept if aside is None else kept.unionByName(aside)
+            if which is not None:
+                kept = kept.where(buckets.bucket_of(spec.key, n).isin(*which))
+            new = linked(kept.unionByName(fresh))
+            closed = met.where(~F.col("is_current")) if counted[1] else None
+        top = fresh.agg(F.max(spec.sk)).first()[0]
+        parts = store_.put(old, v, n, new, which, closed, rows, links)
+        self.control.commit(table, v, run, "full", max(next_key, top or 0), asdict(parts))
+
+    def _relinked(self, name: str, old: Manifest, links: int | None) -> list[int]:
+        """Buckets with a current row whose restaurant has another current
+        version than the row's link says; looked for only if restaurants have
+        changed since the links were made, in two columns."""
+        if links is None or links == old.links:
+            return []
+        store_ = self._buckets(name)
+        restaurants = Manifest(**self.control.last("dim_restaurant").parts)
+        of = self._buckets("restaurant")
+        gone = of.closed(restaurants, after=-1 if old.links is None else old.links).select("restaurant_sk")
+        rows = store_.current(old).select(dims.SPECS[name].key, "restaurant_id", "restaurant_sk")
+        came = of.current(restaurants).select("restaurant_id")
+        stale = rows.join(gone, "restaurant_sk", "left_semi").select(*rows.columns).unionByName(
+            rows.where("restaurant_sk IS NULL").join(came, "restaurant_id", "left_semi").select(*rows.columns))
+        return store_.touched(stale, old.n)
 
     def _build(self, name: str, rows: DataFrame, orders: DataFrame | None, batch_ts: str, offset: int
                ) -> DataFrame:
         def d(dim: str) -> DataFrame:
-            found = self.dim(dim)
+            found = self.current(dim) if dim in dims.SPECS else self.dim(dim)
             if found is None:  # not loaded yet: no key is found
                 spec = dims.SPECS[dim]
                 found = self.spark.createDataFrame([], f"{spec.key} string, {spec.sk} long, is_current boolean")
@@ -197,22 +320,16 @@ class LiveWarehouse:
         last = self.control.before(table, v)
         offset = last.max_key if last else 0
         waits = None
-        if name == "order":
-            orders = None
-        else:
-            orders = self.fact("order")
-            orders = (self.spark.createDataFrame([], "order_id string, order_sk long") if orders is None
-                      else orders.select("order_id", "order_sk"))
+        if name != "order":
             held = self.pending(name, before=self.control.version_for(f"pending_{name}", run))
             if held is not None and kind != "full":
                 rows = held.withColumn("_held", F.lit(True)).unionByName(rows.withColumn("_held", F.lit(False)))
             else:
                 rows = rows.withColumn("_held", F.lit(False))
-        rows = self._newest(rows, key, latest)
-        if orders is not None:
-            # the order keys of this batch's orders only: the batch's ids are the small side
-            ids = rows.select("order_id").where(F.col("order_id").isNotNull()).distinct()
-            orders = materialize(orders.join(ids, "order_id", "left_semi"), "order-keys")
+        rows, orders = self._newest(rows, key, latest), None
+        if name != "order":
+            orders = self.keys_of("order", rows.select("order_id")).select(
+                F.col("key").alias("order_id"), F.col("sk").alias("order_sk"))
             known = orders.select(F.col("order_id").alias("_o")).distinct()
             rows = rows.join(known, F.col("order_id") == F.col("_o"), "left")
             rows = materialize(rows.withColumn("_found", F.col("_o").isNotNull()).drop("_o"), "fact-input")
@@ -224,34 +341,91 @@ class LiveWarehouse:
             rows = materialize(rows, "fact-input")
         fact = self._build(name, rows, orders, batch_ts, offset)
         # what is stored, with this run's own output if it runs again: keys stay
-        known = self.fact(name, before=v + 1)
         replaced = None
-        if known is not None:
-            mine = rows.select(F.col(key).alias("_m")).where("_m IS NOT NULL")
-            old = materialize(known.select(F.col(key).alias("_k"), F.col(sk).alias("_sk")).join(
-                mine, F.col("_k") == F.col("_m"), "left_semi"), "known-keys")
+        if self._versions(table, v + 1):
+            old = self.keys_of(name, rows.select(key), before=v + 1).select(
+                F.col("key").alias("_k"), F.col("sk").alias("_sk"))
             # the n-th row of a key goes on with its n-th surrogate key
-            nth = old.withColumn("_n", F.row_number().over(W.partitionBy("_k").orderBy("_sk")))
+            nth = old.withColumn("_on", F.row_number().over(W.partitionBy("_k").orderBy("_sk")))
             fact = fact.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(sk)))
-            nth = nth.withColumnRenamed("_n", "_on")
             fact = (fact.join(nth, (F.col(key) == F.col("_k")) & (F.col("_n") == F.col("_on")), "left")
                     .withColumn(sk, F.coalesce("_sk", sk)).drop("_k", "_sk", "_n", "_on"))
             replaced = old.select(F.col("_sk").alias(sk))
-        store.write_batch(fact, self.root, "consumption", table, v)
+        parts, count, top = self._write_fact(name, v, fact)
         if replaced is not None and kind != "full" and not replaced.isEmpty():
             # the replaced keys carry the fact's version and count once that is committed
             store.write_batch(replaced, self.root, "consumption", f"replaced_{name}", v)
             self.control.commit(f"replaced_{name}", v, run)
+        self._write_index(name, v, run, kind, count)
         n_waits = 0
         if waits is not None:
             pv = self.control.version_for(f"pending_{name}", run)
             n_waits = waits.count()
             store.write_batch(waits, self.root, "consumption", f"pending_{name}", pv)
             self.control.commit(f"pending_{name}", pv, run, "full", n_waits)
-        top = self._stored(table, [v]).agg(F.max(sk)).first()[0] or 0
-        self.control.commit(table, v, run, kind, max(offset, top))
+        self.control.commit(table, v, run, kind, max(offset, top), parts)
         return n_waits
 
+    def _write_fact(self, name: str, v: int, fact: DataFrame) -> tuple[dict, int, int]:
+        """Write a version's rows by month; returns its parts ({month: [rows,
+        first date key, last date key]}), its rows and its largest key."""
+        sk, day = FACTS[name][0], MONTH_OF.get(name)
+        if day is None:
+            store.write_batch(fact, self.root, "consumption", f"fact_{name}", v)
+            count, top = self._stored(f"fact_{name}", [v]).agg(F.count(F.lit(1)), F.max(sk)).first()
+            return {}, count, top or 0
+        calendar_ = self.dim("date")
+        if calendar_ is None:
+            fact = fact.withColumn("month", F.lit(None).cast("int"))
+        else:  # bounded by the calendar
+            months = F.broadcast(calendar_.select(F.col("date_sk").alias("_d"), (
+                F.col("year") * 100 + F.col("month_number")).alias("month")))
+            fact = fact.drop("month").join(months, F.col(day) == F.col("_d"), "left").drop("_d")
+        store.write_batch(fact, self.root, "consumption", f"fact_{name}", v, also=["month"])
+        found = (self._stored(f"fact_{name}", [v]).groupBy("month")
+                 .agg(F.count(F.lit(1)).alias("n"), F.min(day).alias("lo"), F.max(day).alias("hi"),
+                      F.max(sk).alias("top")).collect())  # a row a month
+        months = {str(r.month): [r.n, r.lo, r.hi] for r in found if r.month is not None}
+        return {"months": months}, sum(r.n for r in found), max((r.top for r in found), default=0)
+
+    def _write_index(self, name: str, v: int, run: str, kind: str, count: int) -> None:
+        sk, key = FACTS[name][:2]
+        rows = self._stored(f"fact_{name}", [v]).select(F.col(key).alias("key"), F.col(sk).alias("sk"))
+        self.control.commit(f"keys_{name}", v, run, kind, parts=self._index(name).put(v, rows, count))
+
+    def compact(self, name: str, run: str) -> None:
+        """Rewrite a fact as one version: the rows that count now, by month,
+        and one segment of its key index.  Readers see the old versions until
+        the new one is committed.  Nothing happens if there is one version."""
+        table = f"fact_{name}"
+        v = self.control.version_for(table, run)
+        last = self.control.before(table, v)
+        if last is None or len(self._versions(table, v)) == 1:
+            return
+        parts, count, _ = self._write_fact(name, v, self.fact(name, before=v))
+        self._write_index(name, v, run, "full", count)
+        self.control.commit(table, v, run, "full", last.max_key, parts)
+
+    def retire(self, name: str, keep: int = 1) -> list[int]:
+        """Delete the versions of a fact that a full one superseded, but for
+        the last ``keep`` full ones that went before it, which readers may
+        still be at; returns the versions deleted."""
+        table = f"fact_{name}"
+        done = self.control.versions(table)
+        full = [v.version for v in done if v.kind == "full"]
+        if len(full) <= keep:
+            return []
+        gone = [v.version for v in done if v.version < full[-1 - keep]]
+        for version in gone:
+            for t in (f"keys_{name}", f"replaced_{name}", table):
+                old = next((v for v in self.control.versions(t) if v.version == version), None)
+                if old is None:
+                    continue
+                self.control.forget(t, version)  # first, so that no reader is sent to deleted files
+                folder = f"v={old.parts['token']}" if "token" in old.parts else f"batch_id={version}"
+                store.delete(self.spark, f"{store.table_path(self.root, 'consumption', t)}/{folder}")
+        return gone
+
     def put_rating_persons(self, run: str) -> None:
         """Upsert the stored ratings whose delivery person differs after the
         deliveries that ``run`` wrote, linked or replaced; nothing else of
@@ -279,10 +453,11 @@ class LiveWarehouse:
         changed = materialize(changed, "rating-persons")
         if changed.isEmpty():
             return
-        store.write_batch(changed, self.root, "consumption", table, v)
+        parts, count, _ = self._write_fact("rating", v, changed)
         store.write_batch(changed.select(sk), self.root, "consumption", "replaced_rating", v)
         self.control.commit("replaced_rating", v, own)
-        self.control.commit(table, v, own, max_key=self.control.before(table, v).max_key)
+        self._write_index("rating", v, own, "delta", count)
+        self.control.commit(table, v, own, max_key=self.control.before(table, v).max_key, parts=parts)
 
     @staticmethod
     def _newest(rows: DataFrame, key: str, latest: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 One folder per table, ``<root>/_control/<table>/``, with a small JSON file for
 each committed version (metadata, written through Spark's file-system layer,
-so it works wherever the tables are):
+so it works wherever the tables are).  A version that is committed again goes
+to a new file, ``<version>.<attempt>.json``, and the newest attempt counts, so
+that there is no moment without it:
 
 * ``version`` — 0, 1, 2 …, one sequence per table for batch loads and streams
   alike, so a stream carries on where a load stopped;
@@ -10,7 +12,9 @@ so it works wherever the tables are):
   replayed run gets its own version again and replaces its own output;
 * ``kind`` — ``full`` (replaces what came before) or ``delta``;
 * ``max_key`` — the largest surrogate key issued so far, so that the next run
-  needs no scan for it.
+  needs no scan for it;
+* ``parts`` — what else a reader has to know: the buckets of a dimension, the
+  segment of a key index, the months of a fact's rows.
 
 A version is committed after its data is written: readers see committed
 versions only.  A table has one writer at a time (the scheduler's job).
@@ -20,7 +24,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +35,7 @@ class Version:
     run: str
     kind: str
     max_key: int
+    parts: dict = field(default_factory=dict)
 
 
 class Control:
@@ -46,16 +51,25 @@ class Control:
     def versions(self, table: str) -> list[Version]:
         """Committed versions in order (one for each run of the table)."""
         if table not in self._seen:
-            jvm, path, fs = self._folder(table)
+            jvm, _, fs = self._folder(table)
             found = []
-            for status in fs.listStatus(path) if fs.exists(path) else ():
-                if status.getPath().getName().endswith(".json"):
-                    stream = fs.open(status.getPath())
-                    found.append(Version(**json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))))
-                    stream.close()
+            for file in self._files(table).values():
+                stream = fs.open(max(file)[1])
+                found.append(Version(**json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))))
+                stream.close()
             self._seen[table] = sorted(found, key=lambda v: v.version)
         return self._seen[table]
 
+    def _files(self, table: str) -> dict[int, list]:
+        """version: its (attempt, path) list"""
+        _, path, fs = self._folder(table)
+        files: dict[int, list] = {}
+        for status in fs.listStatus(path) if fs.exists(path) else ():
+            version, *attempt, end = status.getPath().getName().split(".")
+            if version and end == "json":
+                files.setdefault(int(version), []).append((int(attempt[0]), status.getPath()))
+        return files
+
     def version_for(self, table: str, run: str) -> int:
         """The version that ``run`` writes: its own again, or the next one."""
         done = self.versions(table)
@@ -71,15 +85,25 @@ class Control:
         done = self.versions(table)
         return done[-1] if done else None
 
-    def commit(self, table: str, version: int, run: str, kind: str = "delta", max_key: int = 0) -> None:
+    def commit(self, table: str, version: int, run: str, kind: str = "delta", max_key: int = 0,
+               parts: dict | None = None) -> None:
         jvm, path, fs = self._folder(table)
-        row = json.dumps(asdict(Version(version, run, kind, int(max_key))))
-        part = jvm.org.apache.hadoop.fs.Path(path, f".{version}.part")
+        row = json.dumps(asdict(Version(version, run, kind, int(max_key), parts or {})))
+        earlier = self._files(table).get(version, [])
+        attempt = max((n for n, _ in earlier), default=-1) + 1
+        part = jvm.org.apache.hadoop.fs.Path(path, f".{version}.{attempt}.part")
         out = fs.create(part, True)
         out.write(bytearray(row.encode()))
         out.close()
-        final = jvm.org.apache.hadoop.fs.Path(path, f"{version}.json")
-        fs.delete(final, False)  # of an earlier run of the same version
-        if not fs.rename(part, final):
+        if not fs.rename(part, jvm.org.apache.hadoop.fs.Path(path, f"{version}.{attempt}.json")):
             raise OSError(f"cannot commit version {version} of {table}")
+        for _, old in earlier:
+            fs.delete(old, False)
+        self._seen.pop(table, None)
+
+    def forget(self, table: str, version: int) -> None:
+        """Drop a version that no reader needs any more."""
+        _, _, fs = self._folder(table)
+        for _, file in self._files(table).get(version, []):
+            fs.delete(file, False)
         self._seen.pop(table, None)

@@ -38,11 +38,23 @@ def table_path(root: str, layer: str, table: str) -> str:
 
 
 def write_batch(df: DataFrame, root: str, layer: str, table: str, batch_id: int,
-                column: str = "batch_id") -> None:
-    """Replace one batch partition of a table."""
+                column: str = "batch_id", also: list[str] | None = None) -> None:
+    """Replace one batch partition of a table (S6, S11), laid out by the
+    columns ``also`` below it.  Rows of one such folder are brought together,
+    but a large one is written by several tasks (``rebalance``)."""
+    path = table_path(root, layer, table)
+    if also:  # as a whole: no folder of an earlier run stays
+        (df.hint("rebalance", *[F.col(c) for c in also]).write.mode("overwrite").partitionBy(*also)
+           .parquet(os.path.join(path, f"{column}={int(batch_id)}")))
+        return
     (df.withColumn(column, F.lit(int(batch_id)).cast("bigint"))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(column).parquet(table_path(root, layer, table)))
+       .partitionBy(column).parquet(path))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def replace_table(df: DataFrame, root: str, layer: str, table: str,
