@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.scalars import money_sum
 from ..functions.schemas import SOURCE_DDL, conform
 from ..operators import audits, dims, scd2
 from ..session import scratch_path
@@ -485,10 +486,10 @@ def _put_dimensions(live: LiveWarehouse, s: Star, names: list[str]) -> None:
         live.put_dimension(name, source, DEFAULT_BATCH_TS, "load:0")
 
 
-def _land(spark, root: str, entity: str, parts: list[DataFrame], handler) -> None:
+def _land(spark, root: str, entity: str, parts: list[DataFrame], handler, first: int = 0) -> None:
     """Each part arrives as one extract and is processed before the next."""
-    for i, b in enumerate(parts):
-        stamped = csvsrc.with_provenance(b, f"{entity}_csv", f"{entity}_{i}.csv", SNAPSHOT_TS[i])
+    for i, b in enumerate(parts, first):
+        stamped = csvsrc.with_provenance(b, f"{entity}_csv", f"{entity}_{i}.csv", SNAPSHOT_TS[min(i, 1)])
         incremental.land_batch(stamped, root, entity, i)
         incremental.run_once(spark, root, entity, handler)
 
@@ -535,15 +536,16 @@ def q_load_late_parents(spark, sf_dir):
     orders, those of even orders after them; every link is found in the end."""
     live = late_parents(spark, sf_dir)
     o = live.fact("order").select("order_sk", "order_id")
+    nobody = F.lit(None).cast("bigint").alias("delivery_person_sk")
     item = live.fact("order_item").join(o, "order_sk").select(
         F.lit("item").alias("fact"), F.col("order_item_id").alias("id"), "order_id",
-        F.col("item_total").alias("amount"))
+        F.col("item_total").alias("amount"), nobody)
     dlv = live.fact("delivery").join(o, "order_sk", "left").select(
         F.lit("delivery").alias("fact"), F.col("delivery_id").alias("id"), "order_id",
-        F.col("delivery_duration_minutes").cast("double").alias("amount"))
+        F.col("delivery_duration_minutes").cast("double").alias("amount"), "delivery_person_sk")
     rating = live.fact("rating").join(o, "order_sk", "left").select(
         F.lit("rating").alias("fact"), F.col("rating_id").alias("id"), "order_id",
-        F.col("overall_rating").cast("double").alias("amount"))
+        F.col("overall_rating").cast("double").alias("amount"), "delivery_person_sk")
     return item.unionByName(dlv).unionByName(rating)
 
 
@@ -749,3 +751,72 @@ def q_dim_promotion(spark, sf_dir):
     return star(spark, sf_dir).dim("promotion").select(
         "promotion_sk", "promotion_id", "restaurant_sk", "promotion_name", "description", "discount_type",
         "discount_value", "start_date", "end_date", "min_order_value", "is_active", "is_current")
+
+
+# ------------------------------------------- the stored warehouse, over time ---
+
+def changed_orders(spark: SparkSession, sf_dir: str, compact: bool) -> LiveWarehouse:
+    """Orders before 1998, then those since; each time the orders whose number
+    divides by 7 come again with a higher total.  ``compact``: the order fact
+    is rewritten after the second of the three extracts, and what that
+    superseded is deleted."""
+    root = scratch_path(spark, "changed-orders")
+    s = star(spark, sf_dir)
+    live = LiveWarehouse(spark, root)
+    _put_dimensions(live, s, ["restaurant", "customer", "promotion"])
+    live.put_calendar(s.calendar_dates(), "load:0")
+    early, late = _orders_batches(tables(spark, sf_dir))
+    again = early.where("CAST(id AS BIGINT) % 7 = 0").withColumns({
+        "order_total": F.col("order_total") + 1, "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 DAY")})
+    for i, rows in enumerate([early, again, late]):
+        _land(spark, root, "orders", [rows], incremental.fact_order_handler(root), i)
+        if compact and i == 1:
+            live = LiveWarehouse(spark, root)
+            live.compact("order", "compact:1")
+            live.retire("order", keep=0)
+    return LiveWarehouse(spark, root)
+
+
+@query("compact_then_query")
+def q_compact_then_query(spark, sf_dir):
+    """The order fact is compacted between two increments."""
+    return changed_orders(spark, sf_dir, compact=True).fact("order").select(
+        "order_sk", "order_id", "customer_sk", "restaurant_sk", "order_date_sk", "promotion_sk", "order_status",
+        "order_total", "tip_amount")
+
+
+@query("stored_orders_of_a_month")
+def q_stored_orders_of_a_month(spark, sf_dir):
+    """F10, K1 over the stored fact: the days of February 1998, read from that
+    month's folders."""
+    live = changed_orders(spark, sf_dir, compact=False)
+    rows = live.fact("order", between=("1998-02-01", "1998-02-28"))
+    return (rows.join(F.broadcast(live.dim("date").select("date_sk", "date_id")),
+                      F.col("order_date_sk") == F.col("date_sk"))
+            .groupBy(F.col("date_id").alias("date"))
+            .agg(F.count(F.lit(1)).alias("order_count"), money_sum("order_total").alias("revenue")))
+
+
+@query("stored_v1_of_a_year")
+def q_stored_v1_of_a_year(spark, sf_dir):
+    """V1 of 1995 over the stored fact: the filtered calendar prunes months."""
+    live = changed_orders(spark, sf_dir, compact=False)
+    return views.restaurant_order_performance(live.fact("order"), live.dim("restaurant"),
+                                              live.dim("date").where("year = 1995"))
+
+
+@query("full_load_no_dates")
+def q_full_load_no_dates(spark, sf_dir):
+    """D-DATE: a load with sentinel dates only, then one with real dates."""
+    root = scratch_path(spark, "no-dates")
+    orders = testdata.orders(tables(spark, sf_dir))
+    far = F.lit("9999-12-31").cast("timestamp_ntz")
+    for batch, rows in ((1, orders.withColumns({"created_at": far, "updated_at": far})
+                         .withColumn("id", F.concat(F.lit("far-"), "id"))), (2, orders)):
+        csvsrc.write_extract(rows, f"{root}/orders-{batch}")
+        report = full_load(spark, {"orders": f"{root}/orders-{batch}"}, f"{root}/warehouse", batch, SNAPSHOT_TS[batch - 1])
+        assert (report["stray_dates_orders"] > 0) == (batch == 1), report
+    live = LiveWarehouse(spark, f"{root}/warehouse")
+    days = live.dim("date").select("date_sk", "date_id")
+    return (live.fact("order").join(F.broadcast(days), F.col("order_date_sk") == F.col("date_sk"), "left")
+            .groupBy(F.col("date_id").alias("date")).agg(F.count(F.lit(1)).alias("order_count")))

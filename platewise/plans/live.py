@@ -166,20 +166,23 @@ class LiveWarehouse:
 
     def put_calendar(self, dates: DataFrame, run: str) -> None:
         """Date keys never change: later days go on after the last key, days
-        before the first one get keys from 0 downwards."""
-        table = "dim_date"
+        before the first one get keys from 0 downwards.  Dates that the
+        calendar has already change nothing."""
+        table, c = "dim_date", dates.columns[0]
         v = self.control.version_for(table, run)
         last = self.control.before(table, v)
-        origin = last.parts.get("origin") if last else None
-        if origin is None:  # none yet, or one without a day
-            new = calendar.dim_date_covering(dates)
-        else:
-            known = self.dim("date", before=v).select(F.col("date_id").alias(dates.columns[0]))
-            new = calendar.dim_date_covering(dates.unionByName(known), origin=origin)
-        store.write_snapshot(new, self.root, table, v)
-        written = store.read_snapshot(self.spark, self.root, table, v)
-        first = written.where("date_sk = 1").select("date_id").first()
-        self.control.commit(table, v, run, "full", parts={"origin": str(first[0])} if first else {})
+        known = last.parts if last else {}
+        inside = F.col(c).between(F.lit(calendar.CALENDAR_START).cast("date"), F.lit(calendar.CALENDAR_END).cast("date"))
+        lo, hi = dates.where(inside).agg(F.min(c), F.max(c)).first()
+        if known and (lo is None or known["lo"] <= str(lo) and str(hi) <= known["hi"]):
+            return
+        days = [d for d in (lo, hi, known.get("lo"), known.get("hi")) if d is not None]
+        span = self.spark.createDataFrame([(str(d),) for d in days], "d string").select(F.to_date("d").alias("d"))
+        store.write_snapshot(calendar.dim_date_covering(span, origin=known.get("origin")), self.root, table, v)
+        found = store.read_snapshot(self.spark, self.root, table, v).agg(
+            F.min("date_id"), F.max("date_id"), F.max(F.when(F.col("date_sk") == 1, F.col("date_id")))).first()
+        parts = dict(zip(("lo", "hi", "origin"), map(str, found))) if found[0] is not None else {}
+        self.control.commit(table, v, run, "full", parts=parts)
 
     def put_stray_dates(self, clean: dict[str, DataFrame], run: str) -> dict[str, int]:
         """Write the clean rows with a date beyond the calendar's bounds, whose

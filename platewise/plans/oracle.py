@@ -619,16 +619,42 @@ FROM b""", "f_order")
 
 
 Q["load_late_parents"] = sql("""
-SELECT 'item' AS fact, f.order_item_id AS id, o.order_id, f.item_total AS amount
+SELECT 'item' AS fact, f.order_item_id AS id, o.order_id, f.item_total AS amount,
+       CAST(NULL AS BIGINT) AS delivery_person_sk
 FROM f_order_item f JOIN f_order o ON f.order_sk = o.order_sk
 UNION ALL
-SELECT 'delivery', f.delivery_id, o.order_id, CAST(f.delivery_duration_minutes AS DOUBLE)
+SELECT 'delivery', f.delivery_id, o.order_id, CAST(f.delivery_duration_minutes AS DOUBLE), f.delivery_person_sk
 FROM f_delivery f LEFT JOIN f_order o ON f.order_sk = o.order_sk
 UNION ALL
-SELECT 'rating', f.rating_id, o.order_id, CAST(f.overall_rating AS DOUBLE)
+SELECT 'rating', f.rating_id, o.order_id, CAST(f.overall_rating AS DOUBLE), f.delivery_person_sk
 FROM f_rating f LEFT JOIN f_order o ON f.order_sk = o.order_sk""",
                              "f_order_item", "f_delivery", "f_rating", "f_order")
 
+# keys: orders before 1998 first, each extract in the order of its ids; a changed order keeps its key
+cte("f_changed", ["f_order", "c_orders", "d_date"], """
+SELECT row_number() OVER (ORDER BY d.date_id >= DATE '1998-01-01', f.order_id) AS order_sk, f.order_id, f.customer_sk,
+       f.restaurant_sk, f.order_date_sk, f.promotion_sk, f.order_status, f.tip_amount, d.date_id,
+       f.order_total + CASE WHEN d.date_id < DATE '1998-01-01' AND CAST(f.order_id AS BIGINT) % 7 = 0
+                            THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS order_total
+FROM f_order f JOIN d_date d ON f.order_date_sk = d.date_sk""")
+Q["compact_then_query"] = sql("""
+SELECT order_sk, order_id, customer_sk, restaurant_sk, order_date_sk, promotion_sk, order_status, order_total,
+       tip_amount FROM f_changed""", "f_changed")
+Q["stored_orders_of_a_month"] = sql(f"""
+SELECT date_id AS date, COUNT(*) AS order_count, {money_sum('order_total')} AS revenue FROM f_changed
+WHERE date_id BETWEEN DATE '1998-02-01' AND DATE '1998-02-28' GROUP BY 1""", "f_changed")
+Q["stored_v1_of_a_year"] = sql(f"""
+SELECT r.restaurant_name, r.cuisine_type, r.city, r.state, d.year, d.month_name,
+       COUNT(DISTINCT o.order_id) AS total_orders,
+       {money_sum('o.order_total')} AS total_revenue, {money_avg('o.order_total')} AS avg_order_value,
+       {money_sum('o.tip_amount')} AS total_tips, {money_avg('o.tip_amount')} AS avg_tip_amount
+FROM f_changed o JOIN d_restaurant r ON o.restaurant_sk = r.restaurant_sk
+JOIN d_date d ON o.order_date_sk = d.date_sk
+WHERE r.is_current AND d.year = 1995 GROUP BY 1, 2, 3, 4, 5, 6""", "f_changed", "d_restaurant", "d_date")
+Q["full_load_no_dates"] = sql("""
+SELECT CAST(order_date AS DATE) AS date, COUNT(*) AS order_count FROM c_orders GROUP BY 1
+UNION ALL SELECT CAST(NULL AS DATE), COUNT(*) FROM c_orders""", "c_orders")
+
 Q["incremental_delivery_person"] = sql(f"""
 WITH one AS (SELECT delivery_person_id AS p, arg_max(vehicle_type, (coalesce(pickup_time, created_at), delivery_id)) AS v
              FROM c_delivery WHERE CAST(delivery_id AS BIGINT) % 2 = 0 GROUP BY 1),

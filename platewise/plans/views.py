@@ -27,8 +27,22 @@ def _current(dim: DataFrame, sk: str, key: str, cols: list[str], history: str) -
     return allv.join(cur.select(key, *cols), key).select(sk, *cols)
 
 
+#: yyyymm, as stored facts lay their rows out (``plans.live``)
+_YM = "year * 100 + month_number AS _ym"
+
+
 def _month(dim_date: DataFrame) -> DataFrame:
-    return F.broadcast(dim_date.select("date_sk", "year", "month_name"))
+    return F.broadcast(dim_date.selectExpr("date_sk", "year", "month_name", _YM))
+
+
+def _by_day(fact: DataFrame, columns: list[str], day: str, days: DataFrame) -> DataFrame:
+    """These columns of a fact with the calendar's on the key ``day``.  A fact
+    stored by month is joined on the month too: with a filtered calendar Spark
+    then reads the folders of its months only (dynamic partition pruning)."""
+    on = F.col(day) == F.col("date_sk")
+    if "month" not in fact.columns:
+        return fact.select(*columns).join(days, on).drop("_ym")
+    return fact.select(*columns, "month").join(days, on & (F.col("month") == F.col("_ym"))).drop("_ym", "month")
 
 
 def _groups(rows: DataFrame, sk: str, names: list[str], gid: str) -> tuple[DataFrame, DataFrame]:
@@ -42,9 +56,10 @@ def _groups(rows: DataFrame, sk: str, names: list[str], gid: str) -> tuple[DataF
 
 def _months(dim_date: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same for the calendar's months; it is bounded, so broadcast."""
-    keys, names = _groups(dim_date.select("date_sk", "year", "month_name"), "date_sk",
-                          ["year", "month_name"], "_month_id")
-    return F.broadcast(keys), F.broadcast(names)
+    months = dim_date.selectExpr("date_sk", "year", "month_name", _YM)
+    numbered = months.withColumn("_month_id", F.min("date_sk").over(W.partitionBy("_ym")))
+    names = numbered.where("date_sk = _month_id").select("_month_id", "year", "month_name")
+    return F.broadcast(numbered.select("date_sk", "_month_id", "_ym")), F.broadcast(names)
 
 
 def restaurant_order_performance(fact_order: DataFrame, dim_restaurant: DataFrame,
@@ -54,10 +69,8 @@ def restaurant_order_performance(fact_order: DataFrame, dim_restaurant: DataFram
                  ["restaurant_name", "cuisine_type", "city", "state"], history)
     keys, names = _groups(r, "restaurant_sk", ["restaurant_name", "cuisine_type", "city", "state"], "_gid")
     days, months = _months(dim_date)
-    j = (fact_order.select("order_id", "restaurant_sk", "order_date_sk", "order_total",
-                           "tip_amount")
-         .join(keys, "restaurant_sk")
-         .join(days, F.col("order_date_sk") == F.col("date_sk")))
+    j = _by_day(fact_order, ["order_id", "restaurant_sk", "order_date_sk", "order_total", "tip_amount"],
+                "order_date_sk", days).join(keys, "restaurant_sk")
     g = j.groupBy("_gid", "_month_id").agg(
         F.count_distinct("order_id").alias("total_orders"),
         money_sum("order_total").alias("total_revenue"),
@@ -80,11 +93,9 @@ def delivery_performance(fact_delivery: DataFrame, dim_person: DataFrame,
     """
     p = _current(dim_person, "delivery_person_sk", "delivery_person_id",
                  ["delivery_person_id"], history)
-    d = (fact_delivery.select("delivery_id", "order_sk", "delivery_person_sk",
-                              "delivery_date_sk", "delivery_duration_minutes",
-                              "delivery_distance")
-         .join(p, "delivery_person_sk")
-         .join(_month(dim_date), F.col("delivery_date_sk") == F.col("date_sk")))
+    d = _by_day(fact_delivery, ["delivery_id", "order_sk", "delivery_person_sk", "delivery_date_sk",
+                                "delivery_duration_minutes", "delivery_distance"],
+                "delivery_date_sk", _month(dim_date)).join(p, "delivery_person_sk")
     keys = ["delivery_person_id", "year", "month_name"]
     if mode == "literal":
         j = d.join(fact_rating.select("order_sk", "delivery_rating"), "order_sk", "left")
@@ -116,10 +127,9 @@ def customer_order_patterns(fact_order: DataFrame, dim_customer: DataFrame,
     keys, names = _groups(c, "customer_sk", ["customer_id", "city", "state"], "_gid")
     served, _ = _groups(r, "restaurant_sk", ["restaurant_id"], "_rid")
     days, months = _months(dim_date)
-    j = (fact_order.select("order_id", "customer_sk", "restaurant_sk", "order_date_sk",
-                           "order_total")
+    j = (_by_day(fact_order, ["order_id", "customer_sk", "restaurant_sk", "order_date_sk", "order_total"],
+                 "order_date_sk", days)
          .join(keys, "customer_sk")
-         .join(days, F.col("order_date_sk") == F.col("date_sk"))
          .join(served, "restaurant_sk"))
     g = j.groupBy("_gid", "_month_id").agg(
         F.count_distinct("order_id").alias("total_orders"),
@@ -141,11 +151,10 @@ def product_performance(fact_order_item: DataFrame, dim_product: DataFrame,
     keys, names = _groups(p.join(r, "restaurant_sk"), "product_sk",
                           ["product_name", "category", "restaurant_name"], "_gid")
     days, months = _months(dim_date)
-    o = fact_order.select("order_sk", "order_id", "order_date_sk")
+    o = _by_day(fact_order, ["order_sk", "order_id", "order_date_sk"], "order_date_sk", days)
     j = (fact_order_item.select("order_sk", "product_sk", "quantity", "item_total")
          .join(keys, "product_sk")
-         .join(o, "order_sk")
-         .join(days, F.col("order_date_sk") == F.col("date_sk")))
+         .join(o, "order_sk"))
     g = j.groupBy("_gid", "_month_id").agg(
         F.sum("quantity").cast("bigint").alias("total_quantity_sold"),
         money_sum("item_total").alias("total_revenue"),
@@ -160,9 +169,8 @@ def promotion_effectiveness(fact_order: DataFrame, dim_promotion: DataFrame,
     """V5: orders and revenue per promotion and month; revenue per order."""
     p = _current(dim_promotion, "promotion_sk", "promotion_id",
                  ["promotion_name", "discount_type", "discount_value"], history)
-    j = (fact_order.select("order_id", "promotion_sk", "order_date_sk", "order_total")
-         .join(p, "promotion_sk")
-         .join(_month(dim_date), F.col("order_date_sk") == F.col("date_sk")))
+    j = _by_day(fact_order, ["order_id", "promotion_sk", "order_date_sk", "order_total"],
+                "order_date_sk", _month(dim_date)).join(p, "promotion_sk")
     return j.groupBy("promotion_name", "discount_type", "discount_value", "year",
                      "month_name").agg(
         F.count_distinct("order_id").alias("total_orders"),
