@@ -9,7 +9,9 @@ beside a bucket lie its smallest and largest key and a Bloom filter::
 A look-up reads the filters of the buckets that its keys fall into, then the
 rows of those buckets that may hold one of them.  New keys therefore cost
 filters only (ten bits a stored key of their buckets), and known ones the
-buckets they are in; the facts themselves are not read.
+buckets they are in; the facts themselves are not read.  Segments of fewer
+than ``FILTER_FROM`` keys have no filters, and a look-up of a quarter as many
+keys as a segment holds doesn't ask them: their rows are read at once.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
 from . import store
-from .buckets import bucket_of, new_token, power_of_two
+from .buckets import bucket_of, new_token, power_of_two, written_buckets
 from .control import Version
 
-BUCKET_KEYS = 100_000
+BUCKET_KEYS, FILTER_FROM = 100_000, 20_000
 #: Bits a key and hash functions of a filter: about one in a hundred absent keys passes.
 BITS, HASHES = 10, 7
 ROWS = "key string, sk bigint"
@@ -34,7 +36,7 @@ ROWS = "key string, sk bigint"
 def _places(h: np.ndarray, n_bits: int) -> np.ndarray:
     """Bit numbers of each hash, one row a hash function."""
     h = h.view(np.uint64)
-    step = (h >> np.uint64(32)) | np.uint64(1)
+    step = (h * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
     k = np.arange(HASHES, dtype=np.uint64)[:, None]
     # the low bits chose the bucket, so they are mixed before they choose a place
     mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
@@ -60,6 +62,7 @@ class Segment:
     token: str
     n: int
     rows: int
+    filtered: bool
 
 
 def segments(versions: list[Version]) -> list[Segment]:
@@ -81,6 +84,7 @@ class KeyIndex:
             (rows.where("key IS NOT NULL").withColumn("bucket", bucket_of("key", n)).repartition("bucket")
              .sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{path}/rows"))
 
+        if count >= FILTER_FROM:
             def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
                 keys = sorted(table.column("key").to_pylist())
                 return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "lo": pa.array(keys[:1]),
@@ -91,7 +95,7 @@ class KeyIndex:
             (stored.select("bucket", "key", F.xxhash64("key").alias("h")).groupBy("bucket")
              .applyInArrow(build, "bucket int, lo string, hi string, bits binary")
              .write.partitionBy("bucket").parquet(f"{path}/filter"))
-        return {"token": token, "n": n, "rows": count}
+        return {"token": token, "n": n, "rows": count, "filtered": count >= FILTER_FROM}
 
     def find(self, keys: DataFrame, among: list[Segment]) -> DataFrame:
         """(key, sk, version) of the single column ``keys``, nulls left out; of
@@ -101,15 +105,36 @@ class KeyIndex:
             return empty
         asked = materialize(keys.select(F.col(keys.columns[0]).alias("key")).where("key IS NOT NULL").distinct()
                             .withColumn("h", F.xxhash64("key")), "asked-keys")
+        n_asked = asked.count()
+        tokens = {s.version: s.token for s in among}
+        ask = [s for s in among if s.filtered and 4 * n_asked < s.rows]
+        at_once = [s for s in among if s not in ask]
+        found = self._read({s.version: None for s in at_once}, tokens, "rows", ROWS)
+        if found is not None:
+            found = found.join(asked.select("key"), "key", "left_semi").select("key", "sk", "version")
+        if ask:
+            hits = self._hits(asked, ask, tokens)
+            rows = self._read(_by_version(hits), tokens, "rows", ROWS)
+            if rows is not None:
+                rows = (rows.join(hits.select("key", "version"), ["key", "version"], "left_semi")
+                        .select("key", "sk", "version"))
+                found = rows if found is None else found.unionByName(rows)
+        if found is None:
+            return empty
+        if len(among) > 1:
+            newest = found.groupBy(F.col("key").alias("_k")).agg(F.max("version").alias("_v"))
+            found = found.join(newest, (F.col("key") == F.col("_k")) & (F.col("version") == F.col("_v"))).drop("_k", "_v")
+        return materialize(found, "found-keys")
+
+    def _hits(self, asked: DataFrame, among: list[Segment], tokens: dict[int, str]) -> DataFrame:
+        """(key, version, bucket) that the filters let through."""
         places = F.array(*[F.struct(F.lit(s.version).alias("version"),
                                     F.pmod(F.col("h"), F.lit(s.n)).cast("int").alias("bucket")) for s in among])
         asked = asked.select("key", "h", F.explode(places).alias("p")).select("key", "h", "p.version", "p.bucket")
-        tokens = {s.version: s.token for s in among}
-        # (version, bucket) pairs, at most one a stored bucket
-        touched = asked.select("version", "bucket").distinct().collect()
-        filters = self._read(touched, tokens, "filter", "lo string, hi string, bits binary")
+        filters = self._read(_by_version(asked), tokens, "filter", "lo string, hi string, bits binary")
+        schema = "key string, version int, bucket int"
         if filters is None:
-            return empty
+            return self.spark.createDataFrame([], schema)
 
         def test(keys: pa.Table, found: pa.Table) -> pa.Table:
             keys = keys.select(["key", "version", "bucket", "h"])
@@ -119,29 +144,27 @@ class KeyIndex:
             inside = np.array([lo <= k <= hi for k in keys.column("key").to_pylist()])
             return keys.filter(pa.array(inside & may_hold(bits, keys.column("h").to_numpy()))).drop_columns(["h"])
 
-        hits = materialize(asked.groupBy("version", "bucket").cogroup(filters.groupBy("version", "bucket"))
-                           .applyInArrow(test, "key string, version int, bucket int"), "index-hits")
-        rows = self._read(hits.select("version", "bucket").distinct().collect(), tokens, "rows", ROWS)
-        if rows is None:
-            return empty
-        found = rows.drop("bucket").join(hits.select("key", "version"), ["key", "version"], "left_semi")
-        newest = found.groupBy("key").agg(F.max("version").alias("version"))
-        return materialize(found.join(newest, ["key", "version"]).select("key", "sk", "version"), "found-keys")
-
-    def _read(self, pairs, tokens: dict[int, str], what: str, schema: str) -> DataFrame | None:
-        """The stored buckets of these (version, bucket) pairs."""
-        from .buckets import written_buckets
+        return materialize(asked.groupBy("version", "bucket").cogroup(filters.groupBy("version", "bucket"))
+                           .applyInArrow(test, schema), "index-hits")
 
-        by_version: dict[int, list[int]] = {}
-        for r in pairs:
-            by_version.setdefault(r.version, []).append(r.bucket)
+    def _read(self, by_version: dict[int, list[int] | None], tokens: dict[int, str], what: str, schema: str
+              ) -> DataFrame | None:
+        """These buckets (None: all) of these versions, as stored."""
         out = None
-        for version, buckets in sorted(by_version.items()):
+        for version, wanted in sorted(by_version.items()):
             path = f"{self.base}/v={tokens[version]}/{what}"
-            have = set(written_buckets(self.spark, path))
-            paths = [f"{path}/bucket={b}" for b in sorted(have.intersection(buckets))]
+            have = written_buckets(self.spark, path)
+            paths = [f"{path}/bucket={b}" for b in have if wanted is None or b in set(wanted)]
             if paths:
                 part = (self.spark.read.schema(f"{schema}, bucket int").option("basePath", path).parquet(*paths)
                         .withColumn("version", F.lit(version)))
                 out = part if out is None else out.unionByName(part)
         return out
+
+
+def _by_version(pairs: DataFrame) -> dict[int, list[int]]:
+    """version: its buckets among the rows, at most as many as are stored."""
+    out: dict[int, list[int]] = {}
+    for r in pairs.select("version", "bucket").distinct().collect():
+        out.setdefault(r.version, []).append(r.bucket)
+    return out
