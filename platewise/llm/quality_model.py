@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .text import utf8
@@ -22,8 +23,9 @@ from .text import utf8
 BUCKET_BITS = 18
 NGRAMS = (2, 3, 4)
 DIM = 16
-#: Bounds of the training sample: rows, and features drawn evenly from the whole of a text.
-TRAIN_ROWS, TRAIN_FEATURES = 6000, 2048
+#: Bound of the training sample: labelled documents.  A text counts whole: it is at most one count for
+#: each of the 2 ** BUCKET_BITS features.
+TRAIN_ROWS = 6000
 #: Passes over the sample, more of them where it is small.
 EPOCHS, MIN_STEPS, RATE, SEED = 5, 8000, 10.0, 7
 
@@ -76,19 +78,25 @@ class Model:
         return float(1 / (1 + np.exp(-(self.bias + (total / n if n else 0.0)))))
 
 
+def counted(text: bytes | None) -> np.ndarray:
+    """A text's features, each once, with their numbers: feature << 32 | times."""
+    ids, times = np.unique(np.concatenate([np.empty(0, np.int32), *features(text)]), return_counts=True)
+    return ids.astype(np.int64) << 32 | times
+
+
 def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, min_steps: int = MIN_STEPS,
           rate: float = RATE, dim: int = DIM, seed: int = SEED) -> Model:
-    """Fit on (features, label 0 or 1).  No rows: every score is 0.5."""
+    """Fit on (counted features, label 0 or 1).  No rows: every score is 0.5."""
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
     table = rng.uniform(-1 / dim, 1 / dim, (size, dim)).astype(np.float32)
     layer, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
-    counted = [(*np.unique(f, return_counts=True), y) for f, y in rows]
-    epochs = max(epochs, -(-min_steps // max(1, len(counted))))
-    step, steps = 0, epochs * len(counted)
+    epochs = max(epochs, -(-min_steps // max(1, len(rows))))
+    step, steps = 0, epochs * len(rows)
     for _ in range(epochs):
-        for k in rng.permutation(len(counted)):
-            ids, times, y = counted[k]
+        for k in rng.permutation(len(rows)):
+            f, y = rows[k]
+            ids, times = f >> 32, f & 0xFFFFFFFF
             share = (times / max(1, times.sum())).astype(np.float32)
             mean = share @ table[ids]
             z = layer @ mean + bias
@@ -108,30 +116,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``train_rows`` labelled documents (the first by the
     hash of their id) that are not held out.  Labels other than 0 and 1 and
-    rows without an id are left out; an id with both labels counts as 0."""
+    rows without an id are left out; an id with both labels counts as 0, one
+    with several texts as one of them."""
     known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
              .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.min("y").alias("y")))
     # at most train_rows ids, so the broadcast is bounded
     chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(train_rows)
-    joined = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(
-        F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    # of rows that repeat an id one is taken before anything leaves the tasks
+    joined = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+              .join(F.broadcast(chosen), "doc_id")
+              .groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"),
+                                     F.first("y").alias("y")).select("doc_id", "text", "y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            drawn = []
-            for t in utf8(b.column(1)):
-                f = np.concatenate([np.empty(0, np.int32), *features(t)])
-                if len(f) > TRAIN_FEATURES:
-                    f = f[np.linspace(0, len(f) - 1, TRAIN_FEATURES).astype(np.int64)]
-                drawn.append(f.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(drawn, pa.binary())],
+            found = [zstandard.compress(counted(t).tobytes(), 1) for t in utf8(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())],
                                              names=["doc_id", "y", "f"])
 
     rows = joined.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, y int, f binary")
     # sorted, so that the order of tasks makes no difference
-    found = sorted((r["doc_id"], r["y"], bytes(r["f"])) for r in rows.toLocalIterator())[:train_rows]
-    return train([(np.frombuffer(f, np.int32), y) for _, y, f in found if f])
+    found = sorted((r["doc_id"], r["y"], bytes(r["f"])) for r in rows.toLocalIterator())
+    texts = [(np.frombuffer(zstandard.decompress(f), np.int64), y) for _, y, f in found]
+    return train([(f, y) for f, y in texts if len(f)])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",

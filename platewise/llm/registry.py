@@ -87,7 +87,7 @@ def op9_substring_dedup(spark, sf_dir):
 
 @query
 def op3_token_counts(spark, sf_dir):
-    """Unigram segmentation with the pieces and scores of a 32k vocabulary."""
+    """Unigram segmentation with the pieces of a 32k vocabulary."""
     vocabulary = token_counts.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
 

@@ -6,14 +6,16 @@ gets the smallest document id that it can reach over links.
 Method.  Documents are first reduced to distinct fingerprints, so that a group
 of copies is one row whatever its size.  The 64 bits are cut into
 ``max_distance + 2`` blocks; two fingerprints within the distance agree on at
-least two whole blocks, so each choice of two blocks is a bucket key and no
-link is lost.  A bucket is sorted by Gray rank, which puts fingerprints that
-share bits side by side, and indexed: each node holds the bits that its rows
-share beyond those its parent holds (mask and pattern).  A search adds up the
-differing bits on its way down and drops a node, with all rows below it, as
-soon as the sum exceeds the distance, or when the rows below are already in
-the query's group.  Buckets of more than ``CHUNK`` rows are cut into chunks
-by hash, and each pair of chunks is a cell of its own, so that a hot bucket
+least two whole blocks.  For each choice of two blocks the fingerprints are
+dealt into cells by these blocks' bits, sorted by Gray rank (the chosen blocks
+first), which puts fingerprints that share bits side by side, and indexed:
+each node holds the bits that its rows share beyond those its parent holds
+(mask and pattern).  A search adds up the differing bits on its way down and
+drops a node, with all rows below it, as soon as the sum exceeds the distance
+or a bit of the chosen blocks differs (another choice finds such a pair), or
+when the rows below are already in the query's group.  Rows that agree on
+their chosen blocks with more than ``CHUNK`` others are cut into chunks by
+hash, and each pair of chunks is a cell of its own, so that a hot pattern
 spreads over many tasks; a cell emits a spanning forest of its links, not its
 pairs.  The forest edges are joined to components by alternating
 large-star/small-star steps, each checkpointed.
@@ -33,8 +35,9 @@ from ..session import scratch_dir
 from .text import utf8
 
 BITS = 64
-#: Rows of a bucket that are indexed together at most (on average, as chunks are cut by hash).
-CHUNK = 4096
+#: Rows of a cell on average, and rows with the same chosen blocks that are indexed together at most
+#: (on average, as both are dealt by hash).
+CELL, CHUNK = 2048, 4096
 #: Rows under a leaf node, and nodes under an upper node.
 FAN_OUT = 16
 #: Queries that descend the index together; bounds the search's memory.
@@ -111,7 +114,7 @@ class GrayIndex:
     """
 
     def __init__(self, v: np.ndarray):
-        self.n = len(v)
+        self.n, self.visited = len(v), 0
         stacked, shared_above = [], None
         width = FAN_OUT
         while width < self.n:
@@ -127,9 +130,11 @@ class GrayIndex:
             self.levels.append((first, own, every & own))
             shared_above = shared
 
-    def link(self, v: np.ndarray, side: np.ndarray | None, distance: int) -> np.ndarray:
-        """Group label of each row: rows within ``distance`` are linked; with
-        ``side``, only rows of different sides need to be compared."""
+    def link(self, v: np.ndarray, side: np.ndarray | None, distance: int, must: int = 0) -> np.ndarray:
+        """Group label of each row: rows within ``distance`` that agree on the
+        bits ``must`` are linked; with ``side``, only rows of different sides
+        need to be compared.  ``visited`` counts the nodes looked at."""
+        agree = np.uint64(must)
         labels = np.arange(self.n)
         for at in range(0, self.n, QUERY_BLOCK):
             q = np.arange(at, min(at + QUERY_BLOCK, self.n))
@@ -140,11 +145,13 @@ class GrayIndex:
                     width = hi - lo
                     q, acc = np.repeat(q, width), np.repeat(acc, width)
                     node = np.arange(len(q)) - np.repeat(np.cumsum(width) - width - lo, width)
-                acc = acc + np.bitwise_count((v[q] ^ pattern[node]) & mask[node])
+                self.visited += len(q)
+                differ = (v[q] ^ pattern[node]) & mask[node]
+                acc = acc + np.bitwise_count(differ)
                 last = np.append(first[1:], self.n) - 1
                 low, high = (np.minimum.reduceat(labels, first), np.maximum.reduceat(labels, first))
                 # later rows only, near enough, and not all in the query's group
-                keep = (acc <= distance) & (last[node] > q) & ~(
+                keep = (acc <= distance) & (differ & agree == 0) & (last[node] > q) & ~(
                     (low == high)[node] & (low[node] == labels[q]))
                 q, node, acc = q[keep], node[keep], acc[keep]
                 if not len(q):
@@ -157,30 +164,30 @@ class GrayIndex:
         return labels
 
 
-def _cell_links(cell: np.ndarray, fp: np.ndarray, rep: np.ndarray, side: np.ndarray,
-                cross: np.ndarray, distance: int) -> tuple[list, list]:
-    """Links of whole cells; rows of one cell are adjacent.  Cells no larger
-    than a leaf are one node each and are compared directly, all cells at a
-    time; larger ones get an index."""
+def choices(distance: int) -> list[int]:
+    """The bits of every two of ``distance + 2`` blocks."""
+    blocks = distance + 2
+    at = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    return [sum(1 << b for k in pair for b in range(at[k], at[k + 1])) for pair in combinations(range(blocks), 2)]
+
+
+def gray_order(fp: np.ndarray, must: int) -> np.ndarray:
+    """Rows by Gray rank, the bits ``must`` before the others."""
+    return np.lexsort((gray_rank(fp & ~np.uint64(must)), gray_rank(fp & np.uint64(must))))
+
+
+def cell_links(cell: np.ndarray, must: np.ndarray, fp: np.ndarray, rep: np.ndarray, side: np.ndarray,
+               cross: np.ndarray, distance: int) -> tuple[list, list]:
+    """Links of whole cells, found by descending each one's index; rows of one
+    cell are adjacent."""
     out_u, out_v = [], []
-    starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-    sizes = np.diff(np.append(starts, len(cell)))
-    size_of_row = np.repeat(sizes, sizes)
-    small = np.flatnonzero(size_of_row <= FAN_OUT)
-    for shift in range(1, min(FAN_OUT, len(small))):
-        i, j = small[:-shift], small[shift:]
-        same = cell[i] == cell[j]
-        if not same.any():
-            break
-        i, j = i[same], j[same]
-        near = np.bitwise_count(fp[i] ^ fp[j]) <= distance
-        out_u.append(rep[i[near]])
-        out_v.append(rep[j[near]])
-    for at, n in zip(starts[sizes > FAN_OUT].tolist(), sizes[sizes > FAN_OUT].tolist()):
-        order = np.argsort(gray_rank(fp[at:at + n]), kind="stable") + at
+    starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else cell
+    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)]):
+        bits = int(must[at])
+        order = gray_order(fp[at:end], bits) + at
         v = fp[order]
-        labels = GrayIndex(v).link(v, side[order] if cross[at] else None, distance)
-        moved = np.flatnonzero(labels != np.arange(n))
+        labels = GrayIndex(v).link(v, side[order] if cross[at] else None, distance, bits)
+        moved = np.flatnonzero(labels != np.arange(len(v)))
         out_u.append(rep[order[moved]])
         out_v.append(rep[order[labels[moved]]])
     return out_u, out_v
@@ -189,32 +196,37 @@ def _cell_links(cell: np.ndarray, fp: np.ndarray, rep: np.ndarray, side: np.ndar
 def links(nodes: DataFrame, distance: int) -> DataFrame:
     """Edges (u, v) between the ``rep`` ids of ``nodes`` (fp, rep), enough to
     connect whatever is linked within ``distance``."""
-    blocks = distance + 2
     if not 1 <= distance <= BITS - 2:
         raise ValueError("the distance must be between 1 and 62 bits")
-    edges_at = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    masks = [sum(1 << b for k in pair for b in range(edges_at[k], edges_at[k + 1]))
-             for pair in combinations(range(blocks), 2)]
+    masks = choices(distance)
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
     keyed = nodes.select("fp", "rep", F.explode(F.array(*[
         F.struct(F.lit(c).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits"))
         for c, m in enumerate(signed)])).alias("k")).select("fp", "rep", "k.choice", "k.bits")
-    sizes = (keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-             .withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n"))
+    n_cells = max(1, -(-nodes.count() // CELL))
+    # patterns that many rows have: at most one for CHUNK rows of a choice
+    hot = (keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
+           .select(F.col("choice").alias("c"), F.col("bits").alias("b"),
+                   F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
     cut = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    cells = (keyed.join(sizes, ["choice", "bits"]).withColumn("side", cut)
+    cells = (keyed.join(hot, (F.col("choice") == F.col("c")) & (F.col("bits") == F.col("b")), "left")
+             .withColumn("cell", F.when(F.col("chunks").isNull(), F.pmod(F.xxhash64("bits"), F.lit(n_cells)))
+                         .otherwise(F.col("bits")))
+             .withColumn("hot", F.col("chunks").isNotNull().cast("int"))
+             .withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("side", cut)
              .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
              .withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-             .select("choice", "bits", "lo", "hi", "side", "fp", "rep"))
-    key = ["choice", "bits", "lo", "hi"]
+             .select("choice", "hot", "cell", "lo", "hi", "side", "fp", "rep"))
+    key = ["choice", "hot", "cell", "lo", "hi"]
+    bits_of = np.array(masks, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(cols):
             change = np.zeros(len(cols[0]), bool)
-            for c in cols[:4]:
+            for c in cols[:5]:
                 change[1:] |= c[1:] != c[:-1]
-            u, v = _cell_links(np.cumsum(change), cols[5].view(np.uint64), cols[6], cols[4],
-                               cols[2] != cols[3], distance)
+            u, v = cell_links(np.cumsum(change), bits_of[cols[0]], cols[6].view(np.uint64), cols[7], cols[5],
+                              cols[3] != cols[4], distance)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([*x, np.empty(0, np.int64)])) for x in (u, v)],
                 names=["u", "v"])
@@ -227,7 +239,7 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
             if not len(cols[0]):
                 continue
             last = np.ones(len(cols[0]), bool)
-            for c in cols[:4]:
+            for c in cols[:5]:
                 last &= c == c[-1]
             done = int(np.argmax(last))
             held = [c[done:] for c in cols]

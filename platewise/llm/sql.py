@@ -57,7 +57,9 @@ judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed
   AND NOT 10 * n_symbols > 3 * n_words
-  AND strlen(array_to_string(w, '')) BETWEEN 2 * n_words AND 25 * n_words
+  AND word_chars >= 2 * n_words
+  AND length(regexp_replace(array_to_string(w, ''),
+        '[\\x{{0E00}}-\\x{{0EFF}}\\x{{1000}}-\\x{{109F}}\\x{{1780}}-\\x{{17FF}}\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}]', '', 'g')) <= 25 * n_words
   AND NOT 2 * len(list_filter(w, lambda v: regexp_matches(v, '[A-Z]') AND NOT regexp_matches(v, '[a-z]'))) > n_words
   AND NOT (n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines)
   AND NOT 2 * len(list_filter(w, lambda v: regexp_matches(v, '[A-Za-z]|[^\\x00-\\x7F]'))) < n_words

@@ -5,10 +5,15 @@ a task go into a trie; a node holds the best unigram score of the path to it
 and how many tokens that takes, so pre-tokens with a common prefix share the
 forward pass over it, and a terminal's count is read off.  A document's count
 is the sum over its words.
+
+The scores are log-probabilities.  A vocabulary file of merged pieces has none,
+only the pieces' order; as pieces were merged by falling frequency, their
+probabilities are taken to follow a Zipf-Mandelbrot law of that order.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +24,8 @@ from .text import utf8
 # The mark of a word's start, and the score below the worst
 # piece's at which a character without a piece is taken.
 MARK, UNKNOWN_BELOW = "▁", 10.0
+#: Parameter: the offset of the law's ranks.
+OFFSET = 100
 #: Nodes after which a task's trie starts anew, and words after which its
 #: terminals' counts do; they bound its memory, not its results.
 MAX_NODES, MAX_WORDS = 800_000, 1_000_000
@@ -42,13 +49,23 @@ class Vocabulary:
             node[0] = score
 
     @classmethod
-    def load(cls, model_path: str) -> Vocabulary:
-        """Normal pieces of a SentencePiece model file."""
+    def load(cls, model_path: str, offset: float = OFFSET) -> Vocabulary:
+        """Normal pieces of a SentencePiece model file.  Where the file has
+        merge ranks in place of log-probabilities (scores 0, -1, -2, ...),
+        piece r has probability proportional to 1 / (r + offset).  Pieces
+        outside the order come last: the mark alone; runs of marks, which no
+        word has, are left out."""
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        return cls({p.id_to_piece(i): p.get_score(i) for i in range(p.get_piece_size())
-                    if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))})
+        found = {p.id_to_piece(i): p.get_score(i) for i in range(p.get_piece_size())
+                 if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))}
+        if all(s == round(s) for s in found.values()):
+            ranked = {piece: -s for piece, s in found.items() if s > -len(found) - p.get_piece_size()}
+            ranked.setdefault(MARK, max(ranked.values()) + 1)
+            total = sum(1 / (r + offset) for r in ranked.values())
+            found = {piece: -math.log((r + offset) * total) for piece, r in ranked.items()}
+        return cls(found)
 
 
 class Trie:

@@ -12,7 +12,8 @@ original vectors in double precision.
 
 Equal vectors are indexed once with their smallest ids, and searched once, so
 a vector that a third of all rows share is one row here.  Large lists are cut
-into chunks that are searched by different tasks.
+into chunks and their queries into blocks, and each pair of these is searched
+by a task of its own.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from ..session import scratch_dir
 #: Bounds of the sample that the lists are fitted on.
 SAMPLE_ROWS, SAMPLE_BYTES = 16_384, 64 << 20
 MAX_LISTS = 1024
-#: Vectors of a list that one task searches at a time, on average.
-CHUNK = 8192
+#: Vectors of a list, and queries, that one task compares at most (on average, as both are dealt by hash).
+CHUNK, QUERY_CHUNK = 8192, 8192
 #: Dimensions read between tests, and how many deviations a test allows.
 BLOCK, DEVIATIONS = 16, 2.1
 #: Rows and queries of a list that are compared at a time, and sample rows that give a query its first bound.
@@ -137,21 +138,26 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     """(query_id, rank, vec_id, score): the k nearest others of every row whose
     id is divisible by ``every``, by cosine, ties to the smaller id.
 
-    Invalid vectors (see ``valid_vectors``) take no part; of several lengths
-    only the most frequent one (the longest of equals) does.  Rows that repeat
-    an id count once for each distinct vector, and never find their own id.
+    Invalid vectors (see ``valid_vectors``) take no part.  Vectors of different
+    lengths have no cosine: each length is searched on its own.  Rows that
+    repeat an id count once for each distinct vector, and never find their own
+    id; an id with vectors of several lengths has neighbours in each.
     A query probes ``probe_share`` of the lists, at least ``min_probes``; the
     default suits vectors without clusters, whose neighbours lie in many lists.
     """
     spark = vectors.sparkSession
     scratch_dir(spark)
     rows = valid_vectors(vectors, id_col, vector_col)
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    dim, n = sizes["dim"], sizes["count"]
-    rows = rows.where(F.size("v") == dim)
+    sizes = {r["dim"]: r["count"] for r in rows.groupBy(F.size("v").alias("dim")).count().collect()}  # a row a length
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim, n in sorted(sizes.items()):
+        out = out.unionByName(_search_length(rows.where(F.size("v") == dim), dim, n, k, every, probe_share, min_probes))
+    return out
+
+
+def _search_length(rows: DataFrame, dim: int, n: int, k: int, every: int, probe_share: float, min_probes: int
+                   ) -> DataFrame:
+    """``search`` among ``n`` valid vectors of one length."""
     more = k + 1  # a query's own id may be among them
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +216,12 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     # one row for each list
     chunks = {r["list"]: -(-r["count"] // CHUNK) for r in indexed.groupBy("list").count().collect()}
     parts = F.array(*[F.lit(chunks.get(c, 1)) for c in range(len(centres))])[F.col("list")]
-    indexed = indexed.withColumn("chunk", F.pmod(F.xxhash64("v"), parts).cast("int"))
+    blocks = max(1, -(-distinct.where("asks is not null").count() // QUERY_CHUNK))
+    indexed = (indexed.withColumn("chunk", F.pmod(F.xxhash64("v"), parts).cast("int"))
+               .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
     asked = (distinct.where("asks is not null").select("v", "asks")
              .mapInArrow(probe, "list int, q binary, asks long, far double")
+             .withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
              .withColumn("chunk", F.explode(F.sequence(F.lit(0), parts - 1))))
 
     def scan(base: pa.Table, queries: pa.Table) -> pa.Table:
@@ -237,7 +246,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
         return pa.table({"asks": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()),
                          "score": pa.array(cols[2], pa.float64())})
 
-    found = (indexed.groupBy("list", "chunk").cogroup(asked.groupBy("list", "chunk"))
+    found = (indexed.groupBy("list", "chunk", "block").cogroup(asked.groupBy("list", "chunk", "block"))
              .applyInArrow(scan, "asks long, vec_id long, score double"))
     # at most (k + 1) * probes * chunks rows for each distinct query vector
     near = found.groupBy("asks").agg(F.slice(F.array_distinct(F.sort_array(F.collect_list(

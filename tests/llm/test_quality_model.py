@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from platewise.llm import quality_model as Q
 from platewise.llm import registry
@@ -66,3 +67,31 @@ def test_features_cover_the_whole_text():
     assert list(Q.features(None)) == list(Q.features(b" \n")) == []
     one = [len(f) for f in Q.features(b"ab")]  # words, repeats, then 2, 3 and 4 bytes of " ab "
     assert one == [1, 0, 3, 2, 1]
+
+
+def test_repeated_ids_and_long_texts_in_training(spark):
+    """An id counts once, with one of its texts; a long text counts whole."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    docs = [(i, ("good fine " if i % 2 else "bad poor ") * 40, "en", "a", 1) for i in ids]
+    docs += [(ids[0], f"copy {k}", "en", "a", 1) for k in range(500)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    seen = []
+    kept, Q.train = Q.train, lambda rows, **kw: seen.append(rows) or kept(rows[:4])
+    try:
+        Q.fit(table(spark, docs), labels, train_rows=100)
+    finally:
+        Q.train = kept
+    assert len(seen[0]) <= 100
+    long = Q.counted(" ".join(f"w{i}" for i in range(30_000)).encode())
+    assert (long & 0xFFFFFFFF).sum() == sum(map(len, Q.features(
+        " ".join(f"w{i}" for i in range(30_000)).encode())))
+
+
+def test_scores_are_a_plain_mean_of_embeddings():
+    """Features counted one by one, averaged and put through the softmax."""
+    rows = [(Q.counted(t), y) for t, y in [(b"a good text", 1), (b"bad bad words", 0)] * 20]
+    model = Q.train(rows, min_steps=200)
+    for text in (b"a good word", b"", b"bad bad bad", "\u00e9 x".encode()):
+        total = [float(model.weights[f]) for part in Q.features(text) for f in part.tolist()]
+        logit = model.bias + (sum(total) / len(total) if total else 0.0)
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-6)

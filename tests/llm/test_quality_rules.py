@@ -83,3 +83,17 @@ def test_rules_reject_what_they_name():
 def test_empty_table_and_clashing_columns(spark):
     assert Q.judge(table(spark, [])).collect() == []
     check_clashes(lambda d: Q.judge(d, order=list(Q.RULES)), table(spark))
+
+
+def test_scripts_without_spaces_and_wide_letters(spark):
+    chinese = "机器学习是人工智能的一个分支，它研究如何让计算机从数据中学习规律。" * 3
+    docs = [(i, " ".join(f"{w}{k}" for k in range(12)), "x", "a", 1) for i, w in enumerate(
+        [chinese, "żółćęśąźń" * 2, "х" * 20, "х" * 26, "x" * 26])]
+    got = {r.doc_id: r.rejected_by for r in Q.judge(table(spark, docs)).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: "word_length", 4: "word_length"}
+
+
+def test_the_sample_is_of_rows(spark):
+    hot = table(spark, [(7, f"text number {i} with some words", "en", "a", 1) for i in range(300)])
+    found = Q.plan_order(hot, sample_rows=50)
+    assert all(secs < 1.0 for _, _, secs in found)  # measured, not the default

@@ -95,6 +95,31 @@ def test_index_prunes_and_links_like_all_pairs():
     assert labels.tolist() == want
 
 
+def test_links_of_the_driver_s_documents_come_from_the_index():
+    """Every link of 10,000 documents is found by descending the indexes of
+    all choices of blocks, which look at few of the pairs."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    fp = np.array(sorted({simhash.fingerprint((t or "").encode(), 4) for t in texts}), np.uint64)
+    rows, seen = np.arange(len(fp)), 0
+    labels = np.arange(len(fp))
+    for must in simhash.choices(4):
+        order = simhash.gray_order(fp, must)
+        index = simhash.GrayIndex(fp[order])
+        found = index.link(fp[order], None, 4, must)
+        seen += index.visited
+        simhash._join_groups(labels, order, order[found])
+    want, pairs = np.arange(len(fp)), 0
+    for at in range(0, len(fp), 500):
+        a, b = np.nonzero(np.bitwise_count(fp[at:at + 500, None] ^ fp[None]) <= 4)
+        keep = rows[at + a] < b
+        pairs += keep.sum()
+        simhash._join_groups(want, at + a[keep], b[keep])
+    assert (labels == want).all() and pairs > 0
+    assert seen < len(fp) ** 2 / 2 / 2
+
+
 def test_gray_rank_inverts_the_gray_code():
     n = np.arange(1 << 12, dtype=np.uint64)
     assert (simhash.gray_rank(n ^ (n >> np.uint64(1))) == n).all()

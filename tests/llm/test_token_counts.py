@@ -1,3 +1,5 @@
+import math
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -65,6 +67,9 @@ def test_agrees_with_the_unigram_decoder(spark, vocabulary):
     m.ParseFromString(open(PATH, "rb").read())
     m.trainer_spec.model_type = 1
     m.normalizer_spec.remove_extra_whitespaces = True
+    for piece in m.pieces:
+        if piece.piece in vocabulary.scores:
+            piece.score = vocabulary.scores[piece.piece]
     p = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
     texts = [r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").limit(60).collect()]
     seen = sorted({w for t in texts for w in words(t)})
@@ -73,6 +78,17 @@ def test_agrees_with_the_unigram_decoder(spark, vocabulary):
     assert sum(a == b for a, b in zip(ours, theirs)) >= 0.99 * len(seen)
 
 
+def test_scores_are_probabilities_near_the_merged_pieces(spark, vocabulary):
+    """They add up to one; counts are near those of the vocabulary's own encoder."""
+    assert sum(math.exp(x) for x in vocabulary.scores.values()) == pytest.approx(1)
+    p = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [(r.text or "") for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
+    got = {r.doc_id: r.n_tokens for r in T.count_tokens(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id long, text string"), vocabulary).collect()}
+    own = {i: len(p.encode(" ".join(words(t)))) for i, t in enumerate(texts)}
+    assert sum(abs(got[i] - own[i]) for i in own) < 0.03 * sum(own.values())
+
+
 def test_empty_table_and_clashing_columns(spark, vocabulary):
     assert T.count_tokens(table(spark, []), vocabulary).collect() == []
     check_clashes(lambda d: T.count_tokens(d, vocabulary), table(spark))

@@ -60,6 +60,22 @@ def test_ties_copies_and_invalid_vectors(spark, monkeypatch, chunk):
     assert found(V.search(extra)) == got
 
 
+def test_each_length_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(V, "QUERY_CHUNK", 1)  # queries in blocks
+    rng = np.random.default_rng(4)
+    long = [(i, rng.normal(size=8).tolist(), 0) for i in range(130)]
+    short = [(i, rng.normal(size=4).tolist(), 0) for i in [*range(200, 260), 50]]
+    want = plain(long)
+    for q, near in plain(short).items():
+        want[q] = want.get(q, []) + near
+    got = {}
+    for r in V.search(spark.createDataFrame(long + short, SCHEMA)).collect():
+        got.setdefault(r.query_id, set()).add((r["rank"], r.vec_id, r.score))
+    assert got.keys() == want.keys() == {0, 50, 100, 200, 250}
+    for q, near in want.items():
+        assert got[q] == {(k % 5 + 1, *n) for k, n in enumerate(near)}
+
+
 def test_few_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (7, [-1e300, 1e300], 0)], SCHEMA)
     got = found(V.search(df))
