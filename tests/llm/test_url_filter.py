@@ -50,9 +50,36 @@ def test_sample(spark):
 
 
 def test_rules_are_filed_under_their_rarest_token():
-    index = U.pattern_index(U.PATTERN_RULES, {"casino": 9, "win": 2, "ads": 5, "track": 1})
-    assert [n for n, _ in index["win"]] == ["gambling"] and [n for n, _ in index["track"]] == ["ad_host"]
-    assert {n for n, _ in index[None]} == {"ad_server", "cart", "archive_file"}
+    index = U.pattern_index(U.PATTERN_RULES, {"casino": 9, "win": 2, "ads": 5, "track": 1, "ad": 3, "php": 1, "add": 7})
+    filed = {t: {n for n, _ in rules} for t, rules in index.items()}
+    assert filed == {"win": {"gambling"}, "track": {"ad_host"}, "cheap": {"pharmacy"},
+                     "ads": {"ad_server"}, "ad": {"ad_server"}, "login": {"login"}, "cart": {"cart"},
+                     "checkout": {"cart"}, "bet": {"betting"}, "bets": {"betting"},
+                     "zip": {"archive_file"}, "rar": {"archive_file"}, "exe": {"archive_file"},
+                     "iso": {"archive_file"}}
+    assert None not in index
+
+
+def test_tokens_are_in_every_match():
+    tokens = re.compile(U.TOKEN).findall
+    for pattern, texts in {
+            r"a(b|cd)?e\d*\.x": ["abe12.x", "acde.xy", "ae7.x"], r"/x[0-9]y(?=z)": ["/x1yz"], r"(foo|ba[rz])+[./]": ["foobar/"],
+            r"[.-]foo[.-]": ["q-foo.z"], r"foo": ["afoob"], r"://foo\.(bar|b[ae]z)(/|$)": ["://foo.baz", "://foo.bar/"],
+            r"(?i)/FOO/": ["/foo/"], r"/a{2,3}/": ["/aa/"], r"/é/x/": ["/é/x/"], r"\bfoo\b": ["a foo b"], r"(a|b|c){3}/d/": ["abc/d/"],
+            r"^foo-?9$": ["foo9", "foo-9"], r"x.y/[^a]/z": ["xay/b/z"]}.items():
+        need = U.required_tokens(pattern)
+        for t in texts:
+            assert re.search(pattern, t) and any(w <= set(tokens(t)) for w in need), (pattern, t, need)
+
+
+def test_ten_thousand_rules(spark):
+    rules = tuple(U.PatternRule(f"r{i}", rf"://([^/?#]*\.)?site{i}x\.(example|test)[/:]") for i in range(10_000))
+    index = U.pattern_index(rules, {})
+    assert None not in index
+    urls = [f"http://a.site{i}x.test/p" for i in range(0, 20_000, 501)] + ["http://site7x.org/", "http://xsite7x.test/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1)
+    got = {r.page_id: r.pattern for r in U.judge(df, host_rules=(), pattern_rules=rules).collect()}
+    assert got == {i: f"r{n}" if (n := 501 * i) < 10_000 and i < 40 else None for i in range(len(urls))}
 
 
 def test_empty_table_and_clashing_columns(spark):
