@@ -11,7 +11,7 @@ Parquet has no MERGE, so the merge is a DataFrame plan:
   row, or the expired current row plus a new version, or a new key.  Closed
   history is never shuffled; it is unioned back as is.
 * ``scd2_from_log`` — rebuild the whole version history from a change log
-  with neighbour windows split by (key, day), see ``sequence``.
+  by the change points of one sort, see ``changes``.
 
 Changes are detected with a null-safe comparison of the tracked columns as one
 struct, so a change to or from null is a change.  One batch timestamp is used
@@ -25,8 +25,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
+from .changes import change_points
 from .keys import assign_keys
-from .sequence import with_neighbor
 
 SCD_COLS = ["effective_from", "effective_to", "is_current"]
 
@@ -151,29 +151,21 @@ def scd2_merge(dim: DataFrame | None, source: DataFrame, spec: Scd2Spec, batch_t
 
 
 def scd2_from_log(log: DataFrame, spec: Scd2Spec, event_time: str, tie: list[str],
-                  load_ts: str | None = None, bucket_unit: str = "DAY") -> DataFrame:
+                  load_ts: str | None = None) -> DataFrame:
     """Build the full version history from a change log.
 
     A row opens a version when its tracked columns differ (null-safe) from the
     previous log row of the key; repeats of the same values are not versions.
     ``effective_to`` is the next version's ``effective_from``.  Keys follow
-    (key, effective_from, tie) order.
+    (key, effective_from, tie) order: they come with the change points, from
+    the one sort of the log (``changes``).
     """
-    order = [event_time, *tie]
-    base = log.select(spec.key, *spec.attrs, *[c for c in order if c not in spec.attrs])
-    bucket = F.date_trunc(bucket_unit, F.col(event_time))
-    tracked = F.struct(*[F.col(a) for a in spec.tracked])
-    prev = with_neighbor(base, [spec.key], order, tracked, "_prev", bucket, "prev")
-    opens = prev.where(F.col("_prev").isNull() | ~tracked.eqNullSafe(F.col("_prev")))
-    versions = with_neighbor(opens, [spec.key], order, F.col(event_time), "_next",
-                             bucket, "next")
+    base = log.select(*dict.fromkeys([spec.key, *spec.attrs, event_time, *tie]))
+    points = change_points(base, spec.key, event_time, tie, spec.tracked)
     created = F.lit(load_ts).cast("timestamp_ntz") if load_ts else F.col(event_time)
-    out = versions.select(
-        spec.key, *spec.attrs, *[c for c in tie if c not in spec.attrs],
+    return points.select(
+        F.col("position").alias(spec.sk), spec.key, *spec.attrs,
         F.col(event_time).alias("effective_from"),
-        F.col("_next").alias("effective_to"),
-        F.col("_next").isNull().alias("is_current"),
-        created.alias("dw_created_at"))
-    keyed = assign_keys(out, spec.sk, [spec.key, "effective_from",
-                                       *[c for c in tie if c not in spec.attrs]])
-    return keyed.select(*spec.columns)
+        F.col("next_time").alias("effective_to"),
+        F.col("next_time").isNull().alias("is_current"),
+        created.alias("dw_created_at")).select(*spec.columns)
