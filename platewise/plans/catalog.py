@@ -420,7 +420,7 @@ def q_csv_quarantine(spark, sf_dir):
     text = rows.select(*[F.col(c).cast("string").alias(c) for c in src.columns],
                        "o_orderpriority")
     text = text.withColumn("tips", F.when(F.col("updated_status") == "Preparing",
-                                          F.lit("n/a")).otherwise(F.col("tips")))
+                                          F.lit("later")).otherwise(F.col("tips")))
     extra = (F.col("updated_status") == "Delivered") & (F.col("o_orderpriority") == "1-URGENT")
     text = text.withColumn("order_total", F.when(
         extra, F.concat(F.coalesce(F.col("order_total"), F.lit("")), F.lit(",x")))
@@ -435,6 +435,32 @@ def q_csv_quarantine(spark, sf_dir):
     return good.unionByName(bad)
 
 
+@query("csv_null_markers")
+def q_csv_null_markers(spark, sf_dir):
+    """Order items whose quantities and products are missing in many
+    spellings, and whose prices are unreadable now and then: each rejected
+    cell is listed with its column, value and reason."""
+    path = scratch_path(spark, "markers-csv")
+    n = F.regexp_replace("id", "-", "").cast("bigint")
+    markers = F.array(*[F.lit(m) for m in ("NA", "N/A", "null", "None", "#N/A", "NaN", "NULL", " ", "n/a", "<NA>")])
+    items = testdata.order_items(tables(spark, sf_dir)).select(
+        "id", "order_id", F.when(n % 3 == 0, F.get(markers, (n / 3 % 10).cast("int"))).otherwise(F.col("product_id"))
+        .alias("product_id"),
+        F.when(n % 4 == 0, F.get(markers, (n / 4 % 10).cast("int"))).when(n % 25 == 1, F.lit("two"))
+        .otherwise(F.col("item_quantity").cast("string")).alias("item_quantity"),
+        F.when(n % 50 == 1, F.lit("1,5")).otherwise(F.col("price").cast("string")).alias("price"))
+    csvsrc.write_extract(items, path)
+    read = csvsrc.read_source(spark, "order_items", path, "order_items_csv", DEFAULT_BATCH_TS)
+    none = F.lit(None).cast("string")
+    good = read.good.select("id", F.col("product_id").alias("product"), F.col("item_quantity").cast("bigint")
+                            .alias("quantity"), none.alias("rejected_column"), none.alias("rejected_value"),
+                            none.alias("reason"))
+    cells = read.quarantine.select("id", F.explode("rejected").alias("r"))
+    return good.unionByName(cells.select(
+        "id", none.alias("product"), F.lit(None).cast("bigint").alias("quantity"),
+        F.col("r.column").alias("rejected_column"), F.col("r.value").alias("rejected_value"), F.col("r.reason")))
+
+
 @query("multi_source_union")
 def q_multi_source_union(spark, sf_dir):
     """Restaurants arriving in two feeds with different layouts."""

@@ -630,6 +630,16 @@ SELECT 'rating', f.rating_id, o.order_id, CAST(f.overall_rating AS DOUBLE), f.de
 FROM f_rating f LEFT JOIN f_order o ON f.order_sk = o.order_sk""",
                              "f_order_item", "f_delivery", "f_rating", "f_order")
 
+Q["csv_null_markers"] = sql("""
+WITH i AS (SELECT *, CAST(replace(order_item_id, '-', '') AS BIGINT) AS n FROM c_order_items),
+bad AS (SELECT order_item_id, 'item_quantity' AS c, 'two' AS v, 'not a int' AS why FROM i WHERE n % 25 = 1 AND n % 4 <> 0
+        UNION ALL SELECT order_item_id, 'price', '1,5', 'not a double' FROM i WHERE n % 50 = 1)
+SELECT order_item_id AS id, CASE WHEN n % 3 = 0 THEN NULL ELSE product_id END AS product,
+       CASE WHEN n % 4 = 0 THEN NULL ELSE CAST(quantity AS BIGINT) END AS quantity,
+       CAST(NULL AS VARCHAR) AS rejected_column, CAST(NULL AS VARCHAR) AS rejected_value, CAST(NULL AS VARCHAR) AS reason
+FROM i WHERE order_item_id NOT IN (SELECT order_item_id FROM bad)
+UNION ALL SELECT order_item_id, NULL, NULL, c, v, why FROM bad""", "c_order_items")
+
 # keys: orders before 1998 first, each extract in the order of its ids; a changed order keeps its key
 cte("f_changed", ["f_order", "c_orders", "d_date"], """
 SELECT row_number() OVER (ORDER BY d.date_id >= DATE '1998-01-01', f.order_id) AS order_sk, f.order_id, f.customer_sk,

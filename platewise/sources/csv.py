@@ -1,10 +1,13 @@
 """CSV extracts → stage frames.
 
 * declared schema per source, never inferred (S1, S9);
-* header row, comma, optional double-quote enclosure, ``NULL`` as the null
-  marker (S2, S3);
-* PERMISSIVE parsing with a corrupt-record column: rows with a bad value or
-  extra fields go to a quarantine frame instead of failing the load (S4);
+* header row, comma, optional double-quote enclosure (S2);
+* every field is read as text; the markers that stand for a missing value
+  (``NULL_MARKERS``, or a source's own set) become null in every column, then
+  each text is cast to its declared type (S3);
+* rows with a value that can't be cast, or with extra or missing fields, go to
+  a quarantine frame instead of failing the load, with the column, the value
+  and the reason of each rejected cell (S4);
 * provenance columns: source system, file name, load time (S5);
 * every file's header is checked against the declared layout before reading (Q4):
   unknown or missing required columns fail the load; the optional extension
@@ -14,6 +17,7 @@
 from __future__ import annotations
 
 import csv
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -33,12 +37,17 @@ OPTIONAL = {
     "restaurants": {"rating"},
 }
 
+# What the usual data-frame readers take for a missing value, beside blank text.
+NULL_MARKERS = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+# A source's own set, where it differs.
+SOURCE_NULLS: dict[str, tuple[str, ...]] = {}
+
 CSV_OPTIONS = {
     "header": "true",
     "sep": ",",
     "quote": '"',
     "escape": '"',
-    "nullValue": "NULL",
     "mode": "PERMISSIVE",
     "columnNameOfCorruptRecord": CORRUPT,
 }
@@ -47,20 +56,34 @@ CSV_OPTIONS = {
 @dataclass
 class SourceRead:
     good: DataFrame         # stage layout: source columns + provenance
-    quarantine: DataFrame   # parsed columns, raw_record, source_file, provenance
+    quarantine: DataFrame   # columns as far as they are valid, raw_record, rejected cells, source_file, provenance
 
 
 def headers_of(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
     """The headers that occur among the extract's files, with the files of
-    each (one row for each file comes to the driver)."""
-    at = F.col("_metadata.file_block_start")
-    lines = (spark.read.text(path).where(at == 0)  # a file's first split
-             .select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"), "value"))
-    first = lines.groupBy("file").agg(F.min_by("value", "i").alias("header")).orderBy("file").collect()
+    each.  A file is opened, its first line read, and closed again; nothing
+    else of it is read, whatever its size."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first_line(file: str) -> str | None:
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        stream = p.getFileSystem(conf).open(p)
+        try:
+            codec = codecs.getCodec(p)
+            text = stream if codec is None else codec.createInputStream(stream)
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8"), 4096).readLine()
+        finally:
+            stream.close()
+
+    files = sorted(spark.read.text(path).inputFiles())  # listed, not read
+    with ThreadPoolExecutor(16) as pool:
+        lines = list(pool.map(first_line, files))
     found: dict[tuple[str, ...], list[str]] = {}
-    for r in first:
-        names = next(csv.reader([r["header"].removeprefix("\ufeff")]), [])
-        found.setdefault(tuple(n.strip() for n in names), []).append(unquote(r["file"]))
+    for file, line in zip(files, lines):
+        if line is not None:  # an empty file has no rows
+            names = next(csv.reader([line.removeprefix("\ufeff")]), [])
+            found.setdefault(tuple(n.strip() for n in names), []).append(unquote(file))
     return found
 
 
@@ -77,18 +100,29 @@ def check_header(name: str, header: list[str]) -> list[str]:
     return header
 
 
-def _nulls(df: DataFrame) -> DataFrame:
-    """Markers that the extracts' tools write for a missing value: blank and
-    ``NaN`` texts, and the number NaN, are null."""
-    def clean(f):
-        c = F.col(f.name)
-        if isinstance(f.dataType, StringType) and f.name != CORRUPT:
-            return F.when(~F.trim(c).isin("", "NaN", "nan"), c).alias(f.name)
+def typed(texts: DataFrame, fields: list[StructField], nulls: tuple[str, ...]) -> DataFrame:
+    """Text columns as their declared types: null markers are null, and so are
+    values that can't be cast, which are listed in ``rejected``."""
+    cells, out = [], []
+    for f in fields:
+        text = F.when(~F.trim(f.name).isin("", *nulls), F.col(f.name))
+        value = text if isinstance(f.dataType, StringType) else text.try_cast(f.dataType)
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            return F.when(~F.isnan(c), c).alias(f.name)
-        return c
-
-    return df.select(*[clean(f) for f in df.schema.fields])
+            value = F.when(~F.isnan(value), value)
+        out.append(value.alias(f.name))
+        if not isinstance(f.dataType, StringType):
+            kind = f.dataType.simpleString()
+            cells.append(F.when(text.isNotNull() & value.isNull(), F.struct(
+                F.lit(f.name).alias("column"), text.alias("value"), F.lit(f"not a {kind}").alias("reason"))))
+    fields_of = F.when(F.col(CORRUPT).isNotNull(), F.struct(
+        F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value"),
+        F.lit("wrong number of fields").alias("reason")))
+    names = [f.name for f in fields]
+    rest = [c for c in texts.columns if c not in {*names, CORRUPT}]
+    rejected = F.array_compact(F.array(fields_of, *cells))
+    line = F.to_csv(F.struct(*names), {"quote": '"', "escape": '"'})  # the record, as its fields were read
+    return texts.select(*out, *rest, rejected.alias("rejected"),
+                        F.coalesce(CORRUPT, F.when(F.size(rejected) > 0, line)).alias(CORRUPT))
 
 
 def read_source(spark: SparkSession, name: str, path: str, source_system: str,
@@ -102,25 +136,24 @@ def read_source(spark: SparkSession, name: str, path: str, source_system: str,
     headers = headers_of(spark, path)
     for header, files in headers.items():
         cols = check_header(name, list(header))
-        schema = StructType([full[c] for c in cols] + [StructField(CORRUPT, StringType(), True)])
+        schema = StructType([StructField(c, StringType()) for c in cols] + [StructField(CORRUPT, StringType())])
         part = (spark.read.schema(schema).options(**CSV_OPTIONS)
                 .option("multiLine", str(multiline).lower()).csv(path if len(headers) == 1 else files)
                 .withColumn("source_file", F.col("_metadata.file_name")))
+        part = typed(part, [full[c] for c in cols], SOURCE_NULLS.get(name, NULL_MARKERS))
         raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
     if raw is None:
         raise ValueError(f"{name}: no file with a header under {path}")
     # Spark parses only the columns a query reads, so a bad value in an
     # unread column would pass as good.  Parse every column once and keep
     # the result as a Parquet table (the stage copy of the extract).
-    raw = materialize(_nulls(raw), f"stage-{name}")
+    raw = materialize(raw, f"stage-{name}")
     stamp = {"source_system": F.lit(source_system),
              "load_timestamp": F.lit(batch_ts).cast("timestamp_ntz")}
-    good = conform(raw.where(F.col(CORRUPT).isNull()).withColumns(stamp),
+    good = conform(raw.where(F.size("rejected") == 0).withColumns(stamp),
                    SOURCE_DDL[name] + ", source_system string, source_file string, "
                    "load_timestamp timestamp_ntz")
-    # the partly parsed columns stay in the quarantine frame: Spark refuses a
-    # raw-file query that reads the corrupt-record column alone
-    bad = (raw.where(F.col(CORRUPT).isNotNull())
+    bad = (raw.where(F.size("rejected") > 0)
            .withColumnRenamed(CORRUPT, "raw_record").withColumns(stamp))
     return SourceRead(good, bad)
 

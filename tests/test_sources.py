@@ -73,3 +73,28 @@ def test_second_restaurant_feed_union(spark):
     u = csvsrc.union_restaurant_feeds(main, second)
     got = sorted((r["loc_number"], r["loc_name"], r["source_system"]) for r in u.collect())
     assert got == [("1", "A", "restaurants_csv"), ("2", "B", "feed2_csv")]
+
+
+def test_only_first_lines_are_read_for_headers(spark, tmpdir_path):
+    import gzip
+
+    for i, opener in enumerate([open, gzip.open]):
+        with opener(os.path.join(tmpdir_path, f"f{i}.csv" + (".gz" if i else "")), "wt") as f:
+            f.write("\ufeffid, price\n" + "1,2\n" * 100_000)
+    open(os.path.join(tmpdir_path, "empty.csv"), "w").close()
+    found = csvsrc.headers_of(spark, tmpdir_path)
+    assert list(found) == [("id", "price")] and len(found["id", "price"]) == 2
+
+
+def test_null_markers_and_reasons(spark, tmpdir_path):
+    with open(os.path.join(tmpdir_path, "i.csv"), "w") as f:
+        f.write("id,order_id,product_id,item_quantity,price\n")
+        f.writelines(f"{i},{m},{m},{m},{m}\n" for i, m in enumerate(csvsrc.NULL_MARKERS))
+        f.write('a,b,c,many,"1,5"\nb,b,c,3,4,5\nc,Nancy,NAN,3,1.5\n')
+    r = csvsrc.read_source(spark, "order_items", tmpdir_path, "s", "2025-01-01 00:00:00")
+    good = {x.id: (x.order_id, x.product_id, x.item_quantity, x.price) for x in r.good.collect()}
+    assert good.pop("c") == ("Nancy", "NAN", 3, 1.5)
+    assert len(good) == len(csvsrc.NULL_MARKERS) and set(good.values()) == {(None,) * 4}
+    bad = {x.id: (x.raw_record, [tuple(c) for c in x.rejected]) for x in r.quarantine.collect()}
+    assert bad["a"] == ('a,b,c,many,"1,5"', [("item_quantity", "many", "not a int"), ("price", "1,5", "not a double")])
+    assert bad["b"] == ("b,b,c,3,4,5", [(None, None, "wrong number of fields")])
