@@ -776,7 +776,7 @@ def q_dim_product(spark, sf_dir):
 def q_dim_promotion(spark, sf_dir):
     return star(spark, sf_dir).dim("promotion").select(
         "promotion_sk", "promotion_id", "restaurant_sk", "promotion_name", "description", "discount_type",
-        "discount_value", "start_date", "end_date", "min_order_value", "is_active", "is_current")
+        "discount_value", "start_date", "end_date", "min_order_value", "max_discount", "is_active", "is_current")
 
 
 # ------------------------------------------- the stored warehouse, over time ---

@@ -125,7 +125,10 @@ SELECT substr(o_orderpriority, 1, 1) AS promotion_id, o_orderpriority AS promoti
        CAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 5 AS DOUBLE) AS discount_value,
        CAST(min(o_orderdate) AS DATE) AS start_date, CAST(max(o_orderdate) AS DATE) AS end_date,
        CAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 10 AS DOUBLE) AS min_order_value,
-       CAST(NULL AS DOUBLE) AS max_discount, CAST(NULL AS VARCHAR) AS restaurant_id,
+       CAST(CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) < 4
+                 THEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) * 20 END AS DOUBLE) AS max_discount,
+       CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) % 2 = 1
+            THEN substr(o_orderpriority, 1, 1) END AS restaurant_id,
        substr(o_orderpriority, 1, 1) <> '5' AS is_active
 FROM orders GROUP BY o_orderpriority""")
 
@@ -703,7 +706,8 @@ SELECT product_sk, product_id, restaurant_sk, product_name, description, categor
        is_vegetarian, is_vegan, is_gluten_free, is_current FROM d_product""", "d_product")
 Q["dim_promotion"] = sql("""
 SELECT promotion_sk, promotion_id, restaurant_sk, promotion_name, description, discount_type,
-       discount_value, start_date, end_date, min_order_value, is_active, is_current FROM d_promotion""",
+       discount_value, start_date, end_date, min_order_value, max_discount, is_active, is_current
+FROM d_promotion""",
                          "d_promotion")
 
 

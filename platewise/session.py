@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -52,15 +53,19 @@ def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables: the session's
     ``spark.checkpoint.dir``.
 
-    Where it is unset a folder of our own is used, which is right for one
-    machine (tests, laptops) only: on a cluster set it to shared storage, a
-    local folder would not survive the loss of an executor.
+    Where it is unset a folder of our own is used on one machine (tests,
+    laptops).  On a cluster that is an error: a local folder is seen by one
+    machine only and does not survive the loss of an executor.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
-    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="platewise-ckpt-")
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        d = tempfile.mkdtemp(prefix="platewise-ckpt-")
     sc.setCheckpointDir(d)
     # setCheckpointDir adds a per-application sub-folder; report that one.
     return sc.getCheckpointDir() or d

@@ -128,6 +128,8 @@ def promotions(t: Tables) -> DataFrame:
         F.to_date("_lo").alias("start_date"),
         F.to_date("_hi").alias("end_date"),
         (n * 10).cast("double").alias("min_order_value"),
+        F.when(n < 4, n * 20).cast("double").alias("max_discount"),
+        F.when(n % 2 == 1, _s(n)).alias("restaurant_id"),
         F.when(pid == "5", 0).otherwise(1).alias("is_active"))
     return conform(df, SOURCE_DDL["promotions"])
 
