@@ -109,15 +109,15 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
     Windows are told apart by 64-bit hashes.
     """
     dealt, n_buckets = blocks_of(docs, id_col, text_col)
-    width = (1 << 64) // n_buckets + 1
+    width = min((1 << 64) // n_buckets + 1, (1 << 64) - 1)
 
     def windows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         b = Block(table, window)
         known = b.smallest != NO_DOC
         h, doc = b.h[known], b.smallest[known]
-        cuts = np.searchsorted(h, np.array([width * k for k in range(1, n_buckets)], np.uint64))
-        bounds = [0, *cuts.tolist(), len(h)]
-        rows = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if lo < hi]
+        # the buckets that the block has windows for; h is sorted
+        which, first = np.unique(h // np.uint64(width), return_index=True)
+        rows = list(zip(which.tolist(), first.tolist(), [*first[1:].tolist(), len(h)]))
         return pa.table({"bucket": pa.array([k for k, *_ in rows], pa.int64()),
                          "sender": pa.array([key[0].as_py()] * len(rows), pa.int64()),
                          "data": pa.array([_pack(h[lo:hi], doc[lo:hi]) for _, lo, hi in rows], pa.binary())})
