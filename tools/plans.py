@@ -25,13 +25,14 @@ sys.path.insert(0, ROOT)
 def summarise(plan: str) -> tuple[str, list[str]]:
     ops = Counter()
     for line in plan.splitlines():
-        m = re.match(r"^[\s:+\-|]*(\w+)", line)
+        m = re.match(r"^[\s:+\-|]*(?:\*\(\d+\)\s*)?(\w+)", line)
         if not m:
             continue
         op = m.group(1)
         if op in ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin",
                   "BroadcastNestedLoopJoin", "CartesianProduct", "Window", "Expand",
-                  "TakeOrderedAndProject", "BroadcastExchange"):
+                  "TakeOrderedAndProject", "BroadcastExchange", "HashAggregate", "SortAggregate",
+                  "ObjectHashAggregate", "Sort", "Generate", "Project", "Filter", "MapInArrow"):
             ops[op] += 1
         if op == "Exchange" and "BroadcastExchange" not in line:
             ops["Exchange"] += 1
@@ -55,7 +56,7 @@ def main() -> None:
                           extra={"spark.sql.maxMetadataStringLength": "4000"})
     lazy_star = catalog.star
     catalog.star = lambda s, d: lazy_star(s, d, materialize=False)
-    many_jobs = ("full_load", "load_", "incremental_", "scd2_merge_null_change")
+    many_jobs = ("full_load", "load_", "incremental_", "scd2_merge_null_change", "compact_", "stored_")
     print(f"# Physical plans ({os.path.basename(sf_dir)})\n")
     print("Generated by `tools/plans.py`; AQE may still re-plan joins at runtime.\n")
     for name, q in catalog.QUERIES.items():
