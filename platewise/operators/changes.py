@@ -30,7 +30,7 @@ from ..session import materialize
 FIRST, POINT, LAST = 0, 1, 2
 
 
-def _differ(table: pa.Table, columns: list[str]) -> np.ndarray:
+def differ(table: pa.Table, columns: list[str]) -> np.ndarray:
     """Which rows, from the second on, differ from the row before, nulls and
     NaN being equal to themselves."""
     n = table.num_rows - 1
@@ -84,13 +84,13 @@ def change_points(log: DataFrame, key: str, time: str, tie: list[str], tracked:
                 new = np.empty(0, bool)
             else:
                 both = pa.concat_tables([last, rows])
-            new = _differ(both, [key, *tracked])
+            new = differ(both, [key, *tracked])
             points = both.slice(1).filter(pa.array(new))
             last = rows.slice(rows.num_rows - 1)
             held = points if point is None else pa.concat_tables([point, points])
             if held.num_rows > 1:
                 done, after = held.slice(0, held.num_rows - 1), held.slice(1)
-                own = pa.array(~_differ(held, [key]))
+                own = pa.array(~differ(held, [key]))
                 yield from written(done, pc.if_else(own, after.column(time).combine_chunks(), None), POINT, at)
                 at += done.num_rows
             if held.num_rows:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import money_sum
 from ..functions.schemas import SOURCE_DDL, conform
-from ..operators import audits, dims, scd2
+from ..operators import audits, clean as C, dims, facts, scd2
 from ..session import scratch_path
 from ..sources import csv as csvsrc
 from ..sources import store, testdata
@@ -134,7 +134,6 @@ _SCD_OUT = ["customer_sk", "customer_id", "first_name", "last_name", "city",
 @query("scd2_merge")
 def q_scd2_merge(spark, sf_dir):
     """D-SCD2: two customer extracts merged one after the other."""
-    from ..operators import clean as C
     snaps = _customer_snapshots(tables(spark, sf_dir))
     dim = None
     for i, snap in enumerate(snaps):
@@ -158,6 +157,27 @@ def q_scd2_from_log(spark, sf_dir):
                     "effective_to", "is_current")
 
 
+# Batch times of the two customer extracts among the orders' dates.
+AS_OF_TS = ["1994-01-01 00:00:00", "1996-07-01 00:00:00"]
+
+
+@query("fact_order_as_of")
+def q_fact_order_as_of(spark, sf_dir):
+    """Order facts with the customer, restaurant and promotion versions
+    valid at the order's time; the customers' second extract, of 1996, closes
+    some versions of the first, of 1994, and opens others."""
+    s = star(spark, sf_dir)
+    live = LiveWarehouse(spark, scratch_path(spark, "as-of"))
+    for i, snap in enumerate(_customer_snapshots(tables(spark, sf_dir))):
+        live.put_dimension("customer", C.clean_customers(snap, AS_OF_TS[i]), AS_OF_TS[i], f"load:{i}")
+    for name in ("restaurant", "promotion"):
+        live.put_dimension(name, s.clean(CLEAN_OF_DIM[name]), AS_OF_TS[0], "load:0")
+    f = facts.fact_order(s.clean("orders"), live.dim("customer"), live.dim("restaurant"), live.dim("promotion"),
+                         s.dim("date"), s.dim("time"), DEFAULT_BATCH_TS, versions="as_of")
+    return f.select("order_sk", "order_id", "customer_sk", "restaurant_sk", "promotion_sk", "order_date_sk",
+                    "order_total")
+
+
 @query("latest_per_key")
 def q_latest_per_key(spark, sf_dir):
     """Each customer's latest order priority (by order date, then order
@@ -402,7 +422,6 @@ def q_high_water_mark(spark, sf_dir):
 def q_csv_roundtrip(spark, sf_dir):
     """Promotions written as a quoted CSV extract with NULL
     markers, read back with the declared schema and cleaned."""
-    from ..operators import clean as C
     path = scratch_path(spark, "promotions-csv")
     csvsrc.write_extract(testdata.promotions(tables(spark, sf_dir)), path, quoting="all")
     read = csvsrc.read_source(spark, "promotions", path, "promotions_csv", DEFAULT_BATCH_TS)
@@ -464,7 +483,6 @@ def q_csv_null_markers(spark, sf_dir):
 @query("multi_source_union")
 def q_multi_source_union(spark, sf_dir):
     """Restaurants arriving in two feeds with different layouts."""
-    from ..operators import clean as C
     main, second = testdata.restaurants_split(tables(spark, sf_dir))
     main = csvsrc.with_provenance(main, "restaurants_csv", "restaurants.csv", DEFAULT_BATCH_TS)
     second = csvsrc.with_provenance(second, "feed2_csv", "restaurants_feed2.csv", DEFAULT_BATCH_TS)
@@ -654,7 +672,6 @@ def q_scd2_merge_null_change(spark, sf_dir):
 @query("csv_header_orders")
 def q_csv_header_orders(spark, sf_dir):
     """Two files of one extract list their columns in another order."""
-    from ..operators import clean as C
     path = scratch_path(spark, "items-csv")
     items = testdata.order_items(tables(spark, sf_dir))
     odd = F.col("order_id").cast("bigint") % 2 == 1

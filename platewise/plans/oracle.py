@@ -372,6 +372,20 @@ SELECT CAST(o_custkey AS VARCHAR) AS customer_id,
        arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS order_key
 FROM orders GROUP BY 1"""
 
+Q["fact_order_as_of"] = sql(f"""
+WITH ver AS (
+  SELECT customer_sk, customer_id,
+         CASE WHEN effective_from = {SNAP_TS[0]} THEN TIMESTAMP '1994-01-01' ELSE TIMESTAMP '1996-07-01' END AS lo,
+         CASE WHEN effective_to IS NOT NULL THEN TIMESTAMP '1996-07-01' END AS hi
+  FROM scd_result)
+SELECT o.order_sk, o.order_id, v.customer_sk,
+       CASE WHEN o.order_date >= TIMESTAMP '1994-01-01' THEN o.restaurant_sk END AS restaurant_sk,
+       CASE WHEN o.order_date >= TIMESTAMP '1994-01-01' THEN o.promotion_sk END AS promotion_sk,
+       o.order_date_sk, o.order_total
+FROM f_order o JOIN c_orders c ON o.order_id = c.order_id
+LEFT JOIN ver v ON v.customer_id = c.customer_id AND o.order_date >= v.lo AND (v.hi IS NULL OR o.order_date < v.hi)
+""", "f_order", "scd_result", "c_orders")
+
 # --- facts ---------------------------------------------------------------------
 Q["fact_order"] = sql("""
 SELECT order_sk, order_id, customer_sk, restaurant_sk, order_date_sk, order_time_sk,
