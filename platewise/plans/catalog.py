@@ -22,6 +22,7 @@ from ..sources import store, testdata
 from ..streaming import incremental
 from . import metrics as K
 from . import views
+from .audit_log import AuditLog
 from .live import LiveWarehouse
 from .load import StoredStar, full_load
 from .warehouse import CLEAN_OF_DIM, DEFAULT_BATCH_TS, Star
@@ -553,8 +554,9 @@ def q_incremental_fact_order(spark, sf_dir):
         "order_time_sk", "promotion_sk", "order_status", "order_total", "tip_amount")
 
 
-def late_parents(spark: SparkSession, sf_dir: str) -> LiveWarehouse:
-    """The warehouse of ``load_late_parents``."""
+def late_parents(spark: SparkSession, sf_dir: str, audited: bool = False) -> LiveWarehouse:
+    """The warehouse of ``load_late_parents``; ``audited``: its audit is
+    brought up to date after each of its last three extracts."""
     root = scratch_path(spark, "late-parents")
     t = tables(spark, sf_dir)
     s = star(spark, sf_dir)
@@ -571,9 +573,23 @@ def late_parents(spark: SparkSession, sf_dir: str) -> LiveWarehouse:
         stamped = csvsrc.with_provenance(rows, f"{entity}_csv", f"{entity}_{i}.csv", SNAPSHOT_TS[i % 2])
         incremental.land_batch(stamped, root, entity, i)
         incremental.run_once(spark, root, entity, handle[entity])
+        if audited and i >= 2:
+            AuditLog(LiveWarehouse(spark, root)).run()
     return LiveWarehouse(spark, root)
 
 
+@query("audit_incremental")
+def q_audit_incremental(spark, sf_dir):
+    """Q1, Q2 over increments: after each extract only what it wrote is
+    checked; the merged result is that of a full audit of the facts."""
+    log = AuditLog(late_parents(spark, sf_dir, audited=True))
+    twice = log.duplicate_keys().groupBy(F.col("table_name").alias("child_table")).agg(
+        F.count(F.lit(1)).alias("duplicate_keys"))
+    checks = log.foreign_keys()
+    return checks.join(twice, "child_table", "left").select(
+        *checks.columns, F.coalesce("duplicate_keys", F.lit(0)).cast("bigint").alias("duplicate_keys"))
+
+
 @query("load_late_parents")
 def q_load_late_parents(spark, sf_dir):
     """The items and deliveries of odd orders arrive before their

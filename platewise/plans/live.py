@@ -99,8 +99,10 @@ class LiveWarehouse:
         return (store.read_table(self.spark, self.root, "consumption", table, ddl + ", batch_id bigint")
                 .where(F.col("batch_id").isin(*versions)))
 
-    def fact(self, name: str, before: int | None = None, between: tuple[str, str] | None = None) -> DataFrame | None:
-        """Rows that count now (before version ``before``): no replaced ones.
+    def fact(self, name: str, before: int | None = None, between: tuple[str, str] | None = None,
+             after: int | None = None) -> DataFrame | None:
+        """Rows that count now (before version ``before``): no replaced ones;
+        with ``after`` only those that later versions wrote.
 
         ``between``: first and last day (of the date in ``MONTH_OF``); only the
         versions and months that have such days are read.  Facts with a date
@@ -108,7 +110,7 @@ class LiveWarehouse:
         folders too.
         """
         sk, table = FACTS[name][0], f"fact_{name}"
-        versions = self._versions(table, before)
+        versions = [v for v in self._versions(table, before) if after is None or v > after]
         if not versions:
             return None
         if between is None:

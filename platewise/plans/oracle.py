@@ -582,6 +582,16 @@ Q["audit_fk"] = sql("\nUNION ALL\n".join(
     f"FROM {_STAR[ct]} x"
     for ct, cc, pt, pc in FOREIGN_KEYS), *sorted(set(_STAR.values())))
 
+_PK = {"fact_order": "order_sk", "fact_order_item": "order_item_sk", "fact_delivery": "delivery_sk",
+       "fact_rating": "rating_sk"}
+Q["audit_incremental"] = sql("\nUNION ALL\n".join(
+    f"SELECT '{ct}' AS child_table, '{cc}' AS child_column, '{pt}' AS parent_table, "
+    f"COUNT(*) AS child_rows, COUNT(*) FILTER (WHERE x.{cc} IS NULL) AS null_rows, "
+    f"COUNT(*) FILTER (WHERE x.{cc} IS NOT NULL AND x.{cc} NOT IN "
+    f"(SELECT {pc} FROM {_STAR[pt]} WHERE {pc} IS NOT NULL)) AS orphan_rows, "
+    f"COUNT(x.{_PK[ct]}) - COUNT(DISTINCT x.{_PK[ct]}) AS duplicate_keys FROM {_STAR[ct]} x"
+    for ct, cc, pt, pc in FOREIGN_KEYS if ct in _PK), *sorted(set(_STAR.values())))
+
 _recon = [("restaurants", "stage", "c_restaurants"), ("restaurants", "clean", "c_restaurants"),
           ("restaurants", "dimension", "d_restaurant"), ("customers", "stage", "c_customers"),
           ("customers", "clean", "c_customers"), ("customers", "dimension", "d_customer"),
