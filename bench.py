@@ -101,19 +101,21 @@ def main() -> None:
         fact[n] = timed(f"etl_fact_{n}", lambda n=n: write(f"fact_{n}", s.fact(n)))
         s._memo[("fact", n)] = fact[n]
 
+    unique = timed("etl_unique_order", lambda: s.unique("order"))  # for the views' order counts
+
     # ---------------------------------------------------------- phase 2 --
     q = {
         "v1_restaurant_order_performance": lambda: views.restaurant_order_performance(
-            fact["order"], dimt["restaurant"], dimt["date"]),
+            fact["order"], dimt["restaurant"], dimt["date"], unique_orders=unique),
         "v2_delivery_performance": lambda: views.delivery_performance(
             fact["delivery"], dimt["delivery_person"], dimt["date"], fact["rating"]),
         "v3_customer_order_patterns": lambda: views.customer_order_patterns(
-            fact["order"], dimt["customer"], dimt["date"], dimt["restaurant"]),
+            fact["order"], dimt["customer"], dimt["date"], dimt["restaurant"], unique_orders=unique),
         "v4_product_performance": lambda: views.product_performance(
             fact["order_item"], dimt["product"], fact["order"], dimt["restaurant"],
-            dimt["date"]),
+            dimt["date"], unique_orders=unique),
         "v5_promotion_effectiveness": lambda: views.promotion_effectiveness(
-            fact["order"], dimt["promotion"], dimt["date"]),
+            fact["order"], dimt["promotion"], dimt["date"], unique_orders=unique),
         "k1_daily_orders": lambda: K.daily_orders(cleaned["orders"]),
         "k3_status_distribution": lambda: K.status_distribution(cleaned["orders"]),
         "k6_top_restaurants": lambda: K.top_restaurants(cleaned["restaurants"]),

@@ -66,3 +66,8 @@ def assign_keys(df: DataFrame, key_col: str, order_by: list, offset: int = 0,
     stored = spark.read.schema(df.schema).parquet(path)
     part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
     return _with_offsets(stored, part, F.col("_metadata.row_index"), key_col, offset)
+
+
+def is_unique(df: DataFrame, key: str) -> bool:
+    """Whether no value of ``key`` comes twice (nulls aside); reads that column only."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty()

@@ -228,7 +228,7 @@ def q_fact_rating(spark, sf_dir):
 def q_v1(spark, sf_dir):
     s = star(spark, sf_dir)
     return views.restaurant_order_performance(s.fact("order"), s.dim("restaurant"),
-                                              s.dim("date"))
+                                              s.dim("date"), unique_orders=s.unique("order"))
 
 
 @query("vw_delivery_performance")
@@ -249,20 +249,21 @@ def q_v2_literal(spark, sf_dir):
 def q_v3(spark, sf_dir):
     s = star(spark, sf_dir)
     return views.customer_order_patterns(s.fact("order"), s.dim("customer"), s.dim("date"),
-                                         s.dim("restaurant"))
+                                         s.dim("restaurant"), unique_orders=s.unique("order"))
 
 
 @query("vw_product_performance")
 def q_v4(spark, sf_dir):
     s = star(spark, sf_dir)
     return views.product_performance(s.fact("order_item"), s.dim("product"), s.fact("order"),
-                                     s.dim("restaurant"), s.dim("date"))
+                                     s.dim("restaurant"), s.dim("date"), unique_orders=s.unique("order"))
 
 
 @query("vw_promotion_effectiveness")
 def q_v5(spark, sf_dir):
     s = star(spark, sf_dir)
-    return views.promotion_effectiveness(s.fact("order"), s.dim("promotion"), s.dim("date"))
+    return views.promotion_effectiveness(s.fact("order"), s.dim("promotion"), s.dim("date"),
+                                         unique_orders=s.unique("order"))
 
 
 # ------------------------------------------------------------- metrics -----
@@ -655,7 +656,8 @@ def q_full_load_twice(spark, sf_dir):
     for batch, ts in ((20250101, SNAPSHOT_TS[0]), (20250201, SNAPSHOT_TS[1])):
         full_load(spark, paths, root, batch, ts, kind="full")
     s = StoredStar(spark, root)
-    return views.restaurant_order_performance(s.fact("order"), s.dim("restaurant"), s.dim("date"))
+    return views.restaurant_order_performance(s.fact("order"), s.dim("restaurant"), s.dim("date"),
+                                              unique_orders=s.unique("order"))
 
 
 @query("load_then_stream_customer")

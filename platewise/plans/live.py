@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.schemas import CLEAN_DDL, FACT_DDL
 from ..operators import calendar, dims, facts, scd2
-from ..operators.keys import assign_keys
+from ..operators.keys import assign_keys, is_unique
 from ..session import materialize
 from ..sources import buckets, keyindex, store
 from ..sources.buckets import Bucketed, Manifest
@@ -133,6 +133,13 @@ class LiveWarehouse:
                     .drop("_gone", "_since"))
         return rows.drop("batch_id")
 
+    def unique(self, name: str) -> bool:
+        """Whether no business key comes twice in a fact: every version that
+        counts has it so, and an upsert leaves no older row of its keys."""
+        counts = set(self._versions(f"keys_{name}", None))
+        known = {v.version: v.parts.get("unique", False) for v in self.control.versions(f"keys_{name}")}
+        return all(known[v] for v in counts) and counts >= set(self._versions(f"fact_{name}", None))
+
     def clean(self, name: str, version: int) -> DataFrame:
         return (store.read_table(self.spark, self.root, "clean", name, CLEAN_DDL[name] + ", batch_id bigint")
                 .where(F.col("batch_id") == version).drop("batch_id"))
@@ -396,7 +403,8 @@ class LiveWarehouse:
     def _write_index(self, name: str, v: int, run: str, kind: str, count: int) -> None:
         sk, key = FACTS[name][:2]
         rows = self._stored(f"fact_{name}", [v]).select(F.col(key).alias("key"), F.col(sk).alias("sk"))
-        self.control.commit(f"keys_{name}", v, run, kind, parts=self._index(name).put(v, rows, count))
+        parts = self._index(name).put(v, rows, count)
+        self.control.commit(f"keys_{name}", v, run, kind, parts=parts | {"unique": is_unique(rows, "key")})
 
     def compact(self, name: str, run: str) -> None:
         """Rewrite a fact as one version: the rows that count now, by month,

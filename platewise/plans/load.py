@@ -110,3 +110,6 @@ class StoredStar:
 
     def fact(self, name: str) -> DataFrame:
         return self.live.fact(name)
+
+    def unique(self, name: str) -> bool:
+        return self.live.unique(name)

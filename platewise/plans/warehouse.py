@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import calendar, clean, dims, facts
+from ..operators.keys import is_unique
 from ..session import materialize as _write_scratch
 
 # Fixed batch time for reproducible runs; jobs pass their own.
@@ -35,6 +36,7 @@ class Star:
         self.fact_key_mode = fact_key_mode
         self.materialize = materialize
         self._memo: dict[tuple[str, str], DataFrame] = {}
+        self._unique: dict[str, bool] = {}
 
     def _get(self, kind: str, name: str, make) -> DataFrame:
         k = (kind, name)
@@ -105,6 +107,12 @@ class Star:
             raise KeyError(name)
         return self._get("fact", name, make)
 
+    def unique(self, name: str) -> bool:
+        """Whether no business key comes twice in a fact; looked up once."""
+        if name not in self._unique:
+            self._unique[name] = is_unique(self.fact(name), f"{name}_id")
+        return self._unique[name]
+
     def tables(self) -> dict[str, DataFrame]:
         """Every table of the star, keyed ``clean_*``, ``dim_*``, ``fact_*``."""
         out = {f"clean_{n}": self.clean(n) for n in [*clean.CLEANERS, "ratings"]

@@ -63,6 +63,7 @@ class Segment:
     n: int
     rows: int
     filtered: bool
+    unique: bool = False  # no key comes twice
 
 
 def segments(versions: list[Version]) -> list[Segment]:

@@ -4,8 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from core_paths import SF001
+from platewise.operators.keys import is_unique
 from platewise.operators.sequence import with_neighbor
-from platewise.plans import views
+from platewise.plans import catalog, views
 
 
 def _plan(df):
@@ -48,3 +50,24 @@ def test_view_over_stored_tables_prunes_and_pushes(spark, tmpdir_path):
     assert "payment_method" not in plan and "extra" not in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert v.first()["total_orders"] == 1
+
+
+def test_unique_orders_are_counted_without_a_row_an_order(spark):
+    s = catalog.star(spark, SF001)
+    assert s.unique("order")
+    o, day = s.fact("order"), s.dim("date")
+    args = {"restaurant_order_performance": (o, s.dim("restaurant"), day),
+            "customer_order_patterns": (o, s.dim("customer"), day, s.dim("restaurant")),
+            "product_performance": (s.fact("order_item"), s.dim("product"), o, s.dim("restaurant"), day),
+            "promotion_effectiveness": (o, s.dim("promotion"), day)}
+    for name, given in args.items():
+        view = getattr(views, name)
+        fast = view(*given, unique_orders=True)
+        assert sorted(map(repr, fast.collect())) == sorted(map(repr, view(*given).collect())), name
+        plan = fast._jdf.queryExecution().optimizedPlan().toString()
+        assert "Expand" not in plan and "distinct order_id" not in plan, name
+    # an order that comes twice is one order, and isn't called unique
+    twice = o.unionByName(o.limit(5))
+    assert not is_unique(twice, "order_id")
+    got = views.restaurant_order_performance(twice, s.dim("restaurant"), day).agg(F.sum("total_orders")).first()[0]
+    assert got == views.restaurant_order_performance(o, s.dim("restaurant"), day).agg(F.sum("total_orders")).first()[0]
