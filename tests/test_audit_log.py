@@ -119,3 +119,11 @@ def test_a_fact_that_replaces_all_is_checked_whole(spark, root):
     w.compact("order_item", "compact:1")
     rows, _ = check(spark, root, {"order": "unchanged", "order_item": "whole"})
     assert rows["fact_order_item", "order_sk"].orphan_rows == 1
+
+
+def test_unique_is_what_every_version_proves(spark, root):
+    w = LiveWarehouse(spark, root)
+    assert w.unique("order") and w.unique("order_item")
+    w.put_fact("order", orders(spark, ["7", "7", "8"]), TS, "load:5")  # one time, so both stay
+    w = LiveWarehouse(spark, root)
+    assert not w.unique("order") and w.fact("order").where("order_id = '7'").count() == 2
